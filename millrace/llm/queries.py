@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import substrings
+from millrace.llm import decontaminate, mixing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,11 +49,70 @@ FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents
+  UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
+split AS (
+  SELECT side, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+items AS (SELECT id, w, least(len(w), 13) AS n FROM split WHERE side = 'b' AND len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+  FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+lengths AS (SELECT DISTINCT n FROM items),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+  FROM (SELECT s.doc_id, s.w, l.n, unnest(range(1, len(s.w) - l.n + 2)) AS i FROM split s, lengths l WHERE s.side = 'd' AND len(s.w) >= l.n)),
+found AS (SELECT d.doc_id, d.n, d.i, b.id FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.k = b.k),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM found) GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit > 0 AND 20 * h.n_hit >= len(s.w), FALSE) AS contaminated
+FROM split s LEFT JOIN hit h ON s.doc_id = h.doc_id LEFT JOIN ids i ON s.doc_id = i.doc_id WHERE s.side = 'd'
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighted AS (SELECT *, 2 * source_size AS cap, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM sources),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted),
+filled AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM filled),
+draws AS (
+  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, t.seed,
+         CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(CAST('0x' || substr(md5(t.seed || ':' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(16)) AS seed) t),
+tried AS (SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM draws GROUP BY source, seed),
+best AS (SELECT source, seed FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
+SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * d.copies AS BIGINT) AS taken
+FROM draws d JOIN best b ON d.seed = b.seed AND d.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op4_decontamination": op4_decontamination,
+        "op5_mixing": op5_mixing,
         "op3_substring_dedup": op3_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL}
