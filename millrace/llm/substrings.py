@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm import _repeats as rp
 from millrace.llm import _tokens as tk
+from millrace.llm._shared import written
 
 #: Words of a k-mer, and of the grams among which its anchor is chosen.
 WINDOW, ANCHOR = 13, 4
@@ -123,8 +124,8 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, loc, n, src_id, src_loc) of every verified path: `n` consecutive k-mers from word
     `loc` of row `loc >> 40` of `_id`, all of which also stand in the smaller document `src_id`."""
     texts = rp.numbered(docs, id_col, text_col)
-    anchors = rp.repeated_anchors(docs, id_col, text_col, _units, window, anchor)
-    paths = _paths(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor))
+    anchors = written(rp.repeated_anchors(docs, id_col, text_col, _units, window, anchor), "anchors")
+    paths = written(_paths(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor)), "paths")
     digests = _digests(texts, paths, window)
     here = digests.select("_id", "loc", "n", F.col("digest").alias("here"))
     there = digests.select(F.col("_id").alias("src_id"), F.col("loc").alias("src_loc"), "n", F.col("digest").alias("there"))
