@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, quality, substrings
+from millrace.llm import decontaminate, jaccard, mixing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,11 +105,17 @@ FROM draws d JOIN best b ON d.seed = b.seed AND d.source IS NOT DISTINCT FROM b.
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs).drop("text_digest")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_decontamination": op4_decontamination,
         "op5_mixing": op5_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
     }
 
