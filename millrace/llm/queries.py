@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard, mixing, quality, substrings
+from millrace.llm import chat, decontaminate, jaccard, licenses, mixing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,15 +110,44 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs).drop("text_digest")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.union(extra)))
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, len(text) + len(regexp_replace(text, '[^\\<#]', '', 'g')) + len(role) + len(regexp_replace(role, '[^\\<#\n]', '', 'g')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + len('### :') + 1 + len('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_decontamination": op4_decontamination,
         "op5_mixing": op5_mixing,
+        "op6_chat_format": op6_chat_format,
+        "op8_license_scan": op8_license_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL}
