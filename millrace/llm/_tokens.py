@@ -100,6 +100,7 @@ class Words:
         raw, off = text_buffer(column)
         self.bytes, self.text_offsets = (LOWER[raw] if lower else raw), off
         self.n_texts = len(off) - 1
+        self._sums: dict[int, np.ndarray] = {}
         inside = is_word[self.bytes]
         size = len(inside)
         begins, ends = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
@@ -120,12 +121,18 @@ class Words:
 
     def hashes(self, family: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; the two families are independent."""
-        if not len(self.starts):
+        return self.span_hashes(self.starts, self.ends, family)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span."""
+        if not len(starts):
             return np.zeros(0, np.uint64)
         up, down = _POWERS[family].get(len(self.bytes) + 1)
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_TABLES[family][self.bytes] * up[: len(self.bytes)], dtype=np.uint64, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        if family not in self._sums:
+            self._sums = {family: np.zeros(len(self.bytes) + 1, np.uint64)}
+            np.cumsum(_TABLES[family][self.bytes] * up[: len(self.bytes)], dtype=np.uint64, out=self._sums[family][1:])
+        sums = self._sums[family]
+        return mix((sums[ends] - sums[starts]) * down[starts])
 
     def position(self) -> np.ndarray:
         """Index of each word in its text."""
