@@ -25,7 +25,8 @@ from millrace.llm import _tokens as tk
 #: Rows that a map task gathers before it groups them by hash.
 BUFFER_ROWS = 1_000_000
 
-Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: texts -> (text number of each unit, whether a whole window starts there, that window's anchor)
+Finder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -65,7 +66,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarra
     return ok, tk.sliding_min(tk.grams(h, m), k - m + 1)
 
 
-def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, units: Units, k: int, m: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, find: Finder) -> DataFrame:
     """(_id, anchors): for each id the anchors that another id has too."""
 
     def emit(batches):
@@ -88,10 +89,8 @@ def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, units: Units,
         for b in batches:
             ids_of, text = b.column("_id"), b.column("_text")
             for i, j in tk.slices(text):
-                h, first = units(text.slice(i, j - i))
-                ok, anchor = windows(h, first, k, m)
-                text_no = np.repeat(np.arange(j - i), np.diff(first))[ok]
-                a = tk.as_long(anchor[ok])
+                text_no, ok, anchor = find(text.slice(i, j - i))
+                text_no, a = text_no[ok], tk.as_long(anchor[ok])
                 keep = tk.run_starts(a, text_no)
                 hashes.append(a[keep])
                 ids.append(ids_of.slice(i, j - i).to_numpy(zero_copy_only=False)[text_no[keep]])

@@ -66,12 +66,13 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null is an empty text."""
+    """(bytes, offsets) of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
+        column = column.fill_null(b"" if binary else "")
+    column = (column if binary else column.cast(pa.large_string())).cast(pa.large_binary())
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -123,8 +123,14 @@ def _digests(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(_id, loc, n, src_id, src_loc) of every verified path: `n` consecutive k-mers from word
     `loc` of row `loc >> 40` of `_id`, all of which also stand in the smaller document `src_id`."""
+
+    def find(text):
+        h, first = _units(text)
+        ok, least = rp.windows(h, first, window, anchor)
+        return np.repeat(np.arange(len(first) - 1), np.diff(first)), ok, least
+
     texts = rp.numbered(docs, id_col, text_col)
-    anchors = written(rp.repeated_anchors(docs, id_col, text_col, _units, window, anchor), "anchors")
+    anchors = written(rp.repeated_anchors(docs, id_col, text_col, find), "anchors")
     paths = written(_paths(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor)), "paths")
     digests = _digests(texts, paths, window)
     here = digests.select("_id", "loc", "n", F.col("digest").alias("here"))
