@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Isolate, pop and right-to-left marks, and a Latin run.
 LRI, PDI, RLM = "⁦", "⁩", "‏"
@@ -69,12 +70,12 @@ def _spaced(s: str) -> str:
     return "".join((" " if i and {_side(s[i - 1]), _side(c)} == {"L", "R"} else "") + c for i, c in enumerate(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def anchor_punctuation(x: pd.Series) -> pd.Series:
     return x.map(_anchored, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def script_spacing(x: pd.Series) -> pd.Series:
     return x.map(_spaced, na_action="ignore")
 

@@ -55,7 +55,7 @@ def check_records(records: DataFrame) -> DataFrame:
     output, entries = F.from_json(json, "map<string,string>"), F.from_json(json, tx.ENTRIES)
     numeric = lambda text: F.when(unverified_number(tx.sentences(phrasing), tx.numbers(text)).isNotNull(), "unverified_numeric_claim")
     no_text = F.lit("")
-    values = F.array_join(F.transform(F.map_values(output), F.trim), " ")
+    values = F.array_join(F.transform(F.map_values(output), lambda v: F.trim(v)), " ")
     narrow = F.when(~tx.is_object(json), "output_json_not_a_dict").otherwise(F.coalesce(key_value_violation(output, F.col("field_data")), numeric(values)))
     declared = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["source"])))
     n = F.size("sources")
