@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import _tokens as tk
+from millrace.llm._shared import quoted
 
 #: Rows that a map task gathers before it groups them by hash.
 BUFFER_ROWS = 1_000_000
@@ -54,7 +55,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Rows without an id are left out.  Dealt by id; every later pass over the texts selects the
     same columns, so that Spark shuffles the texts once and reuses that exchange.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    others = quoted([c for c in docs.columns if c != text_col])
     out = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*others).alias("_row"))
     return out.withColumn("_dup", F.row_number().over(Window.partitionBy("_id").orderBy("_text")).cast("long") - 1)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -30,3 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def schema_of(frame: DataFrame, added: str) -> StructType:
+    """The columns of `frame`, whatever their names, and those of the DDL `added`."""
+    return StructType(frame.schema.fields + StructType.fromDDL(added).fields)
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]

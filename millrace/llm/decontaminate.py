@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import written
+from millrace.llm._shared import quoted, schema_of, written
 
 #: Words of a window, of a fingerprinted gram, and most bytes of benchmark text in a block.
 WINDOW, GRAM = 13, 5
@@ -137,8 +137,7 @@ def _scan(docs: DataFrame, text_col: str, index: Index) -> DataFrame:
                     [*part.schema.names, "_n_words", "_runs", "_items"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, _n_words long, _runs array<long>, _items array<string>")
+    return docs.mapInArrow(scan, schema_of(docs, "_n_words long, _runs array<long>, _items array<string>"))
 
 
 def _union(runs):
@@ -159,12 +158,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     replaced.  With an empty benchmark nothing is hit.
     """
     added = ("n_words", "n_hit", "items", "contaminated")
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added or c in (id_col, text_col)])
+    base = docs.select(*quoted([c for c in docs.columns if c not in added or c in (id_col, text_col)]))
     blocks = _blocks(benchmark, item_col, item_text_col)
     ids, texts = next(blocks, ([], []))
     out = _scan(base, text_col, Index(ids, texts, window, gram))
     for ids, texts in blocks:  # a benchmark beyond one block: another pass over what was written
         scanned = _scan(written(out.withColumnRenamed("_runs", "_runs_0").withColumnRenamed("_items", "_items_0").drop("_n_words"), "scan"), text_col, Index(ids, texts, window, gram))
         out = scanned.withColumn("_runs", F.concat("_runs", "_runs_0")).withColumn("_items", F.concat("_items", "_items_0")).drop("_runs_0", "_items_0")
-    result = out.select(*base.columns, F.col("_n_words").alias("n_words"), _union(F.col("_runs")).alias("n_hit"), F.array_sort(F.array_distinct("_items")).alias("items"))
+    result = out.select(*quoted(base.columns), F.col("_n_words").alias("n_words"), _union(F.col("_runs")).alias("n_hit"), F.array_sort(F.array_distinct("_items")).alias("items"))
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

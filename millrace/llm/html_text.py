@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm._shared import quoted, schema_of
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -265,7 +267,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     input column named `text` is replaced.
     """
     names = [c for c in pages.columns if c not in (html_col, "text")]
-    base = pages.select(*[f"`{c}`" for c in names], pages[html_col].alias("_html"))
+    base = pages.select(*quoted(names), *[c.alias("_html") for c in quoted([html_col])])
 
     def scan(batches):
         for b in batches:
@@ -273,5 +275,4 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 part = b.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([page_text(x) for x in part.column("_html").to_pylist()], pa.string())], [*names, "text"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[:-1])
-    return base.mapInArrow(scan, f"{schema}text string")
+    return base.mapInArrow(scan, schema_of(base.drop("_html"), "text string"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm import _tokens as tk
+from millrace.llm._shared import quoted, schema_of
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -124,7 +125,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES)
     """
     index = RareWordIndex(templates)
     added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in added or c == text_col])
+    base = docs.select(*quoted([c for c in docs.columns if c not in added or c == text_col]))
 
     def scan(batches):
         for b in batches:
@@ -133,5 +134,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES)
                 found = scan_slice(part.column(text_col), index)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v) for v in found.values()]], [*part.schema.names, *found])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"{k} {v}" for k, v in added.items()])
-    return base.mapInArrow(scan, schema)
+    return base.mapInArrow(scan, schema_of(base, ", ".join(f"{k} {v}" for k, v in added.items())))

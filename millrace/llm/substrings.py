@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm import _repeats as rp
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import written
+from millrace.llm._shared import quoted, schema_of, written
 
 #: Words of a k-mer, and of the grams among which its anchor is chosen.
 WINDOW, ANCHOR = 13, 4
@@ -159,10 +159,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     spans = repeated_paths(docs, id_col, text_col, window, anchor).groupBy("_id").agg(F.collect_list(F.struct("loc", "n")).alias("_spans"))
     texts = rp.numbered(docs, id_col, text_col)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    others = quoted([c for c in docs.columns if c != text_col])
     nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("_text"), F.struct(*others).alias("_row"), F.lit(0).cast("long").alias("_dup"), F.lit(None).cast("array<struct<loc:long,n:long>>").alias("_spans"))
-    kind = texts.schema["_row"].dataType.simpleString()
-    parts = [x.select("_text", "_row", "_dup", "_spans").mapInArrow(cut, f"_row {kind}, _text string, {added}") for x in (texts.join(spans, "_id", "left"), nameless)]
+    schema = schema_of(texts.select("_row", "_text"), added)
+    parts = [x.select("_text", "_row", "_dup", "_spans").mapInArrow(cut, schema) for x in (texts.join(spans, "_id", "left"), nameless)]
     out = parts[0].union(parts[1])
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_text").alias(text_col), "n_words", "n_removed", "kept_text")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _tokens as tk
+from millrace.llm._shared import quoted, schema_of
 
 #: Most labelled documents of either label in the training sample, taken by a hash of the id.
 SAMPLE_EACH = 3000
@@ -162,7 +163,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
     added = {"held_out": "boolean", "score": "double", "predicted": "int", "offending": "array<long>"}
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in added or c in (id_col, text_col)])
+    base = docs.select(*quoted([c for c in docs.columns if c not in added or c in (id_col, text_col)]))
     fold = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
     def scan(batches):
@@ -172,6 +173,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 p, where = score(part.column(text_col), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(where, pa.list_(pa.int64()))], [*part.schema.names, "score", "predicted", "offending"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = base.mapInArrow(scan, f"{schema}, score double, predicted int, offending array<long>")
-    return out.select(*base.columns, fold.alias("held_out"), "score", "predicted", "offending")
+    out = base.mapInArrow(scan, schema_of(base, "score double, predicted int, offending array<long>"))
+    return out.select(*quoted(base.columns), fold.alias("held_out"), "score", "predicted", "offending")
