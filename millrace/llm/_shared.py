@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm import _tokens as tk
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,3 +46,23 @@ def schema_of(frame: DataFrame, added: str) -> StructType:
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their whole names, dots included."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def with_computed(frame: DataFrame, read: str, added: str, compute: Callable[[pa.Array], list], keep: bool = True) -> DataFrame:
+    """`frame` with the columns of the DDL `added`: compute(slice of the column `read`) gives their arrays.
+
+    One pass without a shuffle; a task holds a slice of bounded text size at a time.  Columns go
+    to Python under numbers, so they may have any names.  Without `keep`, `read` is dropped.
+    """
+    plain = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+    at = frame.columns.index(read)
+    stay = [i for i in range(len(frame.columns)) if keep or i != at]
+    schema = schema_of(plain.select(*[f"c{i}" for i in stay]), added)
+
+    def scan(batches):
+        for b in batches:
+            for i, j in tk.slices(b.column(at)):
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in stay], *compute(part.column(at))], schema.names)
+
+    return plain.mapInArrow(scan, schema).toDF(*[frame.columns[i] for i in stay], *schema.names[len(stay) :])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, schema_of, written
+from millrace.llm._shared import quoted, with_computed, written
 
 #: Words of a window, of a fingerprinted gram, and most bytes of benchmark text in a block.
 WINDOW, GRAM = 13, 5
@@ -122,22 +122,16 @@ def _scan(docs: DataFrame, text_col: str, index: Index) -> DataFrame:
     """The documents, n_words, runs of hit words (start << 32 | length) and items hit in this block."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def scan(batches):
-        for b in batches:
-            for i, j in tk.slices(b.column(text_col)):
-                part = b.slice(i, j - i)
-                w, hit, text, item = hits(part.column(text_col), shared.value)
-                new, end = tk.run_starts(w.text, hit) & hit, np.append(tk.run_starts(w.text, hit)[1:], True) & hit if len(w) else hit
-                s, e = np.flatnonzero(new), np.flatnonzero(end)
-                runs = ((s - w.offsets[w.text[s]]) << 32) + (e - s + 1)
-                run_offsets = np.searchsorted(w.text[s], np.arange(j - i + 1)).astype(np.int32)
-                item_offsets = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(w.counts.astype(np.int64)), pa.ListArray.from_arrays(run_offsets, pa.array(runs)), pa.ListArray.from_arrays(item_offsets, pa.array(shared.value.ids[item], pa.string()))],
-                    [*part.schema.names, "_n_words", "_runs", "_items"],
-                )
-
-    return docs.mapInArrow(scan, schema_of(docs, "_n_words long, _runs array<long>, _items array<string>"))
+    def compute(texts):
+        w, hit, text, item = hits(texts, shared.value)
+        new, end = tk.run_starts(w.text, hit) & hit, np.append(tk.run_starts(w.text, hit)[1:], True) & hit if len(w) else hit
+        s, e = np.flatnonzero(new), np.flatnonzero(end)
+        runs = ((s - w.offsets[w.text[s]]) << 32) + (e - s + 1)
+        rows = np.arange(len(texts) + 1)
+        run_offsets, item_offsets = np.searchsorted(w.text[s], rows).astype(np.int32), np.searchsorted(text, rows).astype(np.int32)
+        return [pa.array(w.counts.astype(np.int64)), pa.ListArray.from_arrays(run_offsets, pa.array(runs)), pa.ListArray.from_arrays(item_offsets, pa.array(shared.value.ids[item], pa.string()))]
+
+    return with_computed(docs, text_col, "_n_words long, _runs array<long>, _items array<string>", compute)
 
 
 def _union(runs):

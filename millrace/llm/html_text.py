@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm._shared import quoted, schema_of
+from millrace.llm._shared import quoted, with_computed
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -266,13 +266,5 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     are ignored.  Pages are rendered alone: ids may be null or repeat.  One pass, no shuffle.  An
     input column named `text` is replaced.
     """
-    names = [c for c in pages.columns if c not in (html_col, "text")]
-    base = pages.select(*quoted(names), *[c.alias("_html") for c in quoted([html_col])])
-
-    def scan(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([page_text(x) for x in part.column("_html").to_pylist()], pa.string())], [*names, "text"])
-
-    return base.mapInArrow(scan, schema_of(base.drop("_html"), "text string"))
+    base = pages.select(*quoted([c for c in pages.columns if c == html_col or c != "text"]))
+    return with_computed(base, html_col, "text string", lambda pages: [pa.array([page_text(x) for x in pages.to_pylist()], pa.string())], keep=False)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, schema_of
+from millrace.llm._shared import quoted, with_computed
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -127,11 +127,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES)
     added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
     base = docs.select(*quoted([c for c in docs.columns if c not in added or c == text_col]))
 
-    def scan(batches):
-        for b in batches:
-            for i, j in tk.slices(b.column(text_col)):
-                part = b.slice(i, j - i)
-                found = scan_slice(part.column(text_col), index)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v) for v in found.values()]], [*part.schema.names, *found])
-
-    return base.mapInArrow(scan, schema_of(base, ", ".join(f"{k} {v}" for k, v in added.items())))
+    return with_computed(base, text_col, ", ".join(f"{k} {v}" for k, v in added.items()), lambda texts: [pa.array(v) for v in scan_slice(texts, index).values()])

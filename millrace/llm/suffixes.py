@@ -50,23 +50,29 @@ def _placed(s: np.ndarray, order: np.ndarray, tails: np.ndarray) -> np.ndarray:
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, order: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """Suffix order induced from the order of the leftmost S-type suffixes, one suffix at a time."""
-    sa, text, small = _placed(s, order, tails).tolist(), s.tolist(), is_s.tolist()
+    """Suffix order induced from the order of the leftmost S-type suffixes, one suffix at a time.
+
+    `larger` and `smaller` hold, for each suffix, the symbol before it if that one's suffix is of
+    the pass's type, else -1; their last entry serves the places of `sa` that are still -1.  The
+    loops read places that they fill as they go.
+    """
+    sa = _placed(s, order, tails).tolist()
+    larger = [-1, *np.where(is_s, -1, s).tolist()]
+    larger[-1] = -1
     head = heads.tolist()
-    n = len(sa)
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for k in sa:
+        if (c := larger[k]) >= 0:
+            h = head[c]
+            sa[h] = k - 1
+            head[c] = h + 1
+    smaller = [-1, *np.where(is_s, s, -1).tolist()]
+    smaller[-1] = -1
     tail = tails.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for k in reversed(sa):
+        if (c := smaller[k]) >= 0:
+            t = tail[c] - 1
+            sa[t] = k - 1
+            tail[c] = t
     return np.array(sa, np.int64)
 
 

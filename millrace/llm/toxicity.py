@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, schema_of
+from millrace.llm._shared import quoted, with_computed
 
 #: Most labelled documents of either label in the training sample, taken by a hash of the id.
 SAMPLE_EACH = 3000
@@ -53,9 +53,17 @@ class Bags:
         self.feature, self.sentence = np.concatenate(features), np.concatenate(owners)
 
 
-def noisy_or(logit: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
-    """1 - prod(1 - sigmoid(logit)) over each text's sentences; 0 for a text without sentences."""
-    return -np.expm1(-np.bincount(text, np.logaddexp(0, logit), minlength=n_texts)) if len(logit) else np.zeros(n_texts)
+def hazard(logit: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of each sentence above that of a sentence without evidence, 0 at least.
+
+    So a text's score grows with its evidence, and not with its number of harmless sentences.
+    """
+    return np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)
+
+
+def noisy_or(hazards: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """1 - prod(1 - p) over each text's sentences; 0 for a text without sentences."""
+    return -np.expm1(-np.bincount(text, hazards, minlength=n_texts)) if len(hazards) else np.zeros(n_texts)
 
 
 def fit(column: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -89,17 +97,17 @@ def fit(column: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
         base += len(bags.sentence_text)
     column_no, sentence = (np.concatenate(x) for x in zip(*parts, strict=True))
     text = np.concatenate(owners)
-    weight, bias = np.zeros(len(keys)), -5.0
+    weight, bias = np.full(len(keys), 0.1), -5.0  # evidence counts from the first step on
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     share = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for step in range(1, STEPS + 1):
         logit = bias + np.bincount(sentence, weight[column_no], minlength=len(text))
         p = 1 / (1 + np.exp(-logit))
-        bag = np.clip(noisy_or(logit, text, n), 1e-9, 1 - 1e-9)
-        # d loss / d logit: p for a clean bag, -p * (1 - bag) / bag for a toxic one
-        slope = np.where(y > 0, -(1 - bag) / bag, 1.0) * share
-        g = slope[text] * p
-        grad = np.append(np.bincount(column_no, g[sentence], minlength=len(keys)) + DECAY * weight / len(keys), g.sum())
+        own = hazard(logit, bias)
+        bag = np.clip(noisy_or(own, text, n), 1e-9, 1 - 1e-9)
+        # d loss / d hazard: 1 for a clean bag, -(1 - bag) / bag for a toxic one
+        slope = (np.where(y > 0, -(1 - bag) / bag, 1.0) * share)[text] * (own > 0)
+        grad = np.append(np.bincount(column_no, (slope * p)[sentence], minlength=len(keys)) + DECAY * weight / len(keys), (slope * (p - 1 / (1 + np.exp(-bias)))).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
@@ -124,9 +132,10 @@ def score(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float]) -> tupl
         column_no, sentence = lookup(keys, bags)
         logit += np.bincount(sentence, weight[column_no], minlength=n)
     where: list[list[int]] = [[] for _ in range(len(column))]
-    for s in np.flatnonzero(1 / (1 + np.exp(-logit)) >= THRESHOLD):
+    own = hazard(logit, bias)
+    for s in np.flatnonzero(-np.expm1(-own) >= THRESHOLD):
         where[bags.sentence_text[s]].append(int(bags.sentence_start[s]))
-    return noisy_or(logit, bags.sentence_text, len(column)), where
+    return noisy_or(own, bags.sentence_text, len(column)), where
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
@@ -157,8 +166,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """All columns of `docs`, and held_out, score, predicted, offending (byte starts of sentences).
 
     A text without words (or null) has score 0.  A null id is never held out nor trained on.
-    Ids may repeat: every row is scored by its own text.  Without labels, scores come from a prior
-    of one in about 3000 for each sentence.  An input column with a result's name is replaced.
+    Ids may repeat: every row is scored by its own text.  Without labels all scores are 0.  An input column with a result's name is replaced.
     """
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
@@ -166,12 +174,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     base = docs.select(*quoted([c for c in docs.columns if c not in added or c in (id_col, text_col)]))
     fold = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
-    def scan(batches):
-        for b in batches:
-            for i, j in tk.slices(b.column(text_col)):
-                part = b.slice(i, j - i)
-                p, where = score(part.column(text_col), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(where, pa.list_(pa.int64()))], [*part.schema.names, "score", "predicted", "offending"])
+    def compute(texts):
+        p, where = score(texts, shared.value)
+        return [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(where, pa.list_(pa.int64()))]
 
-    out = base.mapInArrow(scan, schema_of(base, "score double, predicted int, offending array<long>"))
+    out = with_computed(base, text_col, "score double, predicted int, offending array<long>", compute)
     return out.select(*quoted(base.columns), fold.alias("held_out"), "score", "predicted", "offending")
