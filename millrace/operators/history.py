@@ -46,15 +46,14 @@ def without_excluded(history: Column, excluded) -> Column:
     The kept turns act as a stack: an excluded turn also removes the user turn then last, so two
     excluded turns in a row can remove two user turns in a row.
     """
-    kind = history.getItem(0)
     none = F.slice(history, 1, 0)
 
     def step(kept: Column, t: Column) -> Column:
-        out = (t["role"] == "assistant") & excluded(F.coalesce(t["content"], F.lit("")))
+        out = F.coalesce((t["role"] == "assistant") & excluded(F.coalesce(t["content"], F.lit(""))), F.lit(False))
         asked = F.coalesce(F.try_element_at(kept, F.lit(-1))["role"] == "user", F.lit(False))
         return F.when(~out, F.concat(kept, F.array(t))).when(asked, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
 
-    return F.when(kind.isNull(), none).otherwise(F.aggregate(history, none, step))
+    return F.aggregate(history, none, step)
 
 
 def sticky(messages: DataFrame, column: str, clear: str = "all", order: str = "ord") -> DataFrame:
