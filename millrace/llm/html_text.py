@@ -1,8 +1,8 @@
 """HTML extraction: a small tree builder, visibility rules and a layout-aware renderer.
 
 The tokenizer splits a page into text, tags and comments; the builder inserts implied tags (a
-paragraph ends where a block begins, items, cells and rows end where the next one begins) and
-closes what a stray end tag leaves open.  The renderer emits all visible text: blocks are set
+paragraph ends where a block begins, items, cells and rows end where the next one begins, the head
+where content begins) and closes what a stray end tag leaves open.  The renderer emits all visible text: blocks are set
 apart by blank lines, list items get a marker by depth, `pre` keeps its spacing, and the cells of
 a table row are padded to their columns.
 """
@@ -33,8 +33,10 @@ ENDS_P = BLOCK - frozenset("body html option optgroup legend td th tr tbody thea
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
-    "thead": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}), "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
+    "thead": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}), "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
+#: Start tags that leave an open head open; any other one, and any text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: An end tag doesn't close past these.
 SCOPE = {"li": {"ul", "ol"}, "p": {"table", "td", "th"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 #: Nesting beyond which elements are opened as siblings, so depth is bounded.
@@ -70,7 +72,10 @@ def build(page: str) -> Node:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at:
-            stack[-1].children.append(html.unescape(page[at:end]))
+            text = html.unescape(page[at:end])
+            if text.strip(" \t\n\r\f"):
+                close({"head"})
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -83,6 +88,8 @@ def build(page: str) -> Node:
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             continue
+        if tag not in IN_HEAD:
+            close({"head"})
         if tag in ENDS_P:
             close({"p"}, {"table", "td", "th", "button"})
         if tag in IMPLIED_ENDS:

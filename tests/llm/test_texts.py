@@ -243,6 +243,20 @@ def test_any_markup_renders(page):
     html_text.page_text(page)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8>\n<link rel=x><style>a{}</style><script>b</script>\nHello <b>you</b>", "Hello you"),
+        ("<head><title>T</title><noscript>n</noscript><template>t</template><!-- c --> <h1>a</h1>b", "a\n\nb"),
+        ("<head>&nbsp;x</head>y", "\xa0xy"),
+        ("<head><title>T</title><body>a<head><title>U</title>b", "ab"),
+    ],
+)
+def test_content_ends_an_open_head(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_deep_long_and_empty_pages(spark):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     lists = "<ul><li>" * 2_000 + "y"
