@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +40,6 @@ IMPLIED_ENDS = {
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: An end tag doesn't close past these.
 SCOPE = {"li": {"ul", "ol"}, "p": {"table", "td", "th"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
-#: Nesting beyond which elements are opened as siblings, so depth is bounded.
-MOST_DEPTH = 400
 
 
 class Node:
@@ -58,15 +57,19 @@ def build(page: str) -> Node:
     """The page's tree: Nodes and strings."""
     root = Node("html")
     stack, at, size = [root], 0, len(page)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+
+    def last(tags):
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def close(names, bounds=()):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in bounds:
-                return False
-        return False
+        i = last(names)
+        if not i or i < last(bounds):
+            return False
+        for x in stack[i:]:
+            places[x.tag].pop()
+        del stack[i:]
+        return True
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -110,7 +113,8 @@ def build(page: str) -> Node:
             inner = page[at : close_at.start() if close_at else size]
             node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
             at = close_at.end() if close_at else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MOST_DEPTH:
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            places[tag].append(len(stack))
             stack.append(node)
     return root
 
@@ -163,16 +167,33 @@ class _Writer:
         return "\n".join(self.lines).strip("\n")
 
 
+def _run(job):
+    """The result of a generator that yields further ones and is sent theirs; pages nest deeper than calls can."""
+    jobs, value = [job], None
+    while jobs:
+        try:
+            jobs.append(jobs[-1].send(value))
+            value = None
+        except StopIteration as end:
+            jobs.pop()
+            value = end.value
+    return value
+
+
 def render(node: Node) -> str:
+    return _run(_rendered(node))
+
+
+def _rendered(node: Node):
     out = _Writer()
-    _render(node, out, 0, False)
+    yield _render(node, out, 0, False)
     return out.done()
 
 
-def _render(node: Node, out: _Writer, depth: int, pre: bool) -> None:
+def _render(node: Node, out: _Writer, depth: int, pre: bool):
     if node.tag == "table":
         out.end_line(True)
-        _table(node, out, depth)
+        yield _table(node, out)
         out.end_line(True)
         return
     number = node.start
@@ -194,26 +215,21 @@ def _render(node: Node, out: _Writer, depth: int, pre: bool) -> None:
             out.end_line()
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            inner = render(x) if any(not isinstance(c, str) and c.tag in BLOCK for c in x.children) else _inline(x)
+            inner = yield _rendered(x)
             pad = "  " * max(0, depth - 1)
             for i, line in enumerate(inner.split("\n")):
                 out.raw(pad + (marker if not i else " " * len(marker)) + line if line else "")
                 out.end_line()
         elif tag in BLOCK:
             out.end_line(tag in SPACED)
-            _render(x, out, depth + (tag in ("ul", "ol", "menu", "dir")), pre or tag == "pre")
+            yield _render(x, out, depth + (tag in ("ul", "ol", "menu", "dir")), pre or tag == "pre")
             out.end_line(tag in SPACED)
         else:
-            _render(x, out, depth, pre or tag in ("textarea",))
-
-
-def _inline(node: Node) -> str:
-    out = _Writer()
-    _render(node, out, 0, False)
-    return out.done()
+            yield _render(x, out, depth, pre or tag in ("textarea",))
 
 
 def _rows(node: Node):
+    """Rows of a table as (row, None), other content as (None, text or Node)."""
     for x in node.children:
         if isinstance(x, str) or x.hidden:
             if isinstance(x, str) and x.strip():
@@ -227,19 +243,25 @@ def _rows(node: Node):
             row.children.append(x)
             yield row, None
         elif x.tag not in ("colgroup", "col"):
-            yield None, _inline(x) if x.tag != "table" else render(x)
+            yield None, x
 
 
-def _table(node: Node, out: _Writer, depth: int) -> None:
+def _table(node: Node, out: _Writer):
     """Cells of a row side by side, padded to the width of their column; other text stands alone."""
     grid: list[list[list[str]] | str] = []
-    for row, text in _rows(node):
+    for row, other in _rows(node):
         if row is None:
+            text = other if isinstance(other, str) else (yield _rendered(other))
             if shown := _SPACE.sub(" ", text).strip() if "\n" not in text else text:
                 grid.append(shown)
             continue
-        cells = [render(c).split("\n") for c in row.children if not isinstance(c, str) and not c.hidden and c.tag in ("td", "th")]
-        loose = [c if isinstance(c, str) else _inline(c) for c in row.children if isinstance(c, str) or (not c.hidden and c.tag not in ("td", "th"))]
+        cells, loose = [], []
+        for c in row.children:
+            if isinstance(c, str):
+                loose.append(c)
+            elif not c.hidden:
+                text = yield _rendered(c)
+                cells.append(text.split("\n")) if c.tag in ("td", "th") else loose.append(text)
         if stray := " ".join(x.strip() for x in loose if x.strip()):
             grid.append(stray)
         if any(any(c) for c in cells):

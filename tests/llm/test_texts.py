@@ -257,6 +257,14 @@ def test_content_ends_an_open_head(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("depth", [10, 399, 500, 5_000])
+def test_depth_keeps_hidden_state_end_tags_and_layout(depth):
+    opened, closed = "<div>" * depth, "</div>" * depth
+    assert html_text.page_text(f"{opened}a<div hidden>secret</div><p style='display:none'>secret</p>b{closed}c") == "ab\nc"
+    assert html_text.page_text(f"<div hidden>{opened}secret{closed}secret</div>shown") == "shown"
+    assert html_text.page_text(f"{opened}<pre>a\n  b</pre><ul><li>c<li>d</ul><table><tr><th>k<th>value<tr><td>long<td>v</table>{closed}") == "a\n  b\n\n- c\n- d\n\nk     value\nlong  v"
+
+
 def test_deep_long_and_empty_pages(spark):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     lists = "<ul><li>" * 2_000 + "y"
