@@ -1,10 +1,10 @@
 """License scan by a positional index of rare licence words.
 
 The templates' words are indexed by their places, weighted by inverse document frequency over the
-templates.  A text's rarest licence words are looked up; each occurrence votes for the templates
-and relative positions (place in text - place in template) at which the template would start.
-Where enough rare words of a template agree on one relative position, the template's mandatory
-key phrases are verified at their own places before its label is given.
+templates.  A template's label needs its mandatory key phrases, in order, and enough of its rare
+words at relative positions (place in text - place in template) within a band about that of the
+first phrase.  The band lets item numbers, names and missing words shift what follows.  Words that
+begin consecutive lines alike, as comment markers do, are read both with and without.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ TEMPLATES = [
 
 #: Least inverse document frequency of an indexed word, as a share of the greatest.
 RARE_SHARE = 0.5
-#: Least share of a template's rare words that agree on one relative position.
+#: Least share of a template's rare words that agree on a band of relative positions.
 AGREE = 0.6
+#: A band's relative positions to each side: a share of the template's words, and the least.
+BAND_SHARE, BAND_LEAST = 0.25, 4
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -63,6 +65,7 @@ class RareWordIndex:
         self.words = distinct[inverse[rare]][order]
         self.template, self.place, self.weight = template[rare][order], place[rare][order], idf[inverse[rare]][order]
         self.total = np.bincount(self.template, self.weight, minlength=len(words))
+        self.sizes = [len(w) for w in words]
         self.keys = [[(len(k := _hashes(p)), tk.grams(k, len(k))[0], _find(w, k)) for p in t[2]] for t, w in zip(templates, words, strict=True)]
         self.phrases = [(len(k := _hashes(p)), tk.grams(k, len(k))[0], label) for p, label in phrases.items()]
 
@@ -71,20 +74,67 @@ def _find(words: np.ndarray, key: np.ndarray) -> int:
     return next(i for i in range(len(words) - len(key) + 1) if (words[i : i + len(key)] == key).all())
 
 
-def _places(w: tk.Words, h: np.ndarray, n: int, key: np.uint64, cache: dict) -> np.ndarray:
-    """Words at which the n-word phrase of hash `key` starts."""
+def _places(text: np.ndarray, h: np.ndarray, n: int, key: np.uint64, cache: dict) -> np.ndarray:
+    """Words at which the n-word phrase of hash `key` starts; `text` is the text of each word."""
     if n not in cache:
-        cache[n] = np.where(w.full(n), tk.grams(h, n), np.uint64(0))
+        full = np.zeros(len(h), bool)
+        full[: max(0, len(h) - n + 1)] = text[n - 1 :] == text[: max(0, len(h) - n + 1)]
+        cache[n] = np.where(full, tk.grams(h, n), np.uint64(0))
     return np.flatnonzero(cache[n] == key)
 
 
+def _line_markers(w: tk.Words, h: np.ndarray) -> np.ndarray:
+    """Mask of the words that begin a line as the line before or after it begins."""
+    line = np.concatenate([[0], np.cumsum(w.bytes == 10)])[w.starts]
+    first = np.flatnonzero(tk.run_starts(w.text, line)) if len(h) else np.zeros(0, np.int64)
+    alike = (h[first][1:] == h[first][:-1]) & (w.text[first][1:] == w.text[first][:-1])
+    out = np.zeros(len(h), bool)
+    out[first[1:][alike]] = out[first[:-1][alike]] = True
+    return out
+
+
+def _in_order(places: list[np.ndarray], keys: list[tuple], start: int, band: int, end: int) -> bool:
+    """Do the phrases after the first follow it, each after the one before and within the band?"""
+    past = start + keys[0][2] + keys[0][0]
+    for at, (n, _, offset) in zip(places[1:], keys[1:], strict=True):
+        i = np.searchsorted(at, max(past, start + offset - band))
+        if i == len(at) or at[i] > start + offset + band or at[i] + n > end:
+            return False
+        past = at[i] + n
+    return True
+
+
+def _notices(text: np.ndarray, h: np.ndarray, index: RareWordIndex, cache: dict) -> dict[tuple[int, int], float]:
+    """(text, template) -> greatest weighted share of the template's rare words found in a band."""
+    out: dict[tuple[int, int], float] = {}
+    for t, keys in enumerate(index.keys):
+        places = [_places(text, h, n, key, cache) for n, key, _ in keys]
+        if not all(map(len, places)):
+            continue
+        band, own = max(BAND_LEAST, int(BAND_SHARE * index.sizes[t])), index.template == t
+        words, place, weight = index.words[own], index.place[own], index.weight[own]
+        for p in places[0].tolist():
+            x = int(text[p])
+            if out.get((x, t), 0.0) >= 1.0:
+                continue
+            start, begin, end = p - keys[0][2], int(np.searchsorted(text, x, "left")), int(np.searchsorted(text, x, "right"))
+            if not _in_order(places, keys, start, band, end):
+                continue
+            lo = max(begin, start - band)
+            near = h[lo : min(end, start + index.sizes[t] + band)]
+            at, posting = np.nonzero(near[:, None] == words)
+            found = np.unique(posting[np.abs(at + lo - place[posting] - start) <= band])
+            out[x, t] = max(out.get((x, t), 0.0), round(float(weight[found].sum() / index.total[t]), 12))
+    return out
+
+
 def scan_slice(column: pa.Array, index: RareWordIndex) -> dict[str, list | np.ndarray]:
     w = tk.Words(column, tk.ALNUM_WORDS, lower=True)
     h, n_texts, cache = w.hashes(), len(column), {}
     base: list[set] = [set() for _ in range(n_texts)]
     n_base, first, last = np.zeros(n_texts, np.int64), np.full(n_texts, np.iinfo(np.int64).max), np.full(n_texts, -1)
     for n, key, label in index.phrases:
-        at = _places(w, h, n, key, cache)
+        at = _places(w.text, h, n, key, cache)
         text, place = w.text[at], at - w.offsets[w.text[at]]
         np.add.at(n_base, text, 1)
         np.minimum.at(first, text, place)
@@ -92,24 +142,17 @@ def scan_slice(column: pa.Array, index: RareWordIndex) -> dict[str, list | np.nd
         for t in np.unique(text):
             base[t].add(label)
     labels, score = [set(x) for x in base], np.where(n_base > 0, 0.5, 0.0)
-    # rare words of the texts -> votes for (text, template, relative position)
-    lo, hi = np.searchsorted(index.words, h, "left"), np.searchsorted(index.words, h, "right")
-    at = np.flatnonzero(hi > lo)
-    n = (hi - lo)[at]
-    posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n)
-    at = np.repeat(at, n)
-    template, start = index.template[posting], at - index.place[posting]
-    order = np.lexsort((start, template, w.text[at]))
-    at, template, start, weight = at[order], template[order], start[order], index.weight[posting][order]
-    if len(at):
-        new = np.flatnonzero(tk.run_starts(w.text[at], template, start))
-        share = np.add.reduceat(weight, new) / index.total[template[new]]
-        found = {key: set(_places(w, h, n, key, cache).tolist()) for k in index.keys for n, key, _ in k}
-        for i, s in zip(new[share >= AGREE].tolist(), share[share >= AGREE].tolist(), strict=True):
-            if all(start[i] + offset in found[key] for _, key, offset in index.keys[template[i]]):
-                t = w.text[at[i]]
-                labels[t].add(index.labels[template[i]])
-                score[t] = max(score[t], min(1.0, 0.5 + 0.5 * s))
+    notices = [_notices(w.text, h, index, cache)]
+    marker = _line_markers(w, h)
+    if marker.any():
+        marked = np.zeros(n_texts, bool)
+        marked[w.text[marker]] = True
+        kept = ~marker & marked[w.text]
+        notices.append(_notices(w.text[kept], h[kept], index, {}))
+    for (t, template), s in (x for found in notices for x in found.items()):
+        if s >= AGREE:
+            labels[t].add(index.labels[template])
+            score[t] = max(score[t], min(1.0, 0.5 + 0.5 * s))
     names = lambda sets: [",".join(sorted(s)) for s in sets]
     none = n_base == 0
     return {"n_words": w.counts.astype(np.int64), "n_base": n_base, "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_labels": names(base), "labels": names(labels), "score": score}
@@ -120,7 +163,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES)
 
     Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z; a null text is
     empty.  score is 0 without any label, 0.5 for a phrase alone, and rises to 1 with the weighted
-    share of a template's rare words found in place.  Rows are judged alone: ids may be null or
+    share of a template's rare words found in its band.  Rows are judged alone: ids may be null or
     repeat.  One pass, no shuffle.  An input column with a result's name is replaced.
     """
     index = RareWordIndex(templates)

@@ -110,6 +110,39 @@ def test_license_notices_are_found_in_place(spark):
         assert label not in set(out[3]["labels"].split(",")) - set(out[3]["base_labels"].split(","))
 
 
+def license_labels(texts):
+    import pyarrow as pa
+
+    return [set(x.split(",")) - {""} for x in licenses.scan_slice(pa.array(texts), licenses.RareWordIndex())["labels"]]
+
+
+def test_numbered_bulleted_and_shortened_notices():
+    bsd = next(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    numbered = bsd.replace("met: ", "met:\n\n  1. ")
+    bulleted = bsd.replace("met: ", "met:\n\n  (a) ")
+    named = bsd.replace("conditions are met", "conditions set by Some Company are met")
+    shorter = bsd.replace("with or without modification, ", "")
+    assert license_labels([numbered, bulleted, named, shorter, f"a b c\n{numbered} d e"]) == [{"bsd"}] * 5
+
+
+@pytest.mark.parametrize("marker", ["dnl ", "REM ", "c     ", " * ", "# "])
+@pytest.mark.parametrize("width", [30, 72])
+def test_notices_with_a_word_before_each_line(marker, width):
+    import textwrap
+
+    for label, notice, _ in licenses.TEMPLATES:
+        lines = [marker + x for x in textwrap.wrap(notice, width)]
+        if len(lines) > 1:
+            assert label in license_labels(["\n".join(["x = 1", *lines, "y = 2"])])[0], (label, lines)
+
+
+def test_notices_of_other_licenses_and_far_phrases_have_no_label():
+    by = {label: t for label, t, _ in licenses.TEMPLATES}
+    assert license_labels([by["lgpl"], by["boost"], by["isc"]]) == [{"lgpl"}, {"boost"}, {"isc"}]
+    keys = next(k for label, _, k in licenses.TEMPLATES if label == "bsd")
+    assert license_labels([f"{keys[0]} {'other words ' * 40} {keys[1]}", f"{keys[1]} {keys[0]}", keys[0]]) == [set()] * 3
+
+
 def test_licenses_of_nothing(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], brute.SCHEMA)).count() == 0
 
