@@ -48,18 +48,29 @@ def top_per_query(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, score, rank) by cosine; queries(query_id, vector, *on), chunks(id, embedding, *on).
+def dense_scores(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score) of all pairs by cosine; queries(query_id, vector, *on), chunks(id, embedding, *on).
 
     Rows without an embedding are left out; `on` holds the tenant and filter columns, which are
-    compared inside the scan.  Scores are rounded to 9 places before they are ranked, ties by id.
+    compared inside the scan.  Scores are rounded to 9 places.
     """
     stored = chunks.where(F.col("embedding").isNotNull())
     parts = []
     for block in query_blocks(queries):
         pairs = stored.join(F.broadcast(block), list(on)) if on else stored.join(F.broadcast(block))
         parts.append(pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("vector")), 9).alias("score")))
-    return top_per_query(_union(parts), k, F.col("id"))
+    return _union(parts)
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, rank) of the first k pairs of `dense_scores`, ties by id."""
+    return top_per_query(dense_scores(queries, chunks, on), k, F.col("id"))
+
+
+def nearest_other(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, expected_id): the best row but the query's own, over all rows; ties by id."""
+    others = dense_scores(queries, chunks, on).where(F.col("id") != F.col("query_id"))
+    return others.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("expected_id"))
 
 
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:

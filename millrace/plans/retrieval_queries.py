@@ -59,9 +59,8 @@ def hybrid(spark, sf_dir):
 def accuracy(spark, sf_dir):
     """Is the nearest other vector of the query's own label among the first five others?"""
     q = dense_queries(spark, sf_dir)
-    near = retrieval.dense_top_k(q, vectors(spark, sf_dir), 1_000_000).where(F.col("id") != F.col("query_id")).withColumn("rank", F.col("rank") - 1)
-    labels = vectors(spark, sf_dir).select("id", "label")
-    expected = near.join(labels, "id").join(q.select("query_id", "query_label"), "query_id").where("label = query_label").groupBy("query_id").agg(F.min_by("id", "rank").alias("expected_id"))
+    expected = retrieval.nearest_other(q.withColumnRenamed("query_label", "label"), vectors(spark, sf_dir), on=("label",))
+    near = retrieval.dense_top_k(q, vectors(spark, sf_dir), 6).where(F.col("id") != F.col("query_id"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     ranked = near.withColumn("rank", order).withColumn("model", F.lit("dot"))
     out = retrieval.top_k_accuracy(ranked, expected, 5)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import bidi
 from millrace.functions import text as tx
 from millrace.operators import analytics, decisions, history
+from millrace.plans import registry
 
 
 def test_rates_of_an_empty_period_are_zero(spark):
@@ -47,6 +48,15 @@ def test_excluded_turns_take_their_question_along(spark, turns, left):
     assert " ".join(t["content"] for t in kept) == left
 
 
+def test_accuracy_counts_queries_whose_expected_row_ranks_last(spark, tmp_path):
+    ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") + 100)
+    ends = F.col("id").isin(0, 1_000_001)
+    rows = spark.range(1_000_002).select(ids.alias("vec_id"), F.array(F.when(F.col("id") == 1_000_001, -1.0).otherwise(1.0).cast("float")).alias("embedding"), F.when(ends, 1).otherwise(0).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = registry.QUERIES["d6_top_k_accuracy"](spark, str(tmp_path)).collect()
+    assert [(r["top_k_accuracy"], r["query_count"]) for r in out] == [(0.0, 1)]
+
+
 def test_breadth_at_the_thresholds(spark):
     ranked = spark.createDataFrame([(1, 1, 0.9, 1), (2, 1, 0.9, 1), (2, 2, 0.6, 2), (3, 1, 0.9, 1), (3, 2, 0.7, 2)], "query_id long, id long, score double, rank int")
     out = {r["query_id"]: r["breadth"] for r in decisions.breadth(ranked).collect()}
