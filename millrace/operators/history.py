@@ -56,6 +56,26 @@ def without_excluded(history: Column, excluded) -> Column:
     return F.aggregate(history, none, step)
 
 
+def kept_turns(messages: DataFrame, excluded, order: str = "ord") -> DataFrame:
+    """Messages with `nth` in their session and `kept`: the fold of `without_excluded` over sessions of any length.
+
+    Kept turns other than the user's are never removed and hide what lies below, so they cut the
+    stack into parts; in a part, a user turn goes if the number of turns on the stack later falls
+    below the number with it.
+    """
+    nth = Window.partitionBy(*SESSION).orderBy(order, "role", "content")
+    out = F.coalesce((F.col("role") == "assistant") & excluded(F.coalesce("content", F.lit(""))), F.lit(False))
+    asked = F.coalesce(F.col("role") == "user", F.lit(False))
+    x = messages.withColumn("nth", F.row_number().over(nth)).withColumn("_out", out).withColumn("_asked", asked)
+    upto = Window.partitionBy(*SESSION).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_part", F.sum((~F.col("_out") & ~F.col("_asked")).cast("long")).over(upto))
+    part = Window.partitionBy(*SESSION, "_part")
+    x = x.withColumn("_size", F.sum(F.col("_asked").cast("long") - F.col("_out").cast("long")).over(part.orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min("_size").over(part.orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1))
+    kept = ~F.col("_out") & (~F.col("_asked") | (F.coalesce(least, F.col("_size")) >= F.col("_size")))
+    return x.withColumn("kept", kept).drop("_out", "_asked", "_part", "_size")
+
+
 def sticky(messages: DataFrame, column: str, clear: str = "all", order: str = "ord") -> DataFrame:
     """`column` as it holds after each message: null keeps the last value, `clear` drops it."""
     upto = Window.partitionBy(*SESSION).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -85,8 +85,9 @@ def rolling_history(spark, sf_dir):
 @query("e8_history_filter")
 def history_filter(spark, sf_dir):
     """Assistant turns that hold "the" stand for declines; tests state the fold's rule."""
-    h = history.last_messages(messages(spark, sf_dir), 1000)
-    return h.select("client_id", "session_id", _flat(history.without_excluded(F.col("history"), lambda c: F.contains(c, F.lit("the")))).alias("history"))
+    turns = history.kept_turns(messages(spark, sf_dir), lambda c: F.contains(c, F.lit("the")))
+    h = turns.groupBy(*history.SESSION).agg(F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("nth", "role", "content")))).alias("h"))
+    return h.select("client_id", "session_id", _flat("h").alias("history"))
 
 
 @query("i1_session_extents", """WITH m AS (SELECT 'c' || (user_id % 3) AS client_id, user_id AS session_id, ts FROM events),

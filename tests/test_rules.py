@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,25 @@ def test_excluded_turns_take_their_question_along(spark, turns, left):
     assert " ".join(t["content"] for t in kept) == left
 
 
+def test_kept_turns_equal_the_fold(spark):
+    r = random.Random(4)
+    rows = [("c", s, i, *r.choice([("user", "q"), ("user", None), ("assistant", "X"), ("assistant", "X"), ("assistant", "a"), ("system", "X"), (None, "X")])) for s in range(200) for i in range(r.randrange(1, 30))]
+    frame = spark.createDataFrame(rows, "client_id string, session_id long, ord long, role string, content string")
+    excluded = lambda c: F.startswith(c, F.lit("X"))
+    folded = history.last_messages(frame, 1000).select("session_id", history.without_excluded(F.col("history"), excluded).alias("h")).collect()
+    kept = {}
+    for x in history.kept_turns(frame, excluded).orderBy("session_id", "nth").collect():
+        kept.setdefault(x["session_id"], []).extend([(x["role"], x["content"])] * x["kept"])
+    assert kept == {x["session_id"]: [tuple(t) for t in x["h"]] for x in folded}
+
+
+def test_history_filter_keeps_turns_of_long_sessions(spark, tmp_path):
+    turns = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = registry.QUERIES["e8_history_filter"](spark, str(tmp_path)).collect()
+    assert row["history"].split("|") == [f"user={i}" for i in range(3000)]
+
+
 def test_accuracy_counts_queries_whose_expected_row_ranks_last(spark, tmp_path):
     ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") + 100)
     ends = F.col("id").isin(0, 1_000_001)
