@@ -38,25 +38,30 @@ def boilerplate_labels(chunks: DataFrame, count: int = LABEL_COUNT, ratio: float
     return per.withColumn("distinct_ratio", F.col("d") / F.col("n")).where((F.col("n") >= count) & (F.col("distinct_ratio") <= ratio)).drop("d")
 
 
-def conflicts(chunks: DataFrame, most: int = CONFLICT_MOST) -> DataFrame:
-    """(client_id, label, values, ids): labels with two or more values; the first two and a chunk of each."""
+def _at_most(rows: DataFrame, most: int | None, *ids: str) -> DataFrame:
+    """The first `most` rows of each tenant in hash order of the ids; all if None."""
+    if most is None:
+        return rows
+    order = Window.partitionBy("client_id").orderBy(hash_order(4, *ids))
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+
+
+def conflicts(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """(client_id, label, values, ids): labels with two or more values, or `most` of each tenant; the first two and a chunk of each."""
     per = labelled(chunks).groupBy("client_id", "label", tx.collapsed(F.col("value")).alias("value")).agg(F.min("id").alias("id"))
     nth = Window.partitionBy("client_id", "label").orderBy("id", "value")
     two = per.withColumn("nth", F.row_number().over(nth)).where("nth <= 2")
     out = two.groupBy("client_id", "label").agg(F.sort_array(F.collect_list(F.struct("nth", "value", "id"))).alias("p")).where("size(p) = 2")
-    order = Window.partitionBy("client_id").orderBy(hash_order(4, "label"))
-    ranked = out.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    return ranked.select("client_id", "label", F.transform("p", lambda x: x["value"]).alias("values"), F.transform("p", lambda x: x["id"]).alias("ids"))
+    return _at_most(out, most, "label").select("client_id", "label", F.transform("p", lambda x: x["value"]).alias("values"), F.transform("p", lambda x: x["id"]).alias("ids"))
 
 
-def missing_fields(chunks: DataFrame, most: int = MISSING_MOST) -> DataFrame:
-    """(client_id, id, label): labels of a sheet that a chunk of it lacks."""
+def missing_fields(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """(client_id, id, label): labels of a sheet that a chunk of it lacks, or `most` of each tenant."""
     rows = labelled(chunks)
     sheet = rows.groupBy("client_id", "sheet_name").agg(F.array_sort(F.collect_set("label")).alias("all"))
     own = chunks.select("client_id", "sheet_name", "id", F.transform("fields", lambda f: f["key"]).alias("own"))
     lacking = own.join(sheet, ["client_id", "sheet_name"]).select("client_id", "id", F.explode(F.array_except("all", "own")).alias("label"))
-    order = Window.partitionBy("client_id").orderBy(hash_order(4, "id", "label"))
-    return lacking.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+    return _at_most(lacking, most, "id", "label")
 
 
 def per_group(rows: DataFrame, n: int, seed: int, *by: str, id_col: str = "id") -> DataFrame:
@@ -142,8 +147,8 @@ def absence_pass(questions: DataFrame, chunks: DataFrame, done: DataFrame, targe
 
 def ambiguous_pass(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Questions without one answer: fields that a chunk lacks, and labels whose values conflict."""
-    direct = missing_fields(chunks).select(tx.stable_id("missing", F.col("client_id"), F.col("id"), F.col("label")).alias("custom_id"), "client_id", F.lit("ambiguous_direct").alias("grounding_type"), "label", F.array("id").alias("ids"))
-    cross = conflicts(chunks).select(tx.stable_id("conflict", F.col("client_id"), F.col("label")).alias("custom_id"), "client_id", F.lit("ambiguous_cross_chunk").alias("grounding_type"), "label", "ids")
+    direct = missing_fields(chunks, MISSING_MOST).select(tx.stable_id("missing", F.col("client_id"), F.col("id"), F.col("label")).alias("custom_id"), "client_id", F.lit("ambiguous_direct").alias("grounding_type"), "label", F.array("id").alias("ids"))
+    cross = conflicts(chunks, CONFLICT_MOST).select(tx.stable_id("conflict", F.col("client_id"), F.col("label")).alias("custom_id"), "client_id", F.lit("ambiguous_cross_chunk").alias("grounding_type"), "label", "ids")
     return not_done(direct.unionByName(cross), done)
 
 

@@ -85,7 +85,8 @@ def taxonomy(spark, sf_dir):
 
 @query("c13_missing_fields", f"WITH {PART_SQL}, m AS (SELECT p_partkey AS id, 'size' AS label FROM part WHERE p_partkey % 7 = 0 AND p_brand IN (SELECT sheet_name FROM fields WHERE label = 'size')) SELECT 'c0' AS client_id, id, label FROM m ORDER BY sha1('4|' || id || '|' || label) LIMIT 30")
 def missing_fields(spark, sf_dir):
-    return curation.missing_fields(part_chunks(spark, sf_dir))
+    """With the limit that its SQL states; the operator has none of its own."""
+    return curation.missing_fields(part_chunks(spark, sf_dir), curation.MISSING_MOST)
 
 
 @query("e7_per_group", "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('1|' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, lang, source FROM r WHERE n <= 3")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import bidi
 from millrace.functions import text as tx
-from millrace.operators import analytics, decisions, history
+from millrace.operators import analytics, curation, decisions, history
 from millrace.plans import registry
 
 
@@ -69,6 +69,16 @@ def test_history_filter_keeps_turns_of_long_sessions(spark, tmp_path):
     assert row["history"].split("|") == [f"user={i}" for i in range(3000)]
 
 
+def test_conflicts_and_missing_fields_have_no_limit_but_in_their_pass(spark):
+    field = lambda k, v: {"key": k, "value": v}
+    rows = [("c", i, "s", "b", [field(f"l{k}", str(i)) for k in range(50) if i or k]) for i in range(2)] + [("c", i, "s", "b", [field("l1", "0")]) for i in range(2, 4)]
+    chunks = spark.createDataFrame(rows, "client_id string, id long, sheet_name string, brand string, fields array<struct<key:string,value:string>>")
+    assert {x["label"] for x in curation.conflicts(chunks).collect()} == {f"l{k}" for k in range(1, 50)}
+    assert curation.missing_fields(chunks).count() == 1 + 2 * 49
+    out = curation.ambiguous_pass(chunks, spark.createDataFrame([], "custom_id string")).groupBy("grounding_type").count().collect()
+    assert {x["grounding_type"]: x["count"] for x in out} == {"ambiguous_direct": 30, "ambiguous_cross_chunk": 20}
+
+
 def test_accuracy_counts_queries_whose_expected_row_ranks_last(spark, tmp_path):
     ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") + 100)
     ends = F.col("id").isin(0, 1_000_001)
