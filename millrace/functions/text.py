@@ -74,11 +74,16 @@ def significant_tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS)))
 
 
+def first_difference(a: Column, b: Column) -> Column:
+    """Place, from 1, of the first tokens that differ; 0 if none do."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+
+
 def common_prefix(lists: Column) -> Column:
     """Leading tokens that all lists share; none if a list is empty."""
 
     def shared(a: Column, b: Column) -> Column:
-        differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+        differs = first_difference(a, b)
         return F.slice(a, 1, F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int"))
 
     return F.aggregate(lists, F.element_at(lists, 1), shared)

@@ -20,6 +20,8 @@ PER_LABEL = 3
 COMPOUND_SHARE = 0.4
 MISSING_MOST, CONFLICT_MOST = 30, 20
 VAL_FRACTION, VAL_FROM = 0.05, 20
+#: Hexadecimal digits of a hash by which the split counts rows before it ranks any.
+BUCKET_DIGITS = 3
 
 
 def hash_order(seed: int, *ids: str) -> Column:
@@ -175,14 +177,23 @@ def dedup_report(records: DataFrame, order: str = "ord") -> DataFrame:
 def stratified_split(records: DataFrame, stratum: str = "pass", id_col: str = "id", seed: int = 101) -> DataFrame:
     """Records with `split`: of strata of 20 or more, a twentieth (half to even) is for validation.
 
-    Validation rows are the first of their stratum in hash order, found through a count join, so
-    only their ranks need a window.
+    Validation rows are the first of their stratum in hash order.  Counts by the hash's first
+    digits tell the bucket in which a stratum's last one lies; only rows of that bucket are
+    ranked, and all others are marked by comparison.
     """
-    sizes = records.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(stratum).orderBy(hash_order(seed, id_col), id_col)
-    n_val = F.when(F.col("_n") >= VAL_FROM, F.bround(F.col("_n") * VAL_FRACTION)).otherwise(0)
-    x = records.join(F.broadcast(sizes), records[stratum].eqNullSafe(sizes[stratum])).drop(sizes[stratum])
-    return x.withColumn("split", F.when(F.row_number().over(order) <= n_val, "val").otherwise("train")).drop("_n")
+    h = hash_order(seed, id_col)
+    rows = records.withColumn("_bucket", F.conv(F.substring(h, 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    counts = rows.groupBy(F.col(stratum).alias("_stratum"), "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    of, n = Window.partitionBy("_stratum"), F.col("_n")
+    n_val = F.when(n >= VAL_FROM, F.bround(n * VAL_FRACTION)).otherwise(0)
+    upto = F.sum("_c").over(of.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    sized = counts.withColumn("_n", F.sum("_c").over(of)).withColumn("_before", upto - F.col("_c")).withColumn("_left", n_val - F.col("_before"))
+    edges = sized.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_c"))).select("_stratum", F.col("_bucket").alias("_edge"), "_left")
+    x = rows.join(F.broadcast(edges), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    marked = lambda part, val: part.select(*records.columns, F.when(val, "val").otherwise("train").alias("split"))
+    order = Window.partitionBy(stratum).orderBy(h, id_col)
+    edge = marked(x.where("_bucket = _edge").withColumn("_nth", F.row_number().over(order)), F.col("_nth") <= F.col("_left"))
+    return marked(x.where("_edge is null or _bucket <> _edge"), F.col("_bucket") < F.col("_edge")).union(edge)
 
 
 def alpaca(records: DataFrame, system: str) -> DataFrame:

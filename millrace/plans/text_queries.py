@@ -40,8 +40,13 @@ def tokens(spark, sf_dir):
  pos AS (SELECT p_brand, unnest(range(1, len(f) + 1)) AS i, f FROM one), bad AS (SELECT p.p_brand, min(p.i) AS i FROM pos p JOIN w USING (p_brand) WHERE w.t[p.i] IS DISTINCT FROM p.f[p.i] GROUP BY p.p_brand)
  SELECT o.p_brand AS brand, array_to_string(CASE WHEN b.i IS NULL THEN o.f ELSE list_slice(o.f, 1, b.i - 1) END, ' ') AS prefix FROM one o LEFT JOIN bad b USING (p_brand)""")
 def common_prefix(spark, sf_dir):
-    lists = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.split("p_name", " ").alias("t")))).alias("x"))
-    return lists.select("brand", F.array_join(tx.common_prefix(F.transform("x", lambda r: r["t"])), " ").alias("prefix"))
+    """Each brand's first list, cut at the first place where any other differs; no brand's lists meet in one row."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_partkey", F.split("p_name", " ").alias("t"))
+    one = rows.where("t is not null").groupBy("brand").agg(F.min_by("t", "p_partkey").alias("f"))
+    pairs = rows.join(F.broadcast(one.withColumnRenamed("brand", "own")), F.col("brand").eqNullSafe(F.col("own")), "left")
+    differs = F.coalesce(tx.first_difference(F.col("f"), F.col("t")), F.lit(1))
+    cut = pairs.groupBy("brand").agg(F.first("f").alias("f"), F.min(F.when(differs > 0, differs)).alias("i"))
+    return cut.select("brand", F.array_join(F.slice("f", 1, F.coalesce(F.col("i") - 1, F.size("f")).cast("int")), " ").alias("prefix"))
 
 
 @query("h6_significant_tokens", r"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\p{L}+'), lambda x: len(x) >= 3))), ',') AS tokens FROM benchmark")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -79,6 +80,29 @@ def test_conflicts_and_missing_fields_have_no_limit_but_in_their_pass(spark):
     assert {x["grounding_type"]: x["count"] for x in out} == {"ambiguous_direct": 30, "ambiguous_cross_chunk": 20}
 
 
+def test_split_ranks_only_the_rows_about_its_edge(spark):
+    n = 20_000
+    rows = spark.range(n).select("id", F.when(F.col("id") < 30, "few").when(F.col("id") < 49, "none").when(F.col("id") < 1000, None).otherwise("many").alias("pass"))
+    out = curation.stratified_split(rows)
+    kept = {x["pass"]: {y["id"] for y in out.where(F.col("pass").eqNullSafe(x["pass"]) & (F.col("split") == "val")).collect()} for x in rows.select("pass").distinct().collect()}
+    ids = {}
+    for x in rows.collect():
+        ids.setdefault(x["pass"], []).append(x["id"])
+    order = lambda i: hashlib.sha1(f"101|{i}".encode()).hexdigest()
+    assert kept == {p: set(sorted(v, key=order)[: round(len(v) * 0.05) if len(v) >= 20 else 0]) for p, v in ids.items()}
+    assert out.count() == n
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_bucket" in plan[plan.index("row_number()") :]  # the rows below the rank are filtered by bucket
+
+
+def test_common_prefix_of_a_brand_needs_no_list_of_its_parts(spark, tmp_path):
+    names = [("a", 2, "x y w"), ("a", 1, "x y z"), ("b", 3, "x y"), ("b", 4, "x y z"), ("c", 5, "q"), ("d", 6, "x"), ("d", 7, "y"), ("e", 8, None), ("e", 9, "x")]
+    spark.createDataFrame(names, "p_brand string, p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    out = registry.QUERIES["h5_common_prefix"](spark, str(tmp_path))
+    assert {r["brand"]: r["prefix"] for r in out.collect()} == {"a": "x y", "b": "x y", "c": "q", "d": "", "e": ""}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_accuracy_counts_queries_whose_expected_row_ranks_last(spark, tmp_path):
     ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") + 100)
     ends = F.col("id").isin(0, 1_000_001)
