@@ -1,10 +1,12 @@
 """HTML extraction: a small tree builder, visibility rules and a layout-aware renderer.
 
-The tokenizer splits a page into text, tags and comments; the builder inserts implied tags (a
-paragraph ends where a block begins, items, cells and rows end where the next one begins, the head
-where content begins) and closes what a stray end tag leaves open.  The renderer emits all visible text: blocks are set
-apart by blank lines, list items get a marker by depth, `pre` keeps its spacing, and the cells of
-a table row are padded to their columns.
+The tokenizer goes over a page once and never back: what an unfinished tag or comment opens ends
+with the page.  The builder inserts implied tags (a paragraph ends where a block begins, items,
+cells and rows end where the next one begins, the head where content begins) and keeps an end tag
+from closing more than its element's scope.  The renderer emits all visible text: blocks are set
+apart by blank lines, list items get a marker and their lines its width, `pre` keeps its spacing,
+and the cells of a table row are padded to their columns.  Nothing is recursive, and a page takes
+time in proportion to its size at any depth.
 """
 
 from __future__ import annotations
@@ -16,155 +18,282 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm._shared import quoted, with_computed
+from millrace.llm._shared import with_computed
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_WS = " \t\n\r\f"
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_OPEN = re.compile(r"<(?:[!?/]|[A-Za-z])")
+_LETTER = re.compile(r"[A-Za-z]")
+_NAME = re.compile(r"[^ \t\n\r\f/>]+")
+#: What stands before an attribute, then the tag's end or the attribute: name and value in one of three forms.
+_ATTRIBUTE = re.compile(r"""([ \t\n\r\f/]*+)(?:(>)|(=?[^ \t\n\r\f/>=]++|=)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)?+))?+)""")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_READ = frozenset(("hidden", "aria-hidden", "style", "type", "start", "alt"))
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 NEVER_SHOWN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure hr article section".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup legend td th tr tbody thead tfoot caption dd dt li summary".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+FOREIGN = frozenset(("svg", "math"))
+LISTS = frozenset(("ul", "ol", "menu", "dir"))
 #: Start tag -> open elements that it ends, and those beyond which it doesn't look.
 IMPLIED_ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
     "thead": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}), "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
 #: Start tags that leave an open head open; any other one, and any text, ends it.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
-#: An end tag doesn't close past these.
-SCOPE = {"li": {"ul", "ol"}, "p": {"table", "td", "th"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
+#: An end tag doesn't close past these; that of an element in no class doesn't close past any block.
+_CELLS = frozenset(("table", "td", "th", "caption", "template", "object"))
+SCOPE = {"li": LISTS | _CELLS, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "table": {"template"}, "template": set(), "object": set(), "body": set()}
+_ANY_BLOCK = "*"  # the key of open blocks, whatever their tag
+
+#: Open elements inside a hidden formatting element beyond which its misplaced end tag is not repaired.
+MOST_ABOVE = 200
+#: Nested lists beyond this many indents stand no further to the right.
+MOST_INDENTS = 20
+#: Tables inside this many others are written cell by cell.
+MOST_TABLES = 6
+#: A table is aligned while that takes at most so many characters for each of its text's, and these besides.
+ALIGN_TIMES, ALIGN_FREE = 16, 4096
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "pre", "children", "start")
+    __slots__ = ("tag", "hidden", "children", "start")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1):
         self.tag, self.hidden, self.children, self.start = tag, hidden, [], start
 
 
-def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I) for tag in RAW}
 
 
-def build(page: str) -> Node:
-    """The page's tree: Nodes and strings."""
-    root = Node("html")
-    stack, at, size = [root], 0, len(page)
-    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+def read_tag(page: str, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+    """(tag, attributes that matter, whether it closes itself, place behind it); None if the page ends inside."""
+    m = _NAME.match(page, at)
+    tag, attributes = m[0].lower(), {}
+    while m := _ATTRIBUTE.match(page, m.end()):
+        if m[2]:
+            return tag, attributes, m[1].endswith("/"), m.end()
+        name = m[3].lower()
+        if name in _READ and name not in attributes:
+            attributes[name] = html.unescape(m[4] or m[5] or m[6] or "")
+    return None
+
 
-    def last(tags):
-        return max((places[t][-1] for t in tags if places[t]), default=0)
+def _hidden(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in NEVER_SHOWN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden")
+
+
+class _Tree:
+    """The open elements of a page, with their places by tag."""
+
+    def __init__(self):
+        self.stack = [Node("html")]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
 
-    def close(names, bounds=()):
-        i = last(names)
-        if not i or i < last(bounds):
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def close(self, tags, bounds=()) -> bool:
+        """Close the last open element of these tags and all inside it, unless a bound stands between."""
+        i = self.last(tags)
+        if not i or i < self.last(bounds):
             return False
-        for x in stack[i:]:
-            places[x.tag].pop()
-        del stack[i:]
+        for x in self.stack[i:]:
+            self.places[x.tag].pop()
+            if x.tag in BLOCK:
+                self.places[_ANY_BLOCK].pop()
+        del self.stack[i:]
         return True
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            text = html.unescape(page[at:end])
-            if text.strip(" \t\n\r\f"):
-                close({"head"})
-            stack[-1].children.append(text)
-        if not m:
-            break
-        at = m.end()
-        if not (tag := m[2]):
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if not close({tag}, SCOPE.get(tag, ())) and tag == "p":
-                stack[-1].children.append(Node("p"))
-            elif tag == "br":
-                stack[-1].children.append(Node("br"))
-            continue
+    def add(self, child: Node | str) -> None:
+        self.stack[-1].children.append(child)
+
+    def open(self, node: Node) -> None:
+        for key in (node.tag, _ANY_BLOCK) if node.tag in BLOCK else (node.tag,):
+            self.places[key].append(len(self.stack))
+        self.stack.append(node)
+
+    def text(self, text: str) -> None:
+        if text.strip(_WS):
+            self.close({"head"}, {"template"})
+        self.add(text)
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.add(Node("br"))
+        elif self.close({tag}, SCOPE.get(tag, _CELLS if tag in BLOCK else {_ANY_BLOCK})):
+            return
+        elif tag == "p":
+            self.add(Node("p"))
+        elif tag in FORMATTING and self.last({tag}) > self.last(_CELLS):
+            self.end_inside(self.last({tag}))
+
+    def end_inside(self, i: int) -> None:
+        """End the formatting element at place i, inside which blocks are open: what they hold so far stays formatted.
+
+        It matters for hidden ones only, and costs a step for each element above; those with more
+        than MOST_ABOVE stay open, as a stray end tag's would.
+        """
+        node, above = self.stack[i], self.stack[i + 1 :]
+        if not node.hidden or len(above) > MOST_ABOVE:
+            return
+        node.children.pop()  # an open element is its parent's last child
+        home = self.stack[i - 1]
+        for n, x in enumerate(above):
+            inside = x.children[:-1] if n + 1 < len(above) else x.children
+            if inside:
+                wrapper = Node(node.tag, True)
+                wrapper.children = inside
+            x.children = [wrapper] if inside else []
+            home.children.append(x)
+            home = x
+        self.places[node.tag].pop()
+        del self.stack[i]
+        for places in self.places.values():
+            for k in range(len(places) - 1, -1, -1):
+                if places[k] <= i:
+                    break
+                places[k] -= 1
+
+    def start(self, tag: str, attributes: dict[str, str], closes_itself: bool) -> bool:
+        """Whether a raw element opens, whose text the caller reads."""
         if tag not in IN_HEAD:
-            close({"head"})
+            self.close({"head"}, {"template"})
         if tag in ENDS_P:
-            close({"p"}, {"table", "td", "th", "button"})
+            self.close({"p"}, _CELLS | {"button"})
         if tag in IMPLIED_ENDS:
-            names, bounds = IMPLIED_ENDS[tag]
-            while close(names, bounds):
+            while self.close(*IMPLIED_ENDS[tag]):
                 pass
-        attributes = _attributes(m[3]) if m[3].strip(" /\n\t") else {}
-        hidden = tag in NEVER_SHOWN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden")
+        if tag == "html":
+            return False
         start = attributes.get("start", "")
-        node = Node(tag, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+        node = Node(tag, _hidden(tag, attributes), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
         if tag == "img" and attributes.get("alt"):
             node.children.append(attributes["alt"])
-        if tag in ("html", "body") and tag == "html":
-            continue
-        stack[-1].children.append(node)
-        if tag in RAW:
-            close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            inner = page[at : close_at.start() if close_at else size]
-            node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
-            at = close_at.end() if close_at else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            places[tag].append(len(stack))
-            stack.append(node)
-    return root
+        self.add(node)
+        if tag in VOID or closes_itself and (tag in FOREIGN or self.last(FOREIGN)):
+            return False
+        if tag not in RAW:
+            self.open(node)
+        return tag in RAW
 
 
-class _Writer:
-    """Lines of text; collapses white space and keeps at most one blank line between blocks."""
+def build(page: str) -> Node:
+    """The page's tree: Nodes and strings."""
+    tree, at, size = _Tree(), 0, len(page)
+    while at < size:
+        m = _OPEN.search(page, at)
+        upto = m.start() if m else size
+        if upto > at:
+            tree.text(html.unescape(page[at:upto]))
+        if not m:
+            break
+        closing = page[upto + 1] == "/"
+        at = upto + 2 if closing else upto + 1
+        if not _LETTER.match(page, at):  # a comment, a declaration or a closing tag without a name
+            comment = page.startswith("<!--", upto)
+            found = page.find("-->" if comment else ">", upto + 2)
+            at = found + (3 if comment else 1) if found >= 0 else size
+            continue
+        tag = read_tag(page, at)
+        if tag is None:
+            break
+        name, attributes, closes_itself, at = tag
+        if closing:
+            tree.end(name)
+        elif tree.start(name, attributes, closes_itself):
+            stop = _RAW_ENDS[name].search(page, at)
+            inner = page[at : stop.start() if stop else size]
+            tree.stack[-1].children[-1].children.append(html.unescape(inner) if name in ("title", "textarea") else inner)
+            at = size
+            if stop and (tag := read_tag(page, stop.start() + 2)):
+                at = tag[3]
+    return tree.stack[0]
+
+
+class Writer:
+    """Lines of text; collapses white space and keeps at most one blank line between blocks.
+
+    Lines begin with the indents of the open list items, an item's first line with its marker.
+    Blocks inside an item stand together, without blank lines.
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.space = False
-        self.blank = False
+        self.space = self.blank = False
+        self.indents: list[str] = []  # of the open items: the marker until a line has shown it, then spaces
+        self.fresh: list[int] = []  # items whose first line is still to come
+        self.chars = 0  # of text, without padding and indents
 
     def text(self, s: str) -> None:
-        words = _SPACE.split(s)
-        body = " ".join(x for x in words if x)
+        body = " ".join(x for x in _SPACE.split(s) if x)
         if not body:
             self.space = self.space or (bool(s) and bool(self.line))
             return
-        if self.line and (self.space or s[0] in " \t\n\r\f"):
+        if self.line and (self.space or s[0] in _WS):
             self.line.append(" ")
-        self._pending()
+        self._begin()
         self.line.append(body)
-        self.space = s[-1] in " \t\n\r\f"
+        self.chars += len(body)
+        self.space = s[-1] in _WS
 
-    def raw(self, s: str) -> None:
+    def raw(self, s: str, padded: bool = False) -> None:
+        """Text as it is; that of an aligned table is counted by its cells."""
         for i, x in enumerate(s.split("\n")):
             if i:
-                self.lines.append("".join(self.line))
-                self.line = []
+                self._flush()
             if x:
-                self._pending()
+                self._begin()
                 self.line.append(x)
+        self.chars += 0 if padded else len(s)
+
+    def _begin(self) -> None:
+        if self.line:
+            return
+        if self.blank and self.lines:
+            self.lines.append("")
+        self.blank = False
+        if self.indents:
+            self.line += self.indents if len(self.indents) <= MOST_INDENTS else [*self.indents[: MOST_INDENTS - 1], self.indents[-1]]
+            for i in self.fresh:
+                self.indents[i] = " " * len(self.indents[i])
+            self.fresh.clear()
+
+    def _flush(self) -> None:
+        self.lines.append("".join(self.line).rstrip())
+        self.line = []
 
-    def _pending(self) -> None:
-        if self.blank and not self.line:
-            if self.lines:
-                self.lines.append("")
-            self.blank = False
+    def indent(self, marker: str) -> None:
+        self.end_line()
+        self.fresh.append(len(self.indents))
+        self.indents.append(marker)
+
+    def outdent(self) -> None:
+        self.end_line()
+        self.indents.pop()
+        if self.fresh and self.fresh[-1] == len(self.indents):
+            self.fresh.pop()
 
     def end_line(self, blank: bool = False) -> None:
         if self.line:
-            self.lines.append("".join(self.line).rstrip())
-            self.line = []
+            self._flush()
         self.space = False
-        self.blank = self.blank or blank
+        self.blank = self.blank or blank and not self.indents
 
-    def done(self) -> str:
+    def done(self) -> list[str]:
         self.end_line()
-        return "\n".join(self.lines).strip("\n")
+        first = next((i for i, x in enumerate(self.lines) if x), len(self.lines))
+        while self.lines and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines[first:]
 
 
 def _run(job):
@@ -180,26 +309,21 @@ def _run(job):
     return value
 
 
-def render(node: Node) -> str:
-    return _run(_rendered(node))
-
-
-def _rendered(node: Node):
-    out = _Writer()
-    yield _render(node, out, 0, False)
-    return out.done()
+def render(root: Node) -> str:
+    out = Writer()
+    _run(_render(root, out, False, 0))
+    return "\n".join(out.done())
 
 
-def _render(node: Node, out: _Writer, depth: int, pre: bool):
-    if node.tag == "table":
-        out.end_line(True)
-        yield _table(node, out)
-        out.end_line(True)
-        return
+def _render(node: Node, out: Writer, pre: bool, tables: int):
+    """Writes the content of `node`, which stands in so many tables."""
     number = node.start
-    for x in node.children:
+    for n, x in enumerate(node.children):
         if isinstance(x, str):
-            out.raw(x) if pre else out.text(x)
+            if pre:
+                out.raw(x.removeprefix("\n") if node.tag == "pre" and not n else x)
+            else:
+                out.text(x)
             continue
         if x.hidden:
             continue
@@ -208,84 +332,94 @@ def _render(node: Node, out: _Writer, depth: int, pre: bool):
             if out.line:
                 out.end_line()
             else:
-                out.blank = True
+                out.end_line(True)
         elif tag == "hr":
             out.end_line(True)
         elif tag == "li":
-            out.end_line()
-            marker = f"{number}. " if node.tag == "ol" else "- "
+            out.indent(f"{number}. " if node.tag == "ol" else "- ")
             number += 1
-            inner = yield _rendered(x)
-            pad = "  " * max(0, depth - 1)
-            for i, line in enumerate(inner.split("\n")):
-                out.raw(pad + (marker if not i else " " * len(marker)) + line if line else "")
-                out.end_line()
-        elif tag in BLOCK:
-            out.end_line(tag in SPACED)
-            yield _render(x, out, depth + (tag in ("ul", "ol", "menu", "dir")), pre or tag == "pre")
-            out.end_line(tag in SPACED)
+            yield _render(x, out, pre, tables)
+            out.outdent()
+        elif tag == "table" and tables < MOST_TABLES:
+            out.end_line(True)
+            yield _table(x, out, tables + 1)
+            out.end_line(True)
+        elif tag in BLOCK or tag == "xmp":
+            nested = tag in LISTS and node.tag in LISTS
+            out.indent("  ") if nested else out.end_line(tag in SPACED)
+            yield _render(x, out, pre or tag in ("pre", "xmp"), tables)
+            out.outdent() if nested else out.end_line(tag in SPACED)
         else:
-            yield _render(x, out, depth, pre or tag in ("textarea",))
-
-
-def _rows(node: Node):
-    """Rows of a table as (row, None), other content as (None, text or Node)."""
-    for x in node.children:
-        if isinstance(x, str) or x.hidden:
-            if isinstance(x, str) and x.strip():
-                yield None, x
-        elif x.tag == "tr":
-            yield x, None
-        elif x.tag in ("tbody", "thead", "tfoot"):
-            yield from _rows(x)
-        elif x.tag in ("td", "th"):
-            row = Node("tr")
-            row.children.append(x)
-            yield row, None
-        elif x.tag not in ("colgroup", "col"):
-            yield None, x
-
-
-def _table(node: Node, out: _Writer):
-    """Cells of a row side by side, padded to the width of their column; other text stands alone."""
-    grid: list[list[list[str]] | str] = []
-    for row, other in _rows(node):
-        if row is None:
-            text = other if isinstance(other, str) else (yield _rendered(other))
-            if shown := _SPACE.sub(" ", text).strip() if "\n" not in text else text:
-                grid.append(shown)
-            continue
+            yield _render(x, out, pre or tag == "textarea", tables)
+
+
+def _rows(table: Node):
+    """Rows of a table as lists of their children, other content alone."""
+    for x in table.children:
+        inner = x.children if isinstance(x, Node) and x.tag in ("tbody", "thead", "tfoot") and not x.hidden else [x]
+        for y in inner:
+            if isinstance(y, str):
+                if y.strip(_WS):
+                    yield y
+            elif y.hidden or y.tag in ("colgroup", "col"):
+                continue
+            elif y.tag == "tr":
+                yield y.children
+            elif y.tag in ("td", "th"):
+                yield [y]
+            else:
+                yield y
+
+
+def _lines(node: Node, out: Writer, tables: int):
+    """The lines of a node alone, whose characters `out` counts."""
+    own = Writer()
+    yield _render(node, own, False, tables)
+    lines = own.done()
+    out.chars += own.chars
+    return lines
+
+
+def _table(table: Node, out: Writer, tables: int):
+    """Cells of a row side by side, padded to the width of their column; other content stands alone."""
+    grid: list[tuple[bool, list[list[str]]]] = []  # (whether a row of cells, the lines of each)
+    before = out.chars
+    for row in _rows(table):
         cells, loose = [], []
-        for c in row.children:
+        for c in row if isinstance(row, list) else [row]:
             if isinstance(c, str):
-                loose.append(c)
+                if text := " ".join(x for x in _SPACE.split(c) if x):
+                    out.chars += len(text)
+                    loose.append([text])
             elif not c.hidden:
-                text = yield _rendered(c)
-                cells.append(text.split("\n")) if c.tag in ("td", "th") else loose.append(text)
-        if stray := " ".join(x.strip() for x in loose if x.strip()):
-            grid.append(stray)
-        if any(any(c) for c in cells):
-            grid.append(cells)
+                lines = yield _lines(c, out, tables)
+                (cells if c.tag in ("td", "th") else loose).append(lines)
+        grid += [(False, [x]) for x in loose]
+        if any(cells):
+            grid.append((True, cells))
     widths: list[int] = []
-    for row in grid:
-        if not isinstance(row, str):
-            for i, c in enumerate(row):
-                if i == len(widths):
-                    widths.append(0)
-                widths[i] = max(widths[i], *map(len, c))
-    for row in grid:
-        if isinstance(row, str):
-            out.raw(row)
-            out.end_line()
-            continue
-        for k in range(max(map(len, row))):
-            line = "  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(row))
-            out.raw(line.rstrip())
+    for is_row, cells in grid:
+        if is_row:
+            widths += [0] * (len(cells) - len(widths))
+            for i, c in enumerate(cells):
+                widths[i] = max(widths[i], max(map(len, c), default=0))
+    ends = [0]
+    for w in widths:
+        ends.append(ends[-1] + w + 2)
+    area = sum(max(map(len, cells)) * ends[len(cells)] for is_row, cells in grid if is_row)
+    aligned = area <= ALIGN_TIMES * (out.chars - before) + ALIGN_FREE
+    for is_row, cells in grid:
+        if is_row and aligned:
+            lines = ["  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(cells)).rstrip() for k in range(max(map(len, cells)))]
+        else:
+            lines = [x for c in cells for x in c]
+        for x in lines:
+            out.raw(x, True)
             out.end_line()
 
 
 def page_text(page: str | None) -> str:
-    return render(build(page)) if page else ""
+    return render(build(page.replace("\r\n", "\n").replace("\r", "\n"))) if page else ""
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -293,7 +427,6 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     A null or empty page gives an empty text.  Unclosed elements end with the page, stray end tags
     are ignored.  Pages are rendered alone: ids may be null or repeat.  One pass, no shuffle.  An
-    input column named `text` is replaced.
+    input column named `text`, in any case, is replaced.
     """
-    base = pages.select(*quoted([c for c in pages.columns if c == html_col or c != "text"]))
-    return with_computed(base, html_col, "text string", lambda pages: [pa.array([page_text(x) for x in pages.to_pylist()], pa.string())], keep=False)
+    return with_computed(pages, html_col, "text string", lambda pages: [pa.array([page_text(x) for x in pages.to_pylist()], pa.string())], keep=False)
