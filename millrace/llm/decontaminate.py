@@ -1,163 +1,185 @@
-"""Benchmark decontamination by winnowed fingerprints.
+"""Benchmark decontamination by winnowed fingerprints that Spark joins.
 
-Both sides keep the smallest k-gram hash of every run of consecutive k-grams that one window
-holds, so two texts that share a window share a fingerprint at the same place in it.  Documents
-and benchmark are joined on fingerprints, and each hit is extended: every window around it that
-both texts hold is compared word for word by hash.
+Both sides keep the smallest k-gram hash of every window (runs of windows share theirs), so two
+texts that share a window share a fingerprint.  An item shorter than a window is one window of its
+own length and its own fingerprint.
 
-Benchmark items are taken in blocks of bounded size; one pass over the documents joins one block,
-whose index travels to the tasks.  Documents are never shuffled.
+1. Tasks list each item's distinct windows with their fingerprints.
+2. A bitmap of fixed greatest size, filled by an aggregation, tells the tasks that scan the
+   documents which fingerprints may be an item's; they send on only windows of such ones.
+3. These are joined with the items' fingerprints, and each hit is extended to whole windows, which
+   are compared by two independent hashes.  Windows that repeat in a text travel once, with the
+   runs of their places; nowhere do places meet places.
+4. Hits are gathered by a digest of the text, so that copies are judged once.
+
+Texts don't travel unless the hits are too many to broadcast: then documents join by digest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, with_computed, written
+from millrace.llm._shared import Rows, discard, written
 
-#: Words of a window, of a fingerprinted gram, and most bytes of benchmark text in a block.
+#: Words of a window and of a fingerprinted gram.
 WINDOW, GRAM = 13, 5
-BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap for each fingerprint, and its least and greatest size as a power of two (1 and 16 MB).
+BITS_EACH, BITS_LEAST, BITS_MOST = 64, 23, 27
+_PAGE = 1 << 15  # bits of one row of the bitmap's aggregation
+_WINDOWS = "n int, fp long, h long, h2 long"
+
+
+class Windows:
+    """The windows of n words of some texts: fingerprint and two hashes from each word on."""
+
+    def __init__(self, texts: pa.Array, gram: int):
+        self.w = tk.Words(texts, tk.ALNUM_WORDS, lower=True)
+        self.h, self.gram = self.w.hashes(), gram
+        self.h2: np.ndarray | None = None
+
+    def places(self, n: int) -> np.ndarray:
+        return np.flatnonzero(self.w.full(n))
+
+    def fingerprints(self, n: int, whole: bool) -> np.ndarray:
+        """From each word on; `whole`: the window itself, else its smallest gram."""
+        if whole:
+            return tk.as_long(tk.grams(self.h, n))
+        return tk.as_long(tk.sliding_min(tk.grams(self.h, self.gram), n - self.gram + 1))
+
+    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.h2 is None:
+            self.h2 = self.w.hashes(1)
+        return tk.as_long(tk.grams(self.h, n)), tk.as_long(tk.grams(self.h2, n))
+
+
+def bit_of(fp: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A fingerprint's place in a bitmap of 2**bits bits."""
+    return (tk.mix(fp.view(np.uint64) + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, gram: int) -> DataFrame:
+    """(item, n, fp, h, h2): the distinct windows of each item, whose id is told as a string."""
+    rows = Rows(benchmark, text_col)
+
+    def scan(batches):
+        for b in batches:
+            for i, j in tk.slices(b.column("_text")):
+                part = b.slice(i, j - i)
+                x, ids = Windows(part.column("_text"), gram), part.column("item")
+                sizes = np.minimum(x.w.counts, window)
+                for n in np.unique(sizes[sizes > 0]).tolist():
+                    at = x.places(n)
+                    at = at[sizes[x.w.text[at]] == n]
+                    h, h2 = (v[at] for v in x.hashes(n))
+                    new = np.unique(np.stack([x.w.text[at], h, h2]), axis=1, return_index=True)[1]
+                    at, h, h2 = at[new], h[new], h2[new]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.w.text[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(x.fingerprints(n, n < window)[at]), pa.array(h), pa.array(h2)], ["item", "n", "fp", "h", "h2"])
+
+    items = rows.frame.select(rows.col(item_col).cast("string").alias("item"), rows.text).where("item is not null and _text is not null")
+    return items.mapInArrow(scan, f"item string, {_WINDOWS}").distinct()
+
+
+def bitmap(fingerprints: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, as bytes, with those of the rows (n, fp) set; the driver gets them, at most 2**BITS_MOST."""
+
+    def scan(batches):
+        for b in batches:
+            n, fp = b.column("n").to_numpy(), b.column("fp").to_numpy()
+            at = np.concatenate([bit_of(fp[n == x], int(x), bits) for x in np.unique(n)]) if len(n) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at))], ["bit"])
+
+    pages = fingerprints.select("n", "fp").mapInArrow(scan, "bit long").groupBy(F.expr(f"bit div {_PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(bit % {_PAGE})").alias("map"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pages.collect():
+        part = out[r["page"] * (_PAGE // 8) :][: _PAGE // 8]
+        part[:] = np.frombuffer(r["map"], np.uint8)[: len(part)]
+    return out
 
 
-class Index:
-    """Fingerprints and windows of one block of items.
+def document_windows(rows: Rows, known, lengths: list[int], bits: int, window: int, gram: int) -> DataFrame:
+    """(digest, n, fp, h, h2, runs): windows of the documents whose fingerprint may be an item's.
 
-    Items of at least `window` words are winnowed; a shorter one is one window of its own length,
-    whose only fingerprint is itself.
+    runs: stretches of the window's places in the text, start << 32 | length.
     """
 
-    def __init__(self, ids: list, texts: list[str | None], window: int, gram: int):
-        self.ids, self.window, self.gram = np.array([str(x) for x in ids], object), window, gram
-        w = tk.Words(pa.array(texts, pa.string()), tk.ALNUM_WORDS, lower=True)
-        h = w.hashes()
-        fp, at, self.whole = winnow(w, h, window, gram)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.at = fp[order], at[order]
-        self.item = w.text
-        short = np.flatnonzero((w.counts > 0) & (w.counts < window))
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in np.unique(w.counts[short]):
-            those = short[w.counts[short] == n]
-            g = tk.grams(h, int(n))[w.offsets[those]]
-            order = np.argsort(g, kind="stable")
-            self.short[int(n)] = (g[order], those[order])
-
-
-def winnow(w: tk.Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, their word places, hash of the window from each word, 0 where none fits)."""
-    g = tk.grams(h, gram)
-    ok = w.full(window)
-    least = tk.sliding_min(g, window - gram + 1)
-    # a gram is kept if it is the smallest of some window of its text
-    kept = np.zeros(len(h), bool)
-    for back in range(window - gram + 1):
-        n = len(h) - back
-        if n > 0:
-            kept[back:] |= ok[:n] & (g[back:] == least[:n])
-    whole = tk.grams(h, window) | np.uint64(1)
-    return g[kept], np.flatnonzero(kept), np.where(ok, whole, np.uint64(0))
-
-
-def matches(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index in wanted, index in sorted_keys) of all equal pairs."""
-    lo, hi = np.searchsorted(sorted_keys, wanted, "left"), np.searchsorted(sorted_keys, wanted, "right")
-    n = hi - lo
-    left = np.repeat(np.arange(len(wanted)), n)
-    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return left, right
-
-
-def hits(part: pa.Array, index: Index) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, mask of the hit words, and pairs text index, item index of occurring windows)."""
-    w = tk.Words(part, tk.ALNUM_WORDS, lower=True)
-    h = w.hashes()
-    edge = np.zeros(len(w) + 1, np.int64)
-    texts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    fp, at, whole = winnow(w, h, index.window, index.gram)
-    a, b = matches(index.fp, fp)
-    p, q = at[a], index.at[b]
-    for back in range(index.window - index.gram + 1):
-        inside = (p >= back) & (q >= back)
-        x, y = p[inside] - back, q[inside] - back
-        same = (whole[x] == index.whole[y]) & (whole[x] != 0)
-        x, y = x[same], y[same]
-        np.add.at(edge, x, 1)
-        np.add.at(edge, x + index.window, -1)
-        texts.append(w.text[x])
-        items.append(index.item[y])
-    for n, (keys, those) in index.short.items():
-        x = np.flatnonzero(w.full(n))
-        a, b = matches(keys, tk.grams(h, n)[x])
-        np.add.at(edge, x[a], 1)
-        np.add.at(edge, x[a] + n, -1)
-        texts.append(w.text[x[a]])
-        items.append(those[b])
-    pairs = np.unique(np.stack([np.concatenate(texts), np.concatenate(items)]), axis=1)
-    return w, np.cumsum(edge[:-1]) > 0, pairs[0], pairs[1]
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """Items with text, gathered up to BLOCK_BYTES at a time; the driver holds one block."""
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null").distinct()
-    ids, texts, size = [], [], 0
-    for r in rows.toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"])
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _scan(docs: DataFrame, text_col: str, index: Index) -> DataFrame:
-    """The documents, n_words, runs of hit words (start << 32 | length) and items hit in this block."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def compute(texts):
-        w, hit, text, item = hits(texts, shared.value)
-        new, end = tk.run_starts(w.text, hit) & hit, np.append(tk.run_starts(w.text, hit)[1:], True) & hit if len(w) else hit
-        s, e = np.flatnonzero(new), np.flatnonzero(end)
-        runs = ((s - w.offsets[w.text[s]]) << 32) + (e - s + 1)
-        rows = np.arange(len(texts) + 1)
-        run_offsets, item_offsets = np.searchsorted(w.text[s], rows).astype(np.int32), np.searchsorted(text, rows).astype(np.int32)
-        return [pa.array(w.counts.astype(np.int64)), pa.ListArray.from_arrays(run_offsets, pa.array(runs)), pa.ListArray.from_arrays(item_offsets, pa.array(shared.value.ids[item], pa.string()))]
-
-    return with_computed(docs, text_col, "_n_words long, _runs array<long>, _items array<string>", compute)
-
-
-def _union(runs):
-    """Words covered by runs (start << 32 | length), overlaps once."""
-    start, length = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), start(x) + length(x) - F.greatest(start(x), a["end"]))).alias("n"), F.greatest(a["end"], start(x) + length(x)).alias("end"))
-    return F.aggregate(F.sort_array(runs), zero, step, lambda a: a["n"])
+    def scan(batches):
+        for b in batches:
+            for i, j in tk.slices(b.column("_text")):
+                part = b.slice(i, j - i)
+                x, digests = Windows(part.column("_text"), gram), part.column("_digest")
+                for n in lengths:
+                    at, fp = x.places(n), x.fingerprints(n, n < window)
+                    bit = bit_of(fp[at], n, bits)
+                    at = at[(known.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+                    if not len(at):
+                        continue
+                    h, h2, text = *(v[at] for v in x.hashes(n)), x.w.text[at]
+                    order = np.lexsort((at, h2, h, text))
+                    at, h, h2, text = at[order], h[order], h2[order], text[order]
+                    row = tk.run_starts(text, h, h2)
+                    run = row | tk.run_starts(at - np.arange(len(at)))
+                    first = np.flatnonzero(run)
+                    length = np.diff(np.append(first, len(at)))
+                    runs = ((at[first] - x.w.offsets[text[first]]) << 32) + length
+                    of = np.searchsorted(first, np.append(np.flatnonzero(row), len(at))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[row])), pa.array(np.full(int(row.sum()), n, np.int32)), pa.array(fp[at[row]]), pa.array(h[row]), pa.array(h2[row]), pa.ListArray.from_arrays(of, pa.array(runs))], ["digest", "n", "fp", "h", "h2", "runs"])
+
+    texts = rows.frame.select(F.md5(rows.text.cast("binary")).alias("_digest"), rows.text).where("_text is not null")
+    return texts.mapInArrow(scan, f"digest string, {_WINDOWS}, runs array<long>")
+
+
+def hits(rows: Rows, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(digest, spans, items): for each text with hits the runs of its hit windows (array of (n, runs)) and the items' ids."""
+    spark = rows.frame.sparkSession
+    fingerprints = written(items.select("n", "fp").distinct(), "fingerprints")
+    lengths = [r["n"] for r in fingerprints.select("n").distinct().orderBy("n").collect()]  # at most `window` of them
+    bits = min(BITS_MOST, max(BITS_LEAST, (fingerprints.count() * BITS_EACH).bit_length()))
+    known = spark.sparkContext.broadcast(bitmap(fingerprints, bits))
+    # copies of a text send the same windows: one of each is left
+    found = document_windows(rows, known, lengths, bits, window, gram).join(fingerprints, ["n", "fp"], "left_semi").groupBy("digest", "n", "h", "h2").agg(F.first("runs").alias("runs"))
+    found = written(found.join(items.select("n", "h", "h2").distinct(), ["n", "h", "h2"], "left_semi"), "hit-windows")
+    spans = found.groupBy("digest").agg(F.collect_list(F.struct("n", "runs")).alias("spans"))
+    ids = found.select("digest", "n", "h", "h2").join(items, ["n", "h", "h2"]).select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = written(spans.join(ids, "digest"), "hits")
+    discard(found, fingerprints)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All columns of `docs`, and n_words, n_hit, items (ids as sorted strings) and contaminated.
 
     Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z.  A null text has
-    no words; an item without words, without text or without id has no windows.  Rows are judged
-    alone, so ids of documents may be null or repeat.  Items that repeat an id count once.
-    Contaminated: n_hit > 0 and 20 * n_hit >= n_words.  An input column with a result's name is
-    replaced.  With an empty benchmark nothing is hit.
+    no words; an item without words, without text or without id has no windows.  Documents are
+    judged by their texts alone, so their ids may be of any type, be null or repeat.  Items that
+    repeat an id count once.  Contaminated: n_hit > 0 and 20 * n_hit >= n_words.  An input column
+    with a result's name, in any case, is replaced.  With an empty benchmark nothing is hit.
     """
     added = ("n_words", "n_hit", "items", "contaminated")
-    base = docs.select(*quoted([c for c in docs.columns if c not in added or c in (id_col, text_col)]))
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    ids, texts = next(blocks, ([], []))
-    out = _scan(base, text_col, Index(ids, texts, window, gram))
-    for ids, texts in blocks:  # a benchmark beyond one block: another pass over what was written
-        scanned = _scan(written(out.withColumnRenamed("_runs", "_runs_0").withColumnRenamed("_items", "_items_0").drop("_n_words"), "scan"), text_col, Index(ids, texts, window, gram))
-        out = scanned.withColumn("_runs", F.concat("_runs", "_runs_0")).withColumn("_items", F.concat("_items", "_items_0")).drop("_runs_0", "_items_0")
-    result = out.select(*quoted(base.columns), F.col("_n_words").alias("n_words"), _union(F.col("_runs")).alias("n_hit"), F.array_sort(F.array_distinct("_items")).alias("items"))
-    return result.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    rows = Rows(docs, text_col, added)
+    items = written(item_windows(benchmark, item_col, item_text_col, window, gram), "item-windows")
+    found = hits(rows, items, window, gram)
+    discard(items)
+    frame = rows.frame.select(rows.row, rows.text, F.md5(rows.text.cast("binary")).alias("digest")).join(found, "digest", "left").select("_row", "_text", "spans", "items")
+    schema = StructType([*frame.schema.fields[:2], *StructType.fromDDL("n_words long, n_hit long").fields, frame.schema.fields[3]])
+
+    def count(batches):
+        for b in batches:
+            for i, j in tk.slices(b.column("_text")):
+                part = b.slice(i, j - i)
+                w, spans = tk.Words(part.column("_text"), tk.ALNUM_WORDS, lower=True), part.column("spans")
+                n_hit = np.zeros(j - i, np.int64)
+                for r in np.flatnonzero(np.asarray(spans.is_valid())).tolist():
+                    v = spans[r].values
+                    runs, sizes = tk.lists(v.field("runs"))
+                    n = np.repeat(v.field("n").to_numpy(), np.diff(sizes))
+                    n_hit[r] = tk.covered(runs >> 32, (runs & 0xFFFFFFFF) + n - 1, int(w.counts[r])).sum()
+                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), pa.array(w.counts.astype(np.int64)), pa.array(n_hit), part.column("items")], schema.names)
+
+    out = frame.mapInArrow(count, schema)
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return rows.result(out, "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), contaminated.alias("contaminated"))
