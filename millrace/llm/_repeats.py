@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted
+from millrace.llm._shared import Rows
 
 #: Rows that a map task gathers before it groups them by hash.
 BUFFER_ROWS = 1_000_000
@@ -49,17 +49,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text, _row (all other columns), _dup: ordinal among rows of one id.
+def numbered(rows: Rows, id_col: str) -> DataFrame:
+    """_id, _text, _row (all other kept columns), _dup: ordinal among rows of one id.
 
     Rows without an id are left out.  Dealt by id; every later pass over the texts selects the
     same columns, so that Spark shuffles the texts once and reuses that exchange.
     """
-    others = quoted([c for c in docs.columns if c != text_col])
-    out = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*others).alias("_row"))
+    out = rows.frame.where(rows.id(id_col).isNotNull()).select(rows.id(id_col).alias("_id"), rows.text, rows.row)
     return out.withColumn("_dup", F.row_number().over(Window.partitionBy("_id").orderBy("_text")).cast("long") - 1)
 
 
+def with_spans(rows: Rows, id_col: str, spans: DataFrame) -> list[DataFrame]:
+    """(_text, _row, _dup, _spans) of the rows with an id and of those without; spans(_id, loc, n)."""
+    gathered = spans.groupBy("_id").agg(F.collect_list(F.struct("loc", "n")).alias("_spans"))
+    nameless = rows.frame.where(rows.id(id_col).isNull()).select(rows.text, rows.row, F.lit(0).cast("long").alias("_dup"), F.lit(None).cast("array<struct<loc:long,n:long>>").alias("_spans"))
+    return [numbered(rows, id_col).join(gathered, "_id", "left").select("_text", "_row", "_dup", "_spans"), nameless]
+
+
 def windows(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """(mask of the whole windows' starts, anchor of the window from each position)."""
     counts = np.diff(first)
@@ -67,11 +73,11 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarra
     return ok, tk.sliding_min(tk.grams(h, m), k - m + 1)
 
 
-def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, find: Finder) -> DataFrame:
+def repeated_anchors(rows: Rows, id_col: str, find: Finder) -> DataFrame:
     """(_id, anchors): for each id the anchors that another id has too."""
 
     def emit(batches):
-        hashes, ids, rows = [], [], 0
+        hashes, ids, n = [], [], 0
 
         def flush():
             h, d = np.concatenate(hashes), np.concatenate(ids)
@@ -95,11 +101,11 @@ def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, find: Finder)
                 keep = tk.run_starts(a, text_no)
                 hashes.append(a[keep])
                 ids.append(ids_of.slice(i, j - i).to_numpy(zero_copy_only=False)[text_no[keep]])
-                rows += int(keep.sum())
-                if rows >= BUFFER_ROWS:
+                n += int(keep.sum())
+                if n >= BUFFER_ROWS:
                     yield from flush()
-                    hashes, ids, rows = [], [], 0
-        if rows:
+                    hashes, ids, n = [], [], 0
+        if n:
             yield from flush()
 
     def judge(batches):
@@ -112,9 +118,9 @@ def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, find: Finder)
             keep = (s == 1) | ((s == 0) & hit[group])
             yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], ["_id", "hash"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.mapInArrow(emit, "hash long, _id long, state byte")
-    routed = rows.repartition(route("state = 1", "_id", "hash")).sortWithinPartitions("hash", "_id")
+    texts = rows.frame.where(rows.id(id_col).isNotNull()).select(rows.id(id_col).alias("_id"), rows.text)
+    found = texts.mapInArrow(emit, "hash long, _id long, state byte")
+    routed = found.repartition(route("state = 1", "_id", "hash")).sortWithinPartitions("hash", "_id")
     return routed.mapInArrow(judge, "_id long, hash long").groupBy("_id").agg(F.collect_list("hash").alias("_anchors"))
 
 

@@ -130,7 +130,7 @@ class Words:
             return np.zeros(0, np.uint64)
         up, down = _POWERS[family].get(len(self.bytes) + 1)
         if family not in self._sums:
-            self._sums = {family: np.zeros(len(self.bytes) + 1, np.uint64)}
+            self._sums = {family: np.zeros(len(self.bytes) + 1, np.uint64)}  # one family's at a time
             np.cumsum(_TABLES[family][self.bytes] * up[: len(self.bytes)], dtype=np.uint64, out=self._sums[family][1:])
         sums = self._sums[family]
         return mix((sums[ends] - sums[starts]) * down[starts])

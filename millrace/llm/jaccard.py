@@ -9,8 +9,8 @@
 3. The components of these forests hold every surviving pair.  Inside each component the sets are
    compared exactly; links are counted where they are found, and never listed.
 
-Buckets and components beyond a block's size are cut into blocks, and every pair of blocks is a
-group of its own: no task holds more than two blocks, and no pair is left out.
+Buckets and components beyond a block's size, in members or in shingles, are cut into blocks, and
+every pair of blocks is a group of its own: no task holds more than two blocks, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm import _repeats as rp
 from millrace.llm import _tokens as tk
 from millrace.llm._graph import components
-from millrace.llm._shared import written
+from millrace.llm._shared import Rows, discard, written
 
 #: Words of a shingle, and the least similarity of a link, as a ratio.
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -33,8 +33,8 @@ SHINGLE, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 40, 4
 #: Signature bytes compared before each look at the posterior, and the posterior's least value.
 BATCH, TOLERANCE = 32, 1e-6
-#: Most nodes of a block of a bucket, and of a component.
-BUCKET_BLOCK, COMPONENT_BLOCK = 4096, 1024
+#: Most nodes of a block of a bucket and of a component, and most shingles of the latter (2 MB of hashes).
+BUCKET_BLOCK, COMPONENT_BLOCK, BLOCK_SHINGLES = 4096, 1024, 1 << 18
 
 _N = BANDS * ROWS
 
@@ -72,7 +72,7 @@ def least_matches(prior_cells: int = 2000) -> list[tuple[int, int]]:
     return out
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(rows: Rows, id_col: str) -> DataFrame:
     """(_id, _digest, node, size, keys, sig) for each row with an id."""
 
     def sign(batches):
@@ -100,18 +100,19 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ["_id", "_digest", "node", "size", "keys", "sig"],
                 )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), digest(text_col).alias("_digest"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(sign, "_id long, _digest string, node long, size long, keys array<long>, sig binary")
+    texts = rows.frame.where(rows.id(id_col).isNotNull()).select(rows.id(id_col).alias("_id"), digest(rows.text).alias("_digest"), rows.text)
+    return texts.mapInArrow(sign, "_id long, _digest string, node long, size long, keys array<long>, sig binary")
 
 
-def digest(text_col: str) -> Column:
-    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Rows with `_group`, repeated for each pair of blocks of a key that has more than `block` members."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(f"_size > {block}")
-    parts = F.ceil(F.col("_size") / block)
+def in_blocks(rows: DataFrame, key: str, member: str, block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+    """Rows with `_group`, repeated for each pair of blocks of a key whose members or their weight exceed a block."""
+    needed = F.ceil(F.count(F.lit(1)) / block)
+    sizes = rows.groupBy(key).agg((needed if weight is None else F.greatest(needed, F.ceil(F.sum(weight) / most))).alias("_size")).where("_size > 1")
+    parts = F.col("_size")
     own = F.pmod(F.xxhash64(member), parts)
     others = F.sequence(F.lit(0).cast("long"), parts - 1)
     pairs = F.when(F.col("_size").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
@@ -175,7 +176,7 @@ def _survivors(nodes: DataFrame) -> DataFrame:
     return rows.repartition("_group").sortWithinPartitions("_group", "node").mapInArrow(prune, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(rows: Rows, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     """(node, root, n_links) from exact comparison inside each component (or pair of its blocks)."""
 
     def sets(batches):
@@ -206,12 +207,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str,
                 out += [(int(node[k]), int(node[keep[root[n]]]), int(c)) for n, (k, c) in enumerate(zip(keep, counted.sum(axis=1), strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "root", "n_links"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    wanted = nodes.join(roots, "node").select(F.col("first_id").alias("_id"), "node", F.col("root").alias("comp"))
-    rows = texts.join(wanted, "_id").select("_text", "node", "comp").mapInArrow(sets, "node long, comp long, set binary")
+    texts = rows.frame.where(rows.id(id_col).isNotNull()).select(rows.id(id_col).alias("_id"), rows.text)
+    wanted = nodes.join(roots, "node").select(F.col("first_id").alias("_id"), "node", F.col("root").alias("comp"), "size")
+    found = texts.join(wanted.drop("size"), "_id").select("_text", "node", "comp").mapInArrow(sets, "node long, comp long, set binary")
     # blocks are planned on the keys alone; the sets join the plan afterwards
-    plan = in_blocks(wanted.select("node", "comp"), "comp", "node", COMPONENT_BLOCK).select("node", "_group", "_part", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
-    placed = rows.select("node", "set").join(plan, "node")
+    plan = in_blocks(wanted.select("node", "comp", "size"), "comp", "node", COMPONENT_BLOCK, F.col("size"), BLOCK_SHINGLES).select("node", "_group", "_part", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
+    placed = found.select("node", "set").join(plan, "node")
     return placed.repartition("_group").sortWithinPartitions("_group", "node").mapInArrow(compare, "node long, root long, n_links long")
 
 
@@ -247,27 +248,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's own, the same for all copies.  A text of fewer than five words has one shingle, all of
     it.  Texts without words (or null) and rows without id stand alone: their class is their own
     id and they have no links.  Rows may repeat; an id may repeat with other texts, whose rows are
-    told apart by text_digest, the MD5 of the text.
+    told apart by text_digest, the MD5 of the text.  Ids are integers; other types are refused.
     """
-    signed = written(_signed(docs, id_col, text_col), "signed")
+    rows = Rows(docs, text_col)
+    signed = written(_signed(rows, id_col), "signed")
     some = signed.where("size > 0")
-    nodes = written(some.groupBy("node").agg(F.min("_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
-    roots = written(components(_survivors(nodes)), "components")
-    checked = written(_verified(docs, nodes, roots, id_col, text_col), "checked")
+    nodes = written(some.groupBy("node").agg(F.min("_id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    candidates = written(_survivors(nodes), "candidates")
+    roots = written(components(candidates), "components")
+    checked = written(_verified(rows, nodes, roots, id_col), "checked")
+    discard(candidates, roots)
     links = checked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(links, "node")
     named = nodes.select("node", "first_id").join(final, "node", "left").select("node", F.col("first_id").alias("copy_id"), F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     table = written(named.join(least, "root").select("node", "class_id", "copy_id", "n_links"), "classes")
-    rows = signed.select("_id", "_digest", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(table, "node", "left")
-    out = rows.select(F.col("_id").alias(id_col), F.col("_digest").alias("text_digest"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("copy_id", "_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    discard(checked, nodes)
+    placed = signed.select("_id", "_digest", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(table, "node", "left")
     nobody = F.lit(None).cast("long")
-    return out.union(docs.where(F.col(id_col).isNull()).select(nobody, digest(text_col), nobody, nobody, F.lit(0).cast("long")))
+    without = rows.frame.where(rows.id(id_col).isNull()).select(nobody, digest(rows.text), nobody, nobody, F.lit(0).cast("long"))
+    out = placed.select("_id", "_digest", F.coalesce("class_id", "_id"), F.coalesce("copy_id", "_id"), F.coalesce("n_links", F.lit(0)).cast("long")).union(without)
+    return out.toDF(id_col, "text_digest", "class_id", "copy_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each class: that of the smallest id.  Rows without id all stay."""
-    classes = near_duplicates(docs, id_col, text_col).where(f"`{id_col}` = class_id").select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_digest")).distinct()
-    known = docs.where(F.col(id_col).isNotNull())
-    kept = known.join(classes, (known[id_col] == classes["_id"]) & (digest(text_col) == classes["_digest"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]).union(docs.where(F.col(id_col).isNull()))
+    rows = Rows(docs, text_col)
+    classes = near_duplicates(docs, id_col, text_col).toDF("_id", "_digest", "class_id", "copy_id", "n_links").where("_id = class_id").select("_id", "_digest").distinct()
+    known = rows.frame.where(rows.id(id_col).isNotNull()).withColumns({"_id": rows.id(id_col), "_digest": digest(rows.text)})
+    kept = known.join(classes, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*rows.frame.columns)
+    return kept.union(rows.frame.where(rows.id(id_col).isNull())).toDF(*rows.names)

@@ -1,12 +1,16 @@
 """Substring deduplication by compacting a De Bruijn graph of word k-mers.
 
-Every k consecutive words are an edge between two nodes of k - 1 words.  Only edges that may
-occur in several documents are built (their anchor is repeated, see `_repeats`).  Each edge
-occurrence learns its first coordinate: the smallest document with the same k words.  Stretches
-of occurrences that advance in step with one source have neither branch nor gap; they compact to
-one path (document, start, length, source, source start).  Both coordinates of every path are
-then read again from the texts and their words compared by an independent digest before anything
-is removed.
+Every k consecutive words are an edge from the node of their first k - 1 words to that of their
+last k - 1.  Only edges that may stand in several documents are built (their anchor is repeated,
+see `_repeats`); each knows its source, the first place of the smallest document that holds it.
+
+1. Nodes are counted: one that a single edge enters and a single edge leaves doesn't branch.  A
+   join through such nodes links edges whose sources follow each other.
+2. Joins with the links leave the edges that begin and those that end a path: the links compact
+   the graph to nonbranching paths (source document, first word, edges).
+3. Stretches of a later document that run along a source are cut where its paths begin, and both
+   coordinates of every piece are read again from the texts: their words are compared by an
+   independent digest before anything is removed.
 """
 
 from __future__ import annotations
@@ -21,11 +25,14 @@ from pyspark.sql.window import Window
 
 from millrace.llm import _repeats as rp
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, schema_of, written
+from millrace.llm._shared import Rows, discard, schema_of, written
 
 #: Words of a k-mer, and of the grams among which its anchor is chosen.
 WINDOW, ANCHOR = 13, 4
 _DUP = 40  # a location is the row's ordinal in its id << 40 | word
+#: Words of a source whose path beginnings meet in one row.
+SECTION = 4096
+_PLACES = "_id long, loc long, n long, src_id long, src_loc long, head long, tail long, shared boolean"
 
 
 def _units(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,23 +40,46 @@ def _units(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), w.offsets
 
 
+def _stretches(d: np.ndarray, loc: np.ndarray, src_d: np.ndarray, src_loc: np.ndarray) -> list[np.ndarray]:
+    """(d, loc, n, src_d, src_loc) of the maximal stretches that run along one source."""
+    order = np.lexsort((loc, d))
+    d, loc, src_d, src_loc = d[order], loc[order], src_d[order], src_loc[order]
+    step = np.arange(len(d))
+    first = np.flatnonzero(tk.run_starts(d, loc - step, src_d, src_loc - step))
+    return [d[first], loc[first], np.diff(np.append(first, len(d))), src_d[first], src_loc[first]]
+
+
 def _edges(candidates: DataFrame, k: int, m: int) -> DataFrame:
-    """(_id, loc, src_id, src_loc): edge occurrences that a smaller id has too."""
+    """Stretches of edges that a smaller id has too, and one row for each edge of several documents.
+
+    Stretches: _id, loc, n, src_id, src_loc; `head` is null.  Edges: their source (_id, loc), and
+    the hashes of the nodes that they leave (`tail`) and enter (`head`).
+    """
+
+    def rows_of(columns, head=None, tail=None, shared=None):
+        n = len(columns[0])
+        empty = pa.nulls(n, pa.int64())
+        return pa.Table.from_arrays([*map(pa.array, columns), empty if head is None else pa.array(head), empty if tail is None else pa.array(tail), pa.array(np.zeros(n, bool) if shared is None else shared)], ["_id", "loc", "n", "src_id", "src_loc", "head", "tail", "shared"])
 
     def emit(batches):
         held: list[list[np.ndarray]] = []
-        rows = 0
+        n_held = 0
 
         def flush():
-            h, d, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, d, loc, head, tail = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((loc, d, h))
-            h, d, loc = h[order], d[order], loc[order]
+            h, d, loc, head, tail = h[order], d[order], loc[order], head[order], tail[order]
             new = tk.run_starts(h)
             group = np.cumsum(new) - 1
             src_d, src_loc = d[new][group], loc[new][group]
             settled = d > src_d
-            arrays = [pa.array(h), pa.array(d), pa.array(loc), pa.array(src_d, mask=~settled), pa.array(src_loc, mask=~settled)]
-            yield from pa.Table.from_arrays(arrays, ["hash", "_id", "loc", "src_id", "src_loc"]).to_batches(max_chunksize=100_000)
+            several = np.bincount(group, settled) > 0
+            done = rows_of(_stretches(d[settled], loc[settled], src_d[settled], src_loc[settled]))
+            left = ~settled
+            # open rows keep their edge's hash in src_id until the edges of all tasks have met
+            rest = rows_of([d[left], loc[left], np.ones(int(left.sum()), np.int64), h[left], loc[left]], head[left], tail[left], several[group[left]])
+            for t in (done, rest):
+                yield from t.to_batches(max_chunksize=100_000)
 
         for b in batches:
             ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
@@ -62,37 +92,68 @@ def _edges(candidates: DataFrame, k: int, m: int) -> DataFrame:
                 at = at[rp.marked(no[at], anchor[at], *tk.lists(lists.slice(i, j - i)))]
                 own, dup = ids.slice(i, j - i).to_numpy(), dups.slice(i, j - i).to_numpy()
                 loc = (dup[no[at]] << _DUP) + at - first[no[at]]
-                held.append([tk.as_long(tk.grams(h, k)[at]), own[no[at]], loc])
-                rows += len(at)
-                if rows >= rp.BUFFER_ROWS:
+                nodes = tk.as_long(tk.grams(h, k - 1))
+                held.append([tk.as_long(tk.grams(h, k)[at]), own[no[at]], loc, nodes[np.minimum(at + 1, len(h) - 1)], nodes[at]])
+                n_held += len(at)
+                if n_held >= rp.BUFFER_ROWS:
                     yield from flush()
                     held.clear()
-                    rows = 0
-        if rows:
+                    n_held = 0
+        if n_held:
             yield from flush()
 
     def judge(batches):
-        for t in rp.whole_groups(batches, "hash"):
-            h, d, loc = (t.column(c).to_numpy() for c in ("hash", "_id", "loc"))
-            settled = np.asarray(t.column("src_id").is_valid())
+        for t in rp.whole_groups(batches, "src_id"):
+            is_open = np.asarray(t.column("head").is_valid())
+            if not is_open.all():
+                yield from t.filter(pa.array(~is_open)).combine_chunks().to_batches()
+            t = t.filter(pa.array(is_open))
+            h, d, loc = (t.column(c).to_numpy() for c in ("src_id", "_id", "loc"))
             new = tk.run_starts(h)
             group = np.cumsum(new) - 1
-            src_d = np.where(settled, t.column("src_id").fill_null(0).to_numpy(), d[new][group])
-            src_loc = np.where(settled, t.column("src_loc").fill_null(0).to_numpy(), loc[new][group])
-            keep = d > src_d
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, loc, src_d, src_loc)], ["_id", "loc", "src_id", "src_loc"])
-
-    rows = candidates.mapInArrow(emit, "hash long, _id long, loc long, src_id long, src_loc long")
-    routed = rows.repartition(rp.route("src_id is not null", "_id", "hash")).sortWithinPartitions("hash", "_id", "loc")
-    return routed.mapInArrow(judge, "_id long, loc long, src_id long, src_loc long")
+            src_d, src_loc = d[new][group], loc[new][group]
+            later = d > src_d
+            several = (np.bincount(group, later) + np.bincount(group, t.column("shared").to_numpy())) > 0
+            edge = new & several[group]
+            if later.any():
+                yield from rows_of(_stretches(d[later], loc[later], src_d[later], src_loc[later])).combine_chunks().to_batches()
+            if edge.any():
+                yield from rows_of([d[edge], loc[edge], np.ones(int(edge.sum()), np.int64), d[edge], loc[edge]], t.column("head").to_numpy()[edge], t.column("tail").to_numpy()[edge]).combine_chunks().to_batches()
+
+    rows = candidates.mapInArrow(emit, _PLACES)
+    # open rows are dealt by their edge, stretches by their own id
+    routed = rows.repartition(rp.route("head is null", "_id", "src_id")).sortWithinPartitions("src_id", "_id", "loc")
+    return routed.mapInArrow(judge, _PLACES)
+
+
+def _path_starts(edges: DataFrame) -> DataFrame:
+    """(src_id, section, starts): first words of the graph's nonbranching paths, by sections of their source."""
+    ends = edges.select(F.col("head").alias("node"), F.lit(1).alias("into"), "_id", "loc").union(edges.select("tail", F.lit(0), "_id", "loc"))
+    of = lambda column, into: F.max(F.when(F.col("into") == into, F.col(column)))  # noqa: E731  of the only one, where a node doesn't branch
+    nodes = ends.groupBy("node").agg(F.sum("into").alias("n_in"), F.count(F.lit(1)).alias("n"), of("_id", 1).alias("before"), of("loc", 1).alias("left"), of("_id", 0).alias("_id"), of("loc", 0).alias("loc"))
+    links = nodes.where("n_in = 1 and n = 2 and before = _id and left + 1 = loc").select("_id", "loc")
+    starts = edges.select("_id", "loc").join(links, ["_id", "loc"], "left_anti")
+    return starts.groupBy(F.col("_id").alias("src_id"), F.expr(f"loc div {SECTION}").alias("section")).agg(F.sort_array(F.collect_list("loc")).alias("starts"))
+
+
+def _merged(stretches: DataFrame) -> DataFrame:
+    """Stretches that follow each other in a document and in their source as one."""
+    order = Window.partitionBy("_id").orderBy("loc")
+    last = F.lag(F.struct("loc", "n", "src_id", "src_loc")).over(order)
+    step = (F.col("loc") == last["loc"] + last["n"]) & (F.col("src_id") == last["src_id"]) & (F.col("src_loc") == last["src_loc"] + last["n"])
+    numbered = stretches.withColumn("stretch", F.sum(F.when(step, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("_id", "stretch").agg(F.min("loc").alias("loc"), F.sum("n").alias("n"), F.min("src_id").alias("src_id"), F.min("src_loc").alias("src_loc")).drop("stretch")
 
 
-def _paths(edges: DataFrame) -> DataFrame:
-    """(_id, loc, n, src_id, src_loc): maximal stretches of edges that advance in step with one source."""
-    order = Window.partitionBy("_id").orderBy("loc")
-    step = (F.col("loc") == F.lag("loc").over(order) + 1) & (F.col("src_id") == F.lag("src_id").over(order)) & (F.col("src_loc") == F.lag("src_loc").over(order) + 1)
-    starts = edges.withColumn("path", F.sum(F.when(step, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return starts.groupBy("_id", "path").agg(F.min("loc").alias("loc"), F.count(F.lit(1)).alias("n"), F.min("src_id").alias("src_id"), F.min("src_loc").alias("src_loc")).drop("path")
+def _along_paths(stretches: DataFrame, starts: DataFrame) -> DataFrame:
+    """The stretches in pieces that lie on one path each: cut where a path of their source begins."""
+    sections = F.sequence(F.expr(f"src_loc div {SECTION}"), F.expr(f"(src_loc + n - 1) div {SECTION}"))
+    parts = stretches.withColumn("section", F.explode(sections)).join(starts, ["src_id", "section"], "left")
+    low, high = F.greatest(F.col("src_loc"), F.col("section") * SECTION), F.least(F.col("src_loc") + F.col("n"), (F.col("section") + 1) * SECTION)
+    cuts = F.concat(F.array(low), F.coalesce(F.filter("starts", lambda x: (x > low) & (x < high)), F.array().cast("array<long>")), F.array(high))
+    pieces = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda x, i: F.struct(x.alias("at"), (F.get(cuts, i + 1) - x).alias("n")))
+    one = parts.select("_id", "loc", "src_id", F.col("src_loc").alias("whole"), F.explode(pieces).alias("p"))
+    return one.select("_id", (F.col("loc") + F.col("p.at") - F.col("whole")).alias("loc"), "p.n", "src_id", F.col("p.at").alias("src_loc"))
 
 
 def _digests(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
@@ -120,22 +181,29 @@ def _digests(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
     return texts.join(wanted, "_id").mapInArrow(read, "_id long, loc long, n long, digest binary")
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(_id, loc, n, src_id, src_loc) of every verified path: `n` consecutive k-mers from word
-    `loc` of row `loc >> 40` of `_id`, all of which also stand in the smaller document `src_id`."""
+def repeated_paths(rows: Rows, id_col: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(_id, loc, n) of every verified piece: `n` consecutive k-mers from word `loc` of row
+    `loc >> 40` of `_id`, all of which also stand in a smaller document."""
 
     def find(text):
         h, first = _units(text)
         ok, least = rp.windows(h, first, window, anchor)
         return np.repeat(np.arange(len(first) - 1), np.diff(first)), ok, least
 
-    texts = rp.numbered(docs, id_col, text_col)
-    anchors = written(rp.repeated_anchors(docs, id_col, text_col, find), "anchors")
-    paths = written(_paths(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor)), "paths")
-    digests = _digests(texts, paths, window)
+    texts = rp.numbered(rows, id_col)
+    anchors = written(rp.repeated_anchors(rows, id_col, find), "anchors")
+    graph = written(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor), "graph")
+    discard(anchors)
+    starts = written(_path_starts(graph.where("head is not null").select("_id", "loc", "head", "tail")), "path-starts")
+    pieces = written(_along_paths(_merged(graph.where("head is null").select("_id", "loc", "n", "src_id", "src_loc")), starts), "pieces")
+    discard(graph, starts)
+    digests = _digests(texts, pieces, window)
     here = digests.select("_id", "loc", "n", F.col("digest").alias("here"))
     there = digests.select(F.col("_id").alias("src_id"), F.col("loc").alias("src_loc"), "n", F.col("digest").alias("there"))
-    return paths.join(here, ["_id", "loc", "n"]).join(there, ["src_id", "src_loc", "n"]).where("here = there").select("_id", "loc", "n", "src_id", "src_loc")
+    verified = pieces.join(here, ["_id", "loc", "n"]).join(there, ["src_id", "src_loc", "n"]).where("here = there").select("_id", "loc", "n")
+    out = written(verified, "verified")
+    discard(pieces)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -143,12 +211,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A word goes if a window of `window` words covers it that also starts in a document with a
     smaller id; words are runs of `[^\\x20\\x09-\\x0D]`, compared as they are.  Windows are judged
-    on the input.  A null text has no words and gives an empty kept_text.  Rows without an id are
-    kept whole and are nobody's source.  Rows of the same id are one document: they don't remove
-    from each other, and each keeps its own row.  An input column with a result's name is replaced.
+    on the input.  A null text has no words and gives an empty kept_text.  Ids are integers; other
+    types are refused.  Rows without an id are kept whole and are nobody's source.  Rows of the
+    same id are one document: they don't remove from each other, and each keeps its own row.  An
+    input column with a result's name, in any case, is replaced.
     """
     added = "n_words long, n_removed long, kept_text string"
-    names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
+    rows = Rows(docs, text_col, ("n_words", "n_removed", "kept_text"))
 
     def cut(batches):
         for b in batches:
@@ -157,14 +226,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), *_cut(part, window)], ["_row", "_text", "n_words", "n_removed", "kept_text"])
 
-    spans = repeated_paths(docs, id_col, text_col, window, anchor).groupBy("_id").agg(F.collect_list(F.struct("loc", "n")).alias("_spans"))
-    texts = rp.numbered(docs, id_col, text_col)
-    others = quoted([c for c in docs.columns if c != text_col])
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("_text"), F.struct(*others).alias("_row"), F.lit(0).cast("long").alias("_dup"), F.lit(None).cast("array<struct<loc:long,n:long>>").alias("_spans"))
-    schema = schema_of(texts.select("_row", "_text"), added)
-    parts = [x.select("_text", "_row", "_dup", "_spans").mapInArrow(cut, schema) for x in (texts.join(spans, "_id", "left"), nameless)]
-    out = parts[0].union(parts[1])
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_text").alias(text_col), "n_words", "n_removed", "kept_text")
+    parts = rp.with_spans(rows, id_col, repeated_paths(rows, id_col, window, anchor))
+    schema = schema_of(parts[0].select("_row", "_text"), added)
+    out = parts[0].mapInArrow(cut, schema).union(parts[1].mapInArrow(cut, schema))
+    return rows.result(out, "n_words", "n_removed", "kept_text")
 
 
 def _cut(part: pa.RecordBatch, k: int) -> list[pa.Array]:

@@ -1,10 +1,15 @@
 """Suffix arrays by induced sorting, and exact deduplication of byte strings with them.
 
 Repeated regions are found by anchors (see `_repeats`).  A region is cut into *runs*: consecutive
-windows with one anchor.  Equal runs are settled by their first document.  Runs that differ but
-share an anchor may still share windows: their bytes meet in shards by anchor, each shard's suffix
-array is built by induced sorting, its permuted common prefixes are computed, and neighbours with
-a common prefix of a window or more form classes, whose smallest document keeps the window.
+windows with one anchor, at most MOST_RUN of them.  Equal runs, by 128-bit digests, are one string
+that belongs to their first document.  Different runs that share an anchor may still share windows:
+their bytes meet in shards, each shard's suffix array is built by induced sorting, its permuted
+common prefixes are computed, and neighbours with a common prefix of a window or more form classes,
+whose smallest document keeps the window.
+
+A shard holds whole anchors up to SHARD_BYTES.  The windows of an anchor with more bytes than that
+are dealt one by one, by their hash, after map tasks have settled those they hold twice; their
+shards' suffix arrays compare each document's window with the first equal one, so many bytes at a time.
 """
 
 from __future__ import annotations
@@ -16,12 +21,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _repeats as rp
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, schema_of, written
+from millrace.llm._shared import Rows, discard, schema_of, written
 
 #: Bytes of a window, and of the grams among which its anchor is chosen.
 WINDOW, ANCHOR = 50, 16
-#: Different runs of one anchor up to which they meet in one shard; windows of more are dealt one by one.
-SHARD_RUNS = 50_000
+#: Most windows of a run, and most bytes of an anchor's runs, and of windows, that one suffix array sorts.
+MOST_RUN, SHARD_BYTES = 4096, 1 << 20
 _DUP = 40
 
 
@@ -246,29 +251,32 @@ class _Windows:
         self.ok = np.arange(n) - self.first[self.no] + window <= counts[self.no]
 
 
-def _anchors(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
+def _anchors(rows: Rows, id_col: str, window: int, anchor: int) -> DataFrame:
     def find(text):
         x = _Windows(text, window, anchor)
         return x.no, x.ok, x.anchor
 
-    return rp.repeated_anchors(docs, id_col, text_col, find)
+    return rp.repeated_anchors(rows, id_col, find)
 
 
 def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, run, _id, loc, n, settled): runs of the repeated regions; settled: a smaller id has the same run."""
+    """(anchor, run, run2, _id, loc, n, settled): runs of the repeated regions; settled: a smaller id has the same run.
+
+    run and run2 are two independent hashes of the run's bytes.
+    """
 
     def emit(batches):
         held: list[list[np.ndarray]] = []
-        rows = 0
+        n_held = 0
 
         def flush():
-            run, d, loc, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((loc, d, run))
-            run, d, loc, n, a = (x[order] for x in (run, d, loc, n, a))
-            new = tk.run_starts(run)
+            run, run2, d, loc, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((loc, d, run2, run))
+            run, run2, d, loc, n, a = (x[order] for x in (run, run2, d, loc, n, a))
+            new = tk.run_starts(run, run2)
             settled = d > d[new][np.cumsum(new) - 1]
-            arrays = [pa.array(x) for x in (a, run, d, loc, n, settled)]
-            yield from pa.Table.from_arrays(arrays, ["anchor", "run", "_id", "loc", "n", "settled"]).to_batches(max_chunksize=100_000)
+            arrays = [pa.array(x) for x in (a, run, run2, d, loc, n, settled)]
+            yield from pa.Table.from_arrays(arrays, ["anchor", "run", "run2", "_id", "loc", "n", "settled"]).to_batches(max_chunksize=100_000)
 
         for b in batches:
             ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
@@ -278,37 +286,40 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
                 at = at[rp.marked(x.no[at], x.anchor[at], *tk.lists(lists.slice(i, j - i)))]
                 if not len(at):
                     continue
-                new = tk.run_starts(x.anchor[at], x.no[at], at - np.arange(len(at)))
+                step = np.arange(len(at))
+                whole = tk.run_starts(x.anchor[at], x.no[at], at - step)
+                since = step - np.flatnonzero(whole)[np.cumsum(whole) - 1]
+                new = since % MOST_RUN == 0  # a long run, as of a periodic text, is cut from its start on
                 start = at[new]
                 n = np.diff(np.append(np.flatnonzero(new), len(at)))
                 own, dup = ids.slice(i, j - i).to_numpy(), dups.slice(i, j - i).to_numpy()
-                run = tk.mix(x.w.span_hashes(start, start + n + window - 1) ^ n.astype(np.uint64))
+                run, run2 = (tk.mix(x.w.span_hashes(start, start + n + window - 1, f) ^ n.astype(np.uint64)) for f in (0, 1))
                 no = x.no[start]
-                held.append([tk.as_long(run), own[no], (dup[no] << _DUP) + start - x.first[no], n, tk.as_long(x.anchor[start])])
-                rows += len(start)
-                if rows >= rp.BUFFER_ROWS:
+                held.append([tk.as_long(run), tk.as_long(run2), own[no], (dup[no] << _DUP) + start - x.first[no], n, tk.as_long(x.anchor[start])])
+                n_held += len(start)
+                if n_held >= rp.BUFFER_ROWS:
                     yield from flush()
                     held.clear()
-                    rows = 0
-        if rows:
+                    n_held = 0
+        if n_held:
             yield from flush()
 
     def judge(batches):
         for t in rp.whole_groups(batches, "run"):
-            run, d, settled = t.column("run").to_numpy(), t.column("_id").to_numpy(), t.column("settled").to_numpy()
-            new = tk.run_starts(run)
+            run, run2, d, settled = (t.column(c).to_numpy() for c in ("run", "run2", "_id", "settled"))
+            new = tk.run_starts(run, run2)
             settled = settled | (d > d[new][np.cumsum(new) - 1])
             yield from t.set_column(t.schema.get_field_index("settled"), "settled", pa.array(settled)).combine_chunks().to_batches()
 
-    schema = "anchor long, run long, _id long, loc long, n long, settled boolean"
+    schema = "anchor long, run long, run2 long, _id long, loc long, n long, settled boolean"
     rows = candidates.mapInArrow(emit, schema)
-    return rows.repartition(rp.route("settled", "_id", "run")).sortWithinPartitions("run", "_id", "loc").mapInArrow(judge, schema)
+    return rows.repartition(rp.route("settled", "_id", "run")).sortWithinPartitions("run", "run2", "_id", "loc").mapInArrow(judge, schema)
 
 
-def _open_runs(runs: DataFrame) -> DataFrame:
-    """Unsettled runs whose anchor has another run, with `crowd`: rows of the anchor."""
+def _open_runs(runs: DataFrame, window: int) -> DataFrame:
+    """Unsettled runs whose anchor has another run, with `crowd`: bytes of the anchor's runs."""
     free = runs.where("not settled").select("anchor", "run", "_id", "loc", "n")
-    kinds = free.groupBy("anchor").agg(F.min("run").alias("lo"), F.max("run").alias("hi"), F.count(F.lit(1)).alias("crowd")).where("lo <> hi")
+    kinds = free.groupBy("anchor").agg(F.min("run").alias("lo"), F.max("run").alias("hi"), F.sum(F.col("n") + window - 1).alias("crowd")).where("lo <> hi")
     return free.join(kinds.select("anchor", "crowd"), "anchor").select("anchor", "_id", "loc", "n", "crowd")
 
 
@@ -392,54 +403,76 @@ def _by_shard(contents: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _by_window(contents: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with more runs than a shard takes: each window is dealt by its own hash."""
+    """The same for anchors with more bytes than a shard takes: each window is dealt by its own hash."""
 
     def emit(batches):
         for b in batches:
             x = _Windows(b.column("content"), window, window)
             at = np.flatnonzero(x.ok)
-            h = tk.as_long(x.w.span_hashes(at, at + window))
             d, loc = b.column("_id").to_numpy()[x.no[at]], b.column("loc").to_numpy()[x.no[at]] + at - x.first[x.no[at]]
-            order = np.lexsort((loc, d, h))
-            h, d, loc = h[order], d[order], loc[order]
-            new = tk.run_starts(h)
-            yield from pa.Table.from_arrays([pa.array(h), pa.array(d), pa.array(loc), pa.array(d > d[new][np.cumsum(new) - 1])], ["hash", "_id", "loc", "settled"]).to_batches(max_chunksize=100_000)
+            h = tk.as_long(x.w.span_hashes(at, at + window))
+            h2 = tk.as_long(x.w.span_hashes(at, at + window, 1))
+            order = np.lexsort((loc, d, h2, h))
+            at, h, h2, d, loc = at[order], h[order], h2[order], d[order], loc[order]
+            new = tk.run_starts(h, h2)
+            settled = d > d[new][np.cumsum(new) - 1]
+            data = x.w.bytes
+            for i in range(0, len(at), 20_000):
+                part = slice(i, i + 20_000)
+                cut = np.lib.stride_tricks.sliding_window_view(data, window)[at[part]]
+                content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(window), len(cut), [None, pa.py_buffer(np.ascontiguousarray(cut))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(h2[part]), pa.array(d[part]), pa.array(loc[part]), pa.array(settled[part]), content], ["hash", "hash2", "_id", "loc", "settled", "content"])
 
-    def judge(batches):
+    def sort(batches):
         for t in rp.whole_groups(batches, "hash"):
-            h, d, loc, settled = (t.column(c).to_numpy() for c in ("hash", "_id", "loc", "settled"))
-            new = tk.run_starts(h)
-            later = settled | (d > d[new][np.cumsum(new) - 1])
-            yield _spans(d[later], loc[later])
-
-    rows = contents.select("_id", "loc", "content").mapInArrow(emit, "hash long, _id long, loc long, settled boolean")
-    return rows.repartition(rp.route("settled", "_id", "hash")).sortWithinPartitions("hash", "_id", "loc").mapInArrow(judge, "_id long, loc long, n long")
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_runs: int = SHARD_RUNS) -> DataFrame:
+            h, h2, d, loc, settled = (t.column(c).to_numpy() for c in ("hash", "hash2", "_id", "loc", "settled"))
+            if settled.any():
+                yield _spans(d[settled], loc[settled])
+            # what the hashes call equal, a suffix array compares: each document's window with the first one's
+            first = np.flatnonzero(tk.run_starts(h, h2))[np.cumsum(tk.run_starts(h, h2)) - 1]
+            own = np.flatnonzero(tk.run_starts(h, h2, d))[np.cumsum(tk.run_starts(h, h2, d)) - 1]
+            later = np.unique(own[~settled & (d > d[first])])
+            equal = np.zeros(len(h), bool)
+            for i in range(0, len(later), SHARD_BYTES // window + 1):
+                part = later[i : i + SHARD_BYTES // window + 1]
+                both = np.concatenate([np.unique(first[part]), part])
+                text, _, _ = first_owners(t.column("content").take(pa.array(both)).to_pylist(), d[both], window)
+                equal[both[text]] = True
+            gone = ~settled & equal[own]
+            if gone.any():
+                yield _spans(d[gone], loc[gone])
+
+    rows = contents.select("_id", "loc", "content").mapInArrow(emit, "hash long, hash2 long, _id long, loc long, settled boolean, content binary")
+    return rows.repartition(rp.route("settled", "_id", "hash")).sortWithinPartitions("hash", "hash2", "_id", "loc").mapInArrow(sort, "_id long, loc long, n long")
+
+
+def repeated_windows(rows: Rows, id_col: str, window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(_id, loc, n): n consecutive windows from byte `loc` of row `loc >> 40` of `_id` also start in a smaller id."""
-    texts = rp.numbered(docs, id_col, text_col)
-    anchors = written(_anchors(docs, id_col, text_col, window, anchor), "anchors")
+    texts = rp.numbered(rows, id_col)
+    anchors = written(_anchors(rows, id_col, window, anchor), "anchors")
     runs = written(_runs(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor), "runs")
-    open_runs = written(_open_runs(runs), "open")
-    contents = _contents(texts, open_runs, window)
-    parts = _by_shard(contents.where(f"crowd <= {shard_runs}"), window, anchor)
-    if open_runs.where(f"crowd > {shard_runs}").limit(1).count():
-        parts = parts.union(_by_window(_contents(texts, open_runs.where(f"crowd > {shard_runs}"), window), window))
-    return runs.where("settled").select("_id", "loc", "n").union(written(parts, "windows"))
+    open_runs = written(_open_runs(runs, window), "open")
+    discard(anchors)
+    parts = _by_shard(_contents(texts, open_runs.where(f"crowd <= {shard_bytes}"), window), window, anchor)
+    if not open_runs.where(f"crowd > {shard_bytes}").isEmpty():
+        parts = parts.union(_by_window(_contents(texts, open_runs.where(f"crowd > {shard_bytes}"), window), window))
+    out = written(runs.where("settled").select("_id", "loc", "n").union(parts), "windows")
+    discard(runs, open_runs)
+    return out
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_runs: int = SHARD_RUNS) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All columns of `docs`, and n_bytes, n_removed, n_spans and kept (binary).
 
     A byte of the UTF-8 text goes if a string of `window` bytes covers it that also starts in a
     document with a smaller id; strings lie in one document and are judged on the input.  n_spans
-    counts maximal removed runs.  A null text is empty.  Rows without an id are kept whole and are
-    nobody's source; rows of one id don't remove from each other.  `kept` may break a character.
-    An input column with a result's name is replaced.
+    counts maximal removed runs.  A null text is empty.  Ids are integers; other types are refused.
+    Rows without an id are kept whole and are nobody's source; rows of one id don't remove from each
+    other.  `kept` may break a character.  An input column with a result's name, in any case, is
+    replaced.
     """
     added = "n_bytes long, n_removed long, n_spans long, kept binary"
-    names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
+    rows = Rows(docs, text_col, ("n_bytes", "n_removed", "n_spans", "kept"))
 
     def cut(batches):
         for b in batches:
@@ -460,10 +493,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         x.append(y)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["_row", "_text", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = repeated_windows(docs, id_col, text_col, window, anchor, shard_runs).groupBy("_id").agg(F.collect_list(F.struct("loc", "n")).alias("_spans"))
-    texts = rp.numbered(docs, id_col, text_col)
-    others = quoted([c for c in docs.columns if c != text_col])
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("_text"), F.struct(*others).alias("_row"), F.lit(0).cast("long").alias("_dup"), F.lit(None).cast("array<struct<loc:long,n:long>>").alias("_spans"))
-    schema = schema_of(texts.select("_row", "_text"), added)
-    parts = [x.select("_text", "_row", "_dup", "_spans").mapInArrow(cut, schema) for x in (texts.join(spans, "_id", "left"), nameless)]
-    return parts[0].union(parts[1]).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_text").alias(text_col), "n_bytes", "n_removed", "n_spans", "kept")
+    parts = rp.with_spans(rows, id_col, repeated_windows(rows, id_col, window, anchor, shard_bytes))
+    schema = schema_of(parts[0].select("_row", "_text"), added)
+    out = parts[0].mapInArrow(cut, schema).union(parts[1].mapInArrow(cut, schema))
+    return rows.result(out, "n_bytes", "n_removed", "n_spans", "kept")
