@@ -1,10 +1,12 @@
 """License scan by a positional index of rare licence words.
 
-The templates' words are indexed by their places, weighted by inverse document frequency over the
-templates.  A template's label needs its mandatory key phrases, in order, and enough of its rare
-words at relative positions (place in text - place in template) within a band about that of the
-first phrase.  The band lets item numbers, names and missing words shift what follows.  Words that
-begin consecutive lines alike, as comment markers do, are read both with and without.
+The templates' words are weighted by inverse document frequency, counted over all scanned texts and
+the templates; the rarest half of each template's words is indexed with its places.  A text's
+words look their postings up, and a template is a candidate where enough of its rare words agree on
+a relative position (place in text - place in template), give or take a band.  Then its mandatory
+key phrases must stand there, in order.  The band lets item numbers, names and missing words shift
+what follows.  Words that begin consecutive lines alike, as comment markers do, are read both with
+and without.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, with_computed
+from millrace.llm._shared import Rows, with_computed
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -35,10 +38,19 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0.", ["cc by sa"]),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ["free and unencumbered software released into the public domain"]),
     ("boost", "Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license", "obtaining a copy of the software and accompanying documentation"]),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ["the authors or copyright holders be liable for any claim", "the use or other dealings in the software"]),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ["software distributed under the license is distributed on an as is basis", "the specific language governing permissions and limitations"]),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES", ["and any express or implied warranties including but not limited to", "direct indirect incidental special exemplary or consequential damages"]),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["contributors may be used to endorse or promote products derived from this software"]),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["gnu affero general public license"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", ["distributed in the hope that it will be useful", "see the gnu general public license for more details"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ["in no event will the authors be held liable", "to alter it and redistribute it freely"]),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ["eclipse public license"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["waived all copyright and related or neighboring rights"]),
 ]
 
-#: Least inverse document frequency of an indexed word, as a share of the greatest.
-RARE_SHARE = 0.5
+#: Share of a template's distinct words that are indexed, its rarest, and how many at least.
+RARE_SHARE, RARE_LEAST = 0.5, 3
 #: Least share of a template's rare words that agree on a band of relative positions.
 AGREE = 0.6
 #: A band's relative positions to each side: a share of the template's words, and the least.
@@ -50,25 +62,51 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class RareWordIndex:
-    """Postings (word hash -> template, place) of the templates' rare words, and their key phrases."""
+    """Postings (word hash -> template, place) of the templates' rare words, and their key phrases.
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
+    counts: texts that hold a word, by its hash, among n_texts; the templates count as texts too.
+    """
+
+    def __init__(self, templates=TEMPLATES, counts: dict[int, int] | None = None, n_texts: int = 0, phrases=PHRASES):
         self.labels = [t[0] for t in templates]
         words = [_hashes(t[1]) for t in templates]
-        distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        template = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        frequency = np.bincount(np.unique(np.stack([inverse, template]), axis=1)[0], minlength=len(distinct))
-        idf = np.log(1 + len(words) / frequency)
-        place = np.concatenate([np.arange(len(w)) for w in words])
-        rare = idf[inverse] >= RARE_SHARE * idf.max()
-        order = np.argsort(inverse[rare], kind="stable")
-        self.words = distinct[inverse[rare]][order]
-        self.template, self.place, self.weight = template[rare][order], place[rare][order], idf[inverse[rare]][order]
+        held = np.concatenate([np.unique(w) for w in words])
+        distinct, own = np.unique(held, return_counts=True)
+        frequency = own + np.array([(counts or {}).get(int(x), 0) for x in tk.as_long(distinct)])
+        idf = np.log(1 + (n_texts + len(templates)) / frequency)
+        postings: list[tuple[np.ndarray, ...]] = []
+        for t, w in enumerate(words):
+            weight = idf[np.searchsorted(distinct, w)]
+            kinds, first = np.unique(w, return_index=True)
+            rarest = kinds[np.lexsort((first, -weight[first]))][: max(RARE_LEAST, int(RARE_SHARE * len(kinds)))]
+            place = np.flatnonzero(np.isin(w, rarest))
+            postings.append((w[place], np.full(len(place), t), place, weight[place]))
+        word, template, place, weight = (np.concatenate(x) for x in zip(*postings, strict=True))
+        order = np.argsort(word, kind="stable")
+        self.words, self.template, self.place, self.weight = word[order], template[order], place[order], weight[order]
         self.total = np.bincount(self.template, self.weight, minlength=len(words))
-        self.sizes = [len(w) for w in words]
+        self.sizes = np.array([len(w) for w in words])
+        self.bands = np.maximum(BAND_LEAST, (BAND_SHARE * self.sizes).astype(np.int64))
         self.keys = [[(len(k := _hashes(p)), tk.grams(k, len(k))[0], _find(w, k)) for p in t[2]] for t, w in zip(templates, words, strict=True)]
         self.phrases = [(len(k := _hashes(p)), tk.grams(k, len(k))[0], label) for p, label in phrases.items()]
 
+    def candidates(self, text: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+        """(text, template) pairs whose rare words agree on three neighbouring bands of relative positions."""
+        low, high = np.searchsorted(self.words, h, "left"), np.searchsorted(self.words, h, "right")
+        n = high - low
+        at = np.repeat(np.arange(len(h)), n)
+        posting = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        template = self.template[posting]
+        band = (at - self.place[posting]) // self.bands[template]
+        # a vote counts for the three groups of bands that hold its own
+        votes = np.concatenate([np.stack([text[at], template, band - back, posting]) for back in range(3)], axis=1)
+        votes = np.unique(votes, axis=1)
+        if not votes.shape[1]:
+            return []
+        group = np.cumsum(tk.run_starts(*votes[:3])) - 1
+        share = np.bincount(group, self.weight[votes[3]]) / self.total[votes[1][tk.run_starts(*votes[:3])]]
+        return sorted(set(zip(*votes[:2, (share >= AGREE - 1e-9)[group]].tolist(), strict=True)))
+
 
 def _find(words: np.ndarray, key: np.ndarray) -> int:
     return next(i for i in range(len(words) - len(key) + 1) if (words[i : i + len(key)] == key).all())
@@ -107,21 +145,19 @@ def _in_order(places: list[np.ndarray], keys: list[tuple], start: int, band: int
 def _notices(text: np.ndarray, h: np.ndarray, index: RareWordIndex, cache: dict) -> dict[tuple[int, int], float]:
     """(text, template) -> greatest weighted share of the template's rare words found in a band."""
     out: dict[tuple[int, int], float] = {}
-    for t, keys in enumerate(index.keys):
-        places = [_places(text, h, n, key, cache) for n, key, _ in keys]
-        if not all(map(len, places)):
-            continue
-        band, own = max(BAND_LEAST, int(BAND_SHARE * index.sizes[t])), index.template == t
+    for x, t in index.candidates(text, h):
+        keys, band, own = index.keys[t], int(index.bands[t]), index.template == t
+        begin, end = int(np.searchsorted(text, x, "left")), int(np.searchsorted(text, x, "right"))
+        places = [p[np.searchsorted(p, begin) : np.searchsorted(p, end)] for p in (_places(text, h, n, key, cache) for n, key, _ in keys)]
         words, place, weight = index.words[own], index.place[own], index.weight[own]
         for p in places[0].tolist():
-            x = int(text[p])
             if out.get((x, t), 0.0) >= 1.0:
-                continue
-            start, begin, end = p - keys[0][2], int(np.searchsorted(text, x, "left")), int(np.searchsorted(text, x, "right"))
+                break
+            start = p - keys[0][2]
             if not _in_order(places, keys, start, band, end):
                 continue
             lo = max(begin, start - band)
-            near = h[lo : min(end, start + index.sizes[t] + band)]
+            near = h[lo : min(end, start + int(index.sizes[t]) + band)]
             at, posting = np.nonzero(near[:, None] == words)
             found = np.unique(posting[np.abs(at + lo - place[posting] - start) <= band])
             out[x, t] = max(out.get((x, t), 0.0), round(float(weight[found].sum() / index.total[t]), 12))
@@ -158,16 +194,36 @@ def scan_slice(column: pa.Array, index: RareWordIndex) -> dict[str, list | np.nd
     return {"n_words": w.counts.astype(np.int64), "n_base": n_base, "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_labels": names(base), "labels": names(labels), "score": score}
 
 
+def word_counts(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> tuple[dict[int, int], int]:
+    """(texts that hold each word of the templates, by its hash; number of texts); one pass, a row a word comes back."""
+    known = np.unique(np.concatenate([_hashes(t[1]) for t in templates]))
+
+    def scan(batches):
+        counts, n = np.zeros(len(known), np.int64), 0
+        for b in batches:
+            for i, j in tk.slices(b.column("_text")):
+                w = tk.Words(b.column("_text").slice(i, j - i), tk.ALNUM_WORDS, lower=True)
+                h = w.hashes()
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                held = np.unique(w.text[known[at] == h] * len(known) + at[known[at] == h]) % len(known)
+                counts += np.bincount(held, minlength=len(known))
+                n += j - i
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(tk.as_long(known), 0)), pa.array(np.append(counts, n)), pa.array(np.append(np.zeros(len(known), bool), True))], ["word", "n", "every"])
+
+    rows = Rows(docs, text_col)
+    found = rows.frame.select(rows.text).mapInArrow(scan, "word long, n long, every boolean").groupBy("word", "every").agg(F.sum("n").alias("n")).collect()
+    return {r["word"]: r["n"] for r in found if not r["every"]}, sum(r["n"] for r in found if r["every"])
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """All columns of `docs`, and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z; a null text is
     empty.  score is 0 without any label, 0.5 for a phrase alone, and rises to 1 with the weighted
-    share of a template's rare words found in its band.  Rows are judged alone: ids may be null or
-    repeat.  One pass, no shuffle.  An input column with a result's name is replaced.
+    share of a template's rare words found in its band.  Rows are judged alone but for the words'
+    frequencies: ids may be of any type, be null or repeat.  Two passes, no shuffle of texts.  An
+    input column with a result's name, in any case, is replaced.
     """
-    index = RareWordIndex(templates)
+    index = RareWordIndex(templates, *word_counts(docs, text_col, templates))
     added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
-    base = docs.select(*quoted([c for c in docs.columns if c not in added or c == text_col]))
-
-    return with_computed(base, text_col, ", ".join(f"{k} {v}" for k, v in added.items()), lambda texts: [pa.array(v) for v in scan_slice(texts, index).values()])
+    return with_computed(docs, text_col, ", ".join(f"{k} {v}" for k, v in added.items()), lambda texts: [pa.array(v) for v in scan_slice(texts, index).values()])

@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm._columns import words
-from millrace.llm._shared import written
+from millrace.llm._shared import Rows, written
 
 #: Weights of the sources in code point order, repeating; the null source comes last.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most times that a source is repeated.
 TOTAL_SHARE, MOST_REPEATS = 1.5, 2
-#: Draws tried for each source; the one whose words come nearest to the target is used.
-SEEDS = 16
+#: Seed of the draws.
+SEED = 0
 #: Sources up to which their table is broadcast; beyond, the join shuffles (and splits hot sources).
 BROADCAST_SOURCES = 50_000
 
 
-def _draw(id_col: Column, seed: Column) -> Column:
+def _draw(id_col: Column, seed: int) -> Column:
     """Uniform in [0, 1), from 52 bits of a digest of seed and id."""
-    digits = F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
@@ -55,35 +55,29 @@ def _with_source(rows: DataFrame, by_source: DataFrame, n_sources: int) -> DataF
     return rows.join(F.broadcast(table) if n_sources <= BROADCAST_SOURCES else table, F.col("_source").eqNullSafe(F.col("_source_key")), "inner").drop("_source_key")
 
 
-def _copies(id_col: Column, rate: Column, seed: Column) -> Column:
-    whole = F.floor(rate)
-    return (whole + F.when(_draw(id_col, seed) < rate - whole, 1).otherwise(0)).cast("long")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """All columns of `docs`, and size, source_size, target, copies, taken (size * copies).
 
     Size counts runs of `[^\\x20\\x09-\\x0D]`; a null text has size 0.  A null source is a source
-    of its own.  Rows with equal ids draw alike; null ids draw as the empty string.  The draw
-    depends on ids, sizes and sources alone, so reruns agree.  An input column with a result's
-    name is replaced.  An empty table gives an empty one.
+    of its own.  A document is taken floor(rate) times and once more if its draw is below the
+    rate's fraction.  Rows with equal ids draw alike; null ids draw as the empty string.  The draw
+    depends on seed and id alone, so reruns agree.  An input column with a result's name, in any
+    case, is replaced.  An empty table gives an empty one.
     """
-    text_size = F.size(words(F.col(f"`{text_col}`"))).cast("long")
-    sizes = written(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), text_size.alias("size")), "sizes")
-    by_source = written(targets(sizes), "targets")
-    n = by_source.count()
-    drawn = _with_source(sizes.withColumnRenamed("source", "_source"), by_source, n)
-    sums = [F.sum(F.col("size") * _copies(F.col("_id"), F.col("rate"), F.lit(s))).alias(f"s{s}") for s in range(SEEDS)]
-    tried = drawn.groupBy("_source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), *sums)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))["seed"]
-    chosen = written(tried.select(F.col("_source").alias("source"), "source_size", "target", "rate", best.alias("seed")), "mix")
     added = ("size", "source_size", "target", "copies", "taken")
-    names = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), text_size.alias("size"))
-    out = _with_source(rows, chosen, n).withColumn("copies", _copies(F.col("_id"), F.col("rate"), F.col("seed")))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *added)
+    rows = Rows(docs, text_col, added)
+    text_size = F.size(words(rows.col(text_col))).cast("long")
+    sized = rows.frame.select(rows.row, rows.text, rows.col(id_col).alias("_id"), rows.col(source_col).alias("_source"), text_size.alias("size"))
+    by_source = written(targets(rows.frame.select(rows.col(source_col).alias("source"), text_size.alias("size"))), "targets")
+    whole = F.floor(F.col("rate"))
+    copies = (whole + F.when(_draw(F.col("_id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("long")
+    out = _with_source(sized, by_source, by_source.count()).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return rows.result(out, *added)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    some = mixed.where("copies > 0")
+    plain = some.toDF(*[f"c{i}" for i in range(len(some.columns))])
+    copies = F.col(f"c{some.columns.index('copies')}")
+    return plain.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("copy").toDF(*some.columns)

@@ -99,13 +99,10 @@ levels AS (
 filled AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM filled),
 draws AS (
-  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, t.seed,
-         CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(CAST('0x' || substr(md5(t.seed || ':' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
-  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(16)) AS seed) t),
-tried AS (SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM draws GROUP BY source, seed),
-best AS (SELECT source, seed FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
-SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * d.copies AS BIGINT) AS taken
-FROM draws d JOIN best b ON d.seed = b.seed AND d.source IS NOT DISTINCT FROM b.source
+  SELECT s.doc_id, s.size, r.source_size, r.target,
+         CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM draws
 """
 
 

@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import _tokens as tk
-from millrace.llm._shared import quoted, with_computed
+from millrace.llm._shared import Rows, with_computed
 
-#: Most labelled documents of either label in the training sample, taken by a hash of the id.
-SAMPLE_EACH = 3000
+#: Most labelled documents of either label in the training sample, and most bytes of their texts, taken by a hash of the id.
+SAMPLE_EACH, SAMPLE_BYTES = 3000, 32 << 20
 #: Most features that the model keeps, and the fewest toxic documents that hold one.
 FEATURES, LEAST_DOCS = 4096, 3
 #: Byte lengths of the word prefixes.
@@ -138,45 +139,52 @@ def score(column: pa.Array, model: tuple[np.ndarray, np.ndarray, float]) -> tupl
     return noisy_or(own, bags.sentence_text, len(column)), where
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """The model of the labelled rows outside the held-out fold; an id labelled twice counts as toxic if any label is."""
+def train(rows: Rows, labels: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model of the labelled rows outside the held-out fold.
+
+    An id labelled twice counts as toxic if any label is; of an id with several texts the smallest
+    one is learnt from.
+    """
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % FOLDS
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic is not null")
-    known = known.where(fold != HELD_OUT).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    known = known.where(fold != HELD_OUT).groupBy("_id").agg((F.max("_toxic") > 0).alias("_toxic"))
     order = [F.xxhash64(F.col("_id")), F.col("_id")]
-    sample = known.where("_toxic > 0").orderBy(*order).limit(SAMPLE_EACH).union(known.where("_toxic = 0").orderBy(*order).limit(SAMPLE_EACH))
-    # at most 2 * SAMPLE_EACH ids are broadcast
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    sample = known.where("_toxic").orderBy(*order).limit(SAMPLE_EACH).union(known.where("not _toxic").orderBy(*order).limit(SAMPLE_EACH))
+    # at most 2 * SAMPLE_EACH ids are broadcast, and as many rows are left
+    texts = rows.frame.select(rows.col(id_col).alias("_id"), rows.text).join(F.broadcast(sample), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    so_far = Window.partitionBy("_toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.withColumn("_bytes", F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(so_far)).where(f"_bytes <= {SAMPLE_BYTES}")
 
     def learn(batches):
         t = pa.Table.from_batches(batches)
         if not t.num_rows:
             return
-        t = t.sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
-        keys, weight, bias = fit(t.column("_text").combine_chunks(), t.column("_toxic").to_numpy())
+        t = t.sort_by([("_id", "ascending")]).combine_chunks()
+        keys, weight, bias = fit(t.column("_text").combine_chunks(), t.column("_toxic").to_numpy().astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(np.append(keys, np.uint64(0)))), pa.array(np.append(weight, bias))], ["key", "weight"])
 
-    rows = texts.select("_id", "_text", F.col("_toxic").cast("int").alias("_toxic")).repartition(1).mapInArrow(learn, "key long, weight double").collect()
-    if not rows:
+    found = texts.select("_id", "_text", "_toxic").repartition(1).mapInArrow(learn, "key long, weight double").collect()
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0), -8.0
-    return np.array([r["key"] for r in rows[:-1]], np.int64).view(np.uint64), np.array([r["weight"] for r in rows[:-1]]), rows[-1]["weight"]
+    return np.array([r["key"] for r in found[:-1]], np.int64).view(np.uint64), np.array([r["weight"] for r in found[:-1]]), found[-1]["weight"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, and held_out, score, predicted, offending (byte starts of sentences).
 
     A text without words (or null) has score 0.  A null id is never held out nor trained on.
-    Ids may repeat: every row is scored by its own text.  Without labels all scores are 0.  An input column with a result's name is replaced.
+    Ids may repeat, and be of any type that labels' ids have: every row is scored by its own text.
+    Without labels all scores are 0.  An input column with a result's name, in any case, is replaced.
     """
-    model = train(docs, labels, id_col, text_col)
+    model = train(Rows(docs, text_col), labels, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
-    added = {"held_out": "boolean", "score": "double", "predicted": "int", "offending": "array<long>"}
-    base = docs.select(*quoted([c for c in docs.columns if c not in added or c in (id_col, text_col)]))
-    fold = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+    rows = Rows(docs, text_col, ("held_out", "score", "predicted", "offending"))
+    fold = F.coalesce(F.crc32(rows.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
     def compute(texts):
         p, where = score(texts, shared.value)
         return [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(where, pa.list_(pa.int64()))]
 
-    out = with_computed(base, text_col, "score double, predicted int, offending array<long>", compute)
-    return out.select(*quoted(base.columns), fold.alias("held_out"), "score", "predicted", "offending")
+    held = rows.frame.select(F.struct(rows.row, fold.alias("held_out")).alias("both"), rows.text)
+    out = with_computed(held, "_text", "score double, predicted int, offending array<long>", compute)
+    return rows.result(out.select("both._row", "_text", "both.held_out", "score", "predicted", "offending"), "held_out", "score", "predicted", "offending")

@@ -30,10 +30,12 @@ def test_substrings_equal_brute_force(spark, seed):
         assert found[i] == (d, len(w), sum(g), " ".join(x for x, y in zip(w, g, strict=True) if not y))
 
 
-@pytest.mark.parametrize("shard_runs", [50_000, 3])
-def test_bytes_equal_brute_force(spark, shard_runs):
+@pytest.mark.parametrize(("shard_bytes", "most_run"), [(1 << 20, 4096), (1, 7)])
+def test_bytes_equal_brute_force(spark, monkeypatch, shard_bytes, most_run):
+    monkeypatch.setattr(suffixes, "MOST_RUN", most_run)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", shard_bytes)
     rows = [(d, t if t is None or len(t) < 5000 else t[:5000]) for d, t in brute.messy(3, 40)]
-    out = suffixes.dedup_bytes(brute.frame(spark, rows), shard_runs=shard_runs)
+    out = suffixes.dedup_bytes(brute.frame(spark, rows), shard_bytes=shard_bytes)
     found = {r["odd.name"]: (r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
     gone = brute.removed_units(rows, suffixes.WINDOW, lambda t: (t or "").encode())
     assert len(found) == len(rows) and sum(map(sum, gone)) > 100

@@ -36,9 +36,11 @@ def contaminated(rows, items, k):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 200])
-def test_decontamination_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [(64, 23, 27), (1, 4, 4)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, bits):
+    """A bitmap that is almost full lets everything through to the joins."""
+    for name, value in zip(("BITS_EACH", "BITS_LEAST", "BITS_MOST"), bits, strict=True):
+        monkeypatch.setattr(decontaminate, name, value)
     rows = brute.messy(9, 40)
     r = random.Random(1)
     items = [(i, " ".join(lower_words(rows[r.randrange(40)][1])[: r.choice([2, 5, 12, 13, 14, 30])])) for i in range(12)]
@@ -61,20 +63,28 @@ def test_decontamination_of_nothing(spark):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=4, max_size=40), st.integers(0, 30), st.integers(4, 10))
-def test_winnowing_finds_every_long_shared_span(words, start, length):
+def test_equal_windows_have_equal_fingerprints(words, start, length):
     """Any shared span of a window or more has a common fingerprint, so the join can't miss it."""
     import pyarrow as pa
 
-    item = [*words[start : start + length]]
-    index = decontaminate.Index([1], [" ".join(item)], 4, 2)
-    _, hit, texts, _ = decontaminate.hits(pa.array([" ".join(words)]), index)
-    windows = {tuple(item[i : i + 4]) for i in range(len(item) - 3)} if len(item) >= 4 else {tuple(item)} if item else set()
-    n = min(4, len(item))
-    covered = [False] * len(words)
-    for i in range(len(words) - n + 1 if n else 0):
-        if tuple(words[i : i + n]) in windows:
-            covered[i : i + n] = [True] * n
-    assert hit.tolist() == covered and (len(texts) > 0) == any(covered)
+    item = words[start : start + length]
+    whole, part = (decontaminate.Windows(pa.array([" ".join(x)]), 2) for x in (words, item))
+    for i in part.places(4).tolist():
+        at = [j for j in whole.places(4).tolist() if words[j : j + 4] == item[i : i + 4]]
+        assert at and {whole.fingerprints(4, False)[j] for j in at} == {part.fingerprints(4, False)[i]}
+        assert {tuple(x[j] for x in whole.hashes(4)) for j in at} == {tuple(x[i] for x in part.hashes(4))}
+
+
+def test_one_word_over_and_over(spark):
+    """A million places of one window travel as one run."""
+    import time
+
+    rows = [(1, "w " * 1_000_000), (2, "w " * 30), (3, "v w")]
+    benchmark = spark.createDataFrame([(i, "w " * n) for i, n in enumerate((1_000_000, 20, 12, 1))], "item_id long, text string")
+    began = time.time()
+    out = {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in decontaminate.decontaminate(brute.frame(spark, rows), benchmark).collect()}
+    assert out == {1: (1_000_000, 1_000_000, ["0", "1", "2", "3"]), 2: (30, 30, ["0", "1", "2", "3"]), 3: (2, 1, ["3"])}
+    assert time.time() - began < 60
 
 
 # --- licenses --------------------------------------------------------------------------------
