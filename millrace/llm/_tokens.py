@@ -198,10 +198,14 @@ def covered(starts: np.ndarray, length, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def list_offsets(column: pa.Array) -> np.ndarray:
+    """Offsets of a list column's values, flattened; a null is an empty list."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64) if len(column) else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of a list column of longs; a null is an empty list."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64) if len(column) else np.zeros(0, np.int64)
-    values = np.asarray(column.flatten(), np.int64)
-    return values, np.concatenate([[0], np.cumsum(sizes)])
+    return np.asarray(column.flatten(), np.int64), list_offsets(column)

@@ -1,13 +1,15 @@
 """Substring deduplication by compacting a De Bruijn graph of word k-mers.
 
 Every k consecutive words are an edge from the node of their first k - 1 words to that of their
-last k - 1.  Only edges that may stand in several documents are built (their anchor is repeated,
-see `_repeats`); each knows its source, the first place of the smallest document that holds it.
-
-1. Nodes are counted: one that a single edge enters and a single edge leaves doesn't branch.  A
-   join through such nodes links edges whose sources follow each other.
-2. Joins with the links leave the edges that begin and those that end a path: the links compact
-   the graph to nonbranching paths (source document, first word, edges).
+last k - 1.  Regions that may stand in several documents (their anchor is repeated, see `_repeats`)
+are cut into runs, consecutive k-mers with one anchor.  Equal runs are one string, that of their
+first document; only its edges are built.  An edge's source is its first place in the smallest
+document that holds it.
+
+1. Nodes are counted: one that a single repeated edge enters and a single one leaves doesn't
+   branch.  A join through such nodes links edges whose sources follow each other.
+2. A join with the links leaves the edges that begin a path: the links compact the graph to
+   nonbranching paths, each a span of its source.
 3. Stretches of a later document that run along a source are cut where its paths begin, and both
    coordinates of every piece are read again from the texts: their words are compared by an
    independent digest before anything is removed.
@@ -32,7 +34,6 @@ WINDOW, ANCHOR = 13, 4
 _DUP = 40  # a location is the row's ordinal in its id << 40 | word
 #: Words of a source whose path beginnings meet in one row.
 SECTION = 4096
-_PLACES = "_id long, loc long, n long, src_id long, src_loc long, head long, tail long, shared boolean"
 
 
 def _units(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,51 +50,111 @@ def _stretches(d: np.ndarray, loc: np.ndarray, src_d: np.ndarray, src_loc: np.nd
     return [d[first], loc[first], np.diff(np.append(first, len(d))), src_d[first], src_loc[first]]
 
 
-def _edges(candidates: DataFrame, k: int, m: int) -> DataFrame:
-    """Stretches of edges that a smaller id has too, and one row for each edge of several documents.
+def _runs(candidates: DataFrame, k: int, m: int) -> DataFrame:
+    """(run, _id, loc, n, src_id, src_loc, shared): runs; those that a smaller id has too with their source, else shared or not."""
+
+    def table(run, d, loc, n, src_d, src_loc, settled, shared):
+        arrays = [pa.array(run), pa.array(d), pa.array(loc), pa.array(n), pa.array(src_d, mask=~settled), pa.array(src_loc, mask=~settled), pa.array(shared)]
+        return pa.Table.from_arrays(arrays, ["run", "_id", "loc", "n", "src_id", "src_loc", "shared"])
+
+    def emit(batches):
+        held: list[list[np.ndarray]] = []
+        n_held = 0
+
+        def flush():
+            run, d, loc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((loc, d, run))
+            run, d, loc, n = run[order], d[order], loc[order], n[order]
+            new = tk.run_starts(run)
+            group = np.cumsum(new) - 1
+            later = d > d[new][group]
+            yield from table(run, d, loc, n, d[new][group], loc[new][group], later, (np.bincount(group, later) > 0)[group]).to_batches(max_chunksize=100_000)
+
+        for b in batches:
+            ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
+            for i, j in tk.slices(text):
+                w = tk.Words(text.slice(i, j - i), tk.SPACE_WORDS)
+                ok, anchor = rp.windows(w.hashes(), w.offsets, k, m)
+                at = np.flatnonzero(ok)
+                at = at[rp.marked(w.text[at], anchor[at], *tk.lists(lists.slice(i, j - i)))]
+                if not len(at):
+                    continue
+                new = tk.run_starts(anchor[at], w.text[at], at - np.arange(len(at)))
+                start, n = at[new], np.diff(np.append(np.flatnonzero(new), len(at)))
+                own, dup = ids.slice(i, j - i).to_numpy(), dups.slice(i, j - i).to_numpy()
+                no = w.text[start]
+                run = tk.mix(w.span_hashes(w.starts[start], w.ends[start + n + k - 2]) ^ n.astype(np.uint64))
+                held.append([tk.as_long(run), own[no], (dup[no] << _DUP) + start - w.offsets[no], n])
+                n_held += len(start)
+                if n_held >= rp.BUFFER_ROWS:
+                    yield from flush()
+                    held.clear()
+                    n_held = 0
+        if n_held:
+            yield from flush()
+
+    def judge(batches):
+        for t in rp.whole_groups(batches, "run"):
+            run, d, loc, n, shared = (t.column(c).to_numpy() for c in ("run", "_id", "loc", "n", "shared"))
+            settled = np.asarray(t.column("src_id").is_valid())
+            new = tk.run_starts(run)
+            group = np.cumsum(new) - 1
+            later = settled | (d > d[new][group])
+            src_d = np.where(settled, t.column("src_id").fill_null(0).to_numpy(), d[new][group])
+            src_loc = np.where(settled, t.column("src_loc").fill_null(0).to_numpy(), loc[new][group])
+            yield from table(run, d, loc, n, src_d, src_loc, later, (np.bincount(group, later | shared) > 0)[group]).to_batches()
+
+    schema = "run long, _id long, loc long, n long, src_id long, src_loc long, shared boolean"
+    rows = candidates.mapInArrow(emit, schema)
+    return rows.repartition(rp.route("src_id is not null", "_id", "run")).sortWithinPartitions("run", "_id", "loc").mapInArrow(judge, schema)
 
-    Stretches: _id, loc, n, src_id, src_loc; `head` is null.  Edges: their source (_id, loc), and
-    the hashes of the nodes that they leave (`tail`) and enter (`head`).
-    """
 
-    def rows_of(columns, head=None, tail=None, shared=None):
-        n = len(columns[0])
-        empty = pa.nulls(n, pa.int64())
-        return pa.Table.from_arrays([*map(pa.array, columns), empty if head is None else pa.array(head), empty if tail is None else pa.array(tail), pa.array(np.zeros(n, bool) if shared is None else shared)], ["_id", "loc", "n", "src_id", "src_loc", "head", "tail", "shared"])
+_PLACES = "x long, y long, _id long, loc long, n long"
+
+
+def _places(x, y, d, loc, n):
+    return pa.Table.from_arrays([pa.array(v) for v in (x, y, d, loc, n)], ["x", "y", "_id", "loc", "n"])
+
+
+def _edges(owners: DataFrame, k: int) -> DataFrame:
+    """The edges of the owners' runs (x, y, _id, loc, n).
+
+    n > 0: a stretch of n edges that a smaller id has too, from place y of its text x on.  n = 0: an
+    edge of several documents at its source, from node x to node y.
+    """
 
     def emit(batches):
         held: list[list[np.ndarray]] = []
         n_held = 0
 
         def flush():
-            h, d, loc, head, tail = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((loc, d, h))
-            h, d, loc, head, tail = h[order], d[order], loc[order], head[order], tail[order]
-            new = tk.run_starts(h)
+            x, y, d, loc, shared = (np.concatenate(v) for v in zip(*held, strict=True))
+            order = np.lexsort((loc, d, y, x))
+            x, y, d, loc, shared = x[order], y[order], d[order], loc[order], shared[order]
+            new = tk.run_starts(x, y)
             group = np.cumsum(new) - 1
             src_d, src_loc = d[new][group], loc[new][group]
-            settled = d > src_d
-            several = np.bincount(group, settled) > 0
-            done = rows_of(_stretches(d[settled], loc[settled], src_d[settled], src_loc[settled]))
-            left = ~settled
-            # open rows keep their edge's hash in src_id until the edges of all tasks have met
-            rest = rows_of([d[left], loc[left], np.ones(int(left.sum()), np.int64), h[left], loc[left]], head[left], tail[left], several[group[left]])
-            for t in (done, rest):
-                yield from t.to_batches(max_chunksize=100_000)
+            later = d > src_d
+            several = (np.bincount(group, later | shared) > 0)[group]
+            sd, sloc, n, sx, sy = _stretches(d[later], loc[later], src_d[later], src_loc[later])
+            yield from _places(sx, sy, sd, sloc, n).to_batches(max_chunksize=100_000)
+            left = ~later  # 0, or -1 where several documents have the edge
+            yield from _places(x[left], y[left], d[left], loc[left], -several[left].astype(np.int64)).to_batches(max_chunksize=100_000)
 
         for b in batches:
-            ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
+            ids, dups, text, runs = (b.column(c) for c in ("_id", "_dup", "_text", "_runs"))
             for i, j in tk.slices(text):
                 h, first = _units(text.slice(i, j - i))
-                counts = np.diff(first)
-                ok, anchor = rp.windows(h, first, k, m)
-                no = np.repeat(np.arange(j - i), counts)
-                at = np.flatnonzero(ok)
-                at = at[rp.marked(no[at], anchor[at], *tk.lists(lists.slice(i, j - i)))]
                 own, dup = ids.slice(i, j - i).to_numpy(), dups.slice(i, j - i).to_numpy()
-                loc = (dup[no[at]] << _DUP) + at - first[no[at]]
-                nodes = tk.as_long(tk.grams(h, k - 1))
-                held.append([tk.as_long(tk.grams(h, k)[at]), own[no[at]], loc, nodes[np.minimum(at + 1, len(h) - 1)], nodes[at]])
+                v = runs.slice(i, j - i).flatten()
+                loc, n, shared = (v.field(c).to_numpy(zero_copy_only=False) for c in ("loc", "n", "shared"))
+                no = np.repeat(np.arange(j - i), np.diff(tk.list_offsets(runs.slice(i, j - i))))
+                mine = loc >> _DUP == dup[no]
+                loc, n, shared, no = loc[mine], n[mine], shared[mine], no[mine]
+                at = np.repeat(first[no] + (loc & ((1 << _DUP) - 1)), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                nodes, no = tk.as_long(tk.grams(h, k - 1)), np.repeat(no, n)
+                if len(at):
+                    held.append([nodes[at], nodes[at + 1], own[no], (dup[no] << _DUP) + at - first[no], np.repeat(shared, n)])
                 n_held += len(at)
                 if n_held >= rp.BUFFER_ROWS:
                     yield from flush()
@@ -103,32 +164,30 @@ def _edges(candidates: DataFrame, k: int, m: int) -> DataFrame:
             yield from flush()
 
     def judge(batches):
-        for t in rp.whole_groups(batches, "src_id"):
-            is_open = np.asarray(t.column("head").is_valid())
-            if not is_open.all():
-                yield from t.filter(pa.array(~is_open)).combine_chunks().to_batches()
-            t = t.filter(pa.array(is_open))
-            h, d, loc = (t.column(c).to_numpy() for c in ("src_id", "_id", "loc"))
-            new = tk.run_starts(h)
+        for t in rp.whole_groups(batches, "x"):
+            done = t.column("n").to_numpy() > 0
+            if done.any():
+                yield from t.filter(pa.array(done)).combine_chunks().to_batches()
+            x, y, d, loc, n = (t.column(c).to_numpy()[~done] for c in ("x", "y", "_id", "loc", "n"))
+            new = tk.run_starts(x, y)
             group = np.cumsum(new) - 1
             src_d, src_loc = d[new][group], loc[new][group]
             later = d > src_d
-            several = (np.bincount(group, later) + np.bincount(group, t.column("shared").to_numpy())) > 0
-            edge = new & several[group]
+            edge = new & (np.bincount(group, later | (n < 0)) > 0)[group]
             if later.any():
-                yield from rows_of(_stretches(d[later], loc[later], src_d[later], src_loc[later])).combine_chunks().to_batches()
+                sd, sloc, m, sx, sy = _stretches(d[later], loc[later], src_d[later], src_loc[later])
+                yield from _places(sx, sy, sd, sloc, m).to_batches()
             if edge.any():
-                yield from rows_of([d[edge], loc[edge], np.ones(int(edge.sum()), np.int64), d[edge], loc[edge]], t.column("head").to_numpy()[edge], t.column("tail").to_numpy()[edge]).combine_chunks().to_batches()
+                yield from _places(x[edge], y[edge], d[edge], loc[edge], np.zeros(int(edge.sum()), np.int64)).to_batches()
 
-    rows = candidates.mapInArrow(emit, _PLACES)
-    # open rows are dealt by their edge, stretches by their own id
-    routed = rows.repartition(rp.route("head is null", "_id", "src_id")).sortWithinPartitions("src_id", "_id", "loc")
-    return routed.mapInArrow(judge, _PLACES)
+    rows = owners.mapInArrow(emit, _PLACES)
+    # edges are dealt by the node that they leave, stretches by their own id
+    return rows.repartition(rp.route("n > 0", "_id", "x")).sortWithinPartitions("x", "y", "_id", "loc").mapInArrow(judge, _PLACES)
 
 
 def _path_starts(edges: DataFrame) -> DataFrame:
     """(src_id, section, starts): first words of the graph's nonbranching paths, by sections of their source."""
-    ends = edges.select(F.col("head").alias("node"), F.lit(1).alias("into"), "_id", "loc").union(edges.select("tail", F.lit(0), "_id", "loc"))
+    ends = edges.select(F.col("y").alias("node"), F.lit(1).alias("into"), "_id", "loc").union(edges.select("x", F.lit(0), "_id", "loc"))
     of = lambda column, into: F.max(F.when(F.col("into") == into, F.col(column)))  # noqa: E731  of the only one, where a node doesn't branch
     nodes = ends.groupBy("node").agg(F.sum("into").alias("n_in"), F.count(F.lit(1)).alias("n"), of("_id", 1).alias("before"), of("loc", 1).alias("left"), of("_id", 0).alias("_id"), of("loc", 0).alias("loc"))
     links = nodes.where("n_in = 1 and n = 2 and before = _id and left + 1 = loc").select("_id", "loc")
@@ -192,11 +251,14 @@ def repeated_paths(rows: Rows, id_col: str, window: int = WINDOW, anchor: int =
 
     texts = rp.numbered(rows, id_col)
     anchors = written(rp.repeated_anchors(rows, id_col, find), "anchors")
-    graph = written(_edges(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor), "graph")
+    runs = written(_runs(texts.join(anchors, "_id").select("_id", "_text", "_row", "_dup", "_anchors"), window, anchor), "runs")
     discard(anchors)
-    starts = written(_path_starts(graph.where("head is not null").select("_id", "loc", "head", "tail")), "path-starts")
-    pieces = written(_along_paths(_merged(graph.where("head is null").select("_id", "loc", "n", "src_id", "src_loc")), starts), "pieces")
-    discard(graph, starts)
+    owners = runs.where("src_id is null").groupBy("_id").agg(F.collect_list(F.struct("loc", "n", "shared")).alias("_runs"))
+    graph = written(_edges(texts.join(owners, "_id").select("_id", "_text", "_row", "_dup", "_runs"), window), "graph")
+    starts = written(_path_starts(graph.where("n = 0").select("_id", "loc", "x", "y")), "path-starts")
+    stretches = runs.where("src_id is not null").select("_id", "loc", "n", "src_id", "src_loc").union(graph.where("n > 0").select("_id", "loc", "n", F.col("x").alias("src_id"), F.col("y").alias("src_loc")))
+    pieces = written(_along_paths(_merged(stretches), starts), "pieces")
+    discard(runs, graph, starts)
     digests = _digests(texts, pieces, window)
     here = digests.select("_id", "loc", "n", F.col("digest").alias("here"))
     there = digests.select(F.col("_id").alias("src_id"), F.col("loc").alias("src_loc"), "n", F.col("digest").alias("there"))
