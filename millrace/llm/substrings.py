@@ -181,8 +181,8 @@ def _edges(owners: DataFrame, k: int) -> DataFrame:
                 yield from _places(x[edge], y[edge], d[edge], loc[edge], np.zeros(int(edge.sum()), np.int64)).to_batches()
 
     rows = owners.mapInArrow(emit, _PLACES)
-    # edges are dealt by the node that they leave, stretches by their own id
-    return rows.repartition(rp.route("n > 0", "_id", "x")).sortWithinPartitions("x", "y", "_id", "loc").mapInArrow(judge, _PLACES)
+    # edges are dealt by both their nodes, as a node may have very many, stretches by their own id
+    return rows.repartition(F.when(F.col("n") > 0, F.xxhash64("_id")).otherwise(F.xxhash64("x", "y"))).sortWithinPartitions("x", "y", "_id", "loc").mapInArrow(judge, _PLACES)
 
 
 def _path_starts(edges: DataFrame) -> DataFrame:
