@@ -5,6 +5,7 @@ Fields are `array<struct<key:string,value:string>>`: maps give no order, and ord
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +21,14 @@ FENCED_JSON = r"(?s)```json\s*(.*?)\s*```"
 FIELDS = "array<struct<key:string,value:string>>"
 
 
+def stripped(x: Column | str) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def collapsed(x: Column) -> Column:
     """White space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def display(x: Column) -> Column:
@@ -49,7 +55,7 @@ def chunk_text(fields: Column, source_file: Column) -> Column:
 def parse_chunk(text: Column) -> Column:
     """Fields of a chunk text; parts without `: ` or with a blank side are dropped."""
     parts = F.split(F.regexp_replace(text, r"^\[Document:[^\]]*\]\s*", ""), r"\. ")
-    pair = lambda p: F.struct(F.trim(F.substring_index(p, ": ", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, ": ") + 2)).alias("value"))
+    pair = lambda p: F.struct(stripped(F.substring_index(p, ": ", 1)).alias("key"), stripped(F.substr(p, F.instr(p, ": ") + 2)).alias("value"))
     return F.filter(F.transform(F.filter(parts, lambda p: F.instr(p, ": ") > 0), pair), lambda f: (f["key"] != "") & (f["value"] != ""))
 
 
@@ -57,7 +63,7 @@ def unprefixed(token: Column) -> Column:
     """A token without the first attached prefix that leaves two characters or more."""
     out = F.when(F.lit(False), token)
     for p in ATTACHED_PREFIXES:
-        out = out.when(token.startswith(p) & (F.length(token) > len(p) + 1), F.substring(token, len(p) + 1, 1_000_000))
+        out = out.when(token.startswith(p) & (F.length(token) > len(p) + 1), F.substr(token, F.lit(len(p) + 1)))
     return out.otherwise(token)
 
 
@@ -115,7 +121,7 @@ def contains_any(x: Column, markers: tuple[str, ...]) -> Column:
 
 def first_field(fields: Column, prefix: str) -> Column:
     """Collapsed value of the first field whose label starts with the prefix and whose value isn't blank."""
-    found = F.filter(fields, lambda f: F.trim(without_tatweel(f["key"])).startswith(prefix) & (F.trim(f["value"]) != ""))
+    found = F.filter(fields, lambda f: stripped(without_tatweel(f["key"])).startswith(prefix) & (stripped(f["value"]) != ""))
     return collapsed(F.get(found, 0)["value"])
 
 
@@ -164,7 +170,7 @@ def phrasing(x: Column) -> Column:
 
 def section(x: Column, heading: str) -> Column:
     """Text from `## HEADING:` to the next such heading."""
-    return F.trim(F.regexp_extract(x, rf"(?s)## {heading}:\s*(.*?)\s*(?=## [A-Z ]+:|\z)", 1))
+    return stripped(F.regexp_extract(x, rf"(?s)## {heading}:\s*(.*?)\s*(?=## [A-Z ]+:|\z)", 1))
 
 
 def last_object(x: Column) -> Column:
@@ -176,11 +182,11 @@ ENTRIES = "array<struct<source:int,fields:map<string,string>>>"
 
 
 def is_object(json: Column) -> Column:
-    return F.coalesce(F.trim(json).startswith("{"), F.lit(False)) & F.try_parse_json(json).isNotNull()
+    return F.coalesce(stripped(json).startswith("{"), F.lit(False)) & F.try_parse_json(json).isNotNull()
 
 
 def is_list(json: Column) -> Column:
-    return F.coalesce(F.trim(json).startswith("["), F.lit(False)) & F.try_parse_json(json).isNotNull()
+    return F.coalesce(stripped(json).startswith("["), F.lit(False)) & F.try_parse_json(json).isNotNull()
 
 
 def json_values(json: Column) -> Column:
@@ -193,7 +199,7 @@ def json_values(json: Column) -> Column:
 def flattened(json: Column) -> Column:
     """One map of a list of sources' fields; later sources win."""
     entries = F.flatten(F.transform(F.from_json(json, ENTRIES), lambda e: F.map_entries(e["fields"])))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1_000_000), lambda o: o["key"] == e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
     return F.when(is_list(json), F.map_from_entries(last)).otherwise(F.from_json(json, "map<string,string>"))
 
 
@@ -204,7 +210,43 @@ def json_is_empty(json: Column) -> Column:
 
 
 def canonical_json(json: Column) -> Column:
-    """Key order doesn't matter: sorted entries of objects, as text; a grouping key."""
-    ordered = lambda m: F.to_json(F.map_from_entries(F.sort_array(F.map_entries(m))))
-    entries = F.transform(F.from_json(json, "array<map<string,string>>"), lambda m: F.array_join(F.transform(F.sort_array(F.map_entries(m)), lambda e: F.concat_ws("\u0001", e["key"], e["value"])), "\u0002"))
-    return F.when(is_object(json), ordered(F.from_json(json, "map<string,string>"))).when(is_list(json), F.array_join(entries, "\u0003")).otherwise(json)
+    """Key order doesn't matter at any depth: a variant's objects are sorted by key; other text stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(json)), json)
+
+
+def first_json(x: Column) -> Column:
+    """struct<json, end> of the first fenced block, else of the first balanced bracket; null if none parses.
+
+    `end` is the place behind it, from 0.  Only the first bracket's kind is counted, outside strings.
+    """
+
+    @F.pandas_udf("struct<json:string,end:int>")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_first_json(t) for t in texts], columns=["json", "end"]).astype({"end": "Int32"})
+
+    found = find(x)
+    return F.when(F.try_parse_json(found["json"]).isNotNull(), found)
+
+
+def _first_json(text: str | None) -> tuple[str | None, int | None]:
+    if text is None:
+        return None, None
+    begin = text.find("```json")
+    if begin >= 0 and (close := text.find("```", begin + 7)) >= 0:
+        return text[begin + 7 : close].strip(), close + 3
+    at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
+    if at < 0:
+        return None, None
+    opening, closing = text[at], "}" if text[at] == "{" else "]"
+    depth, quoted, escaped = 0, False, False
+    for i in range(at, len(text)):
+        c = text[i]
+        if quoted:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in (opening, closing):
+            depth += 1 if c == opening else -1
+            if not depth:
+                return text[at : i + 1], i + 1
+    return None, None

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.config import small
 from millrace.functions import text as tx
 from millrace.operators.decisions import mode_share
 
@@ -74,7 +75,7 @@ def per_group(rows: DataFrame, n: int, seed: int, *by: str, id_col: str = "id")
 
 def disclaimer_seeds(chunks: DataFrame, share: float = DISCLAIMER_SHARE) -> DataFrame:
     """Chunks most of whose values are one value, three of each brand and sheet."""
-    values = F.transform("fields", lambda f: F.trim(f["value"]))
+    values = F.transform("fields", lambda f: tx.stripped(f["value"]))
     return per_group(chunks.where((F.size("fields") > 0) & (mode_share(values) >= share)), PER_LABEL, 1, "client_id", "brand", "sheet_name")
 
 
@@ -96,7 +97,7 @@ def narrow_pass(chunks: DataFrame, done: DataFrame) -> DataFrame:
 
     (custom_id, client_id, id, labels): ids are stable, and those done already are left out.
     """
-    usable = labelled(chunks).where(F.trim("value") != "").join(boilerplate_labels(chunks).select("client_id", "label"), ["client_id", "label"], "left_anti")
+    usable = labelled(chunks).where(tx.stripped("value") != "").join(boilerplate_labels(chunks).select("client_id", "label"), ["client_id", "label"], "left_anti")
     picked = per_group(usable, PER_LABEL, 1, "client_id", "label")
     fields = usable.groupBy("client_id", "id").agg(F.sort_array(F.collect_list(F.struct("ord", "label"))).alias("all"))
     x = picked.join(fields, ["client_id", "id"])
@@ -129,7 +130,13 @@ def broad_pass(probes: DataFrame, done: DataFrame) -> DataFrame:
     """
     x = probes.groupBy("client_id", "probe_id").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) >= 2")
     out = x.select(tx.stable_id("broad", F.col("client_id"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("custom_id"), "client_id", "probe_id", "ids")
-    return not_done(out.dropDuplicates(["custom_id"]), done)
+    first = out.groupBy("custom_id", "client_id", "ids").agg(F.min("probe_id").alias("probe_id")).select("custom_id", "client_id", "probe_id", "ids")
+    return not_done(first, done)
+
+
+def with_requests(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """Results with the metadata of their request; those of unknown requests are left out."""
+    return results.join(requests, "custom_id")
 
 
 def absence_pass(questions: DataFrame, chunks: DataFrame, done: DataFrame, target: int = 60) -> DataFrame:
@@ -189,7 +196,7 @@ def stratified_split(records: DataFrame, stratum: str = "pass", id_col: str = "i
     upto = F.sum("_c").over(of.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     sized = counts.withColumn("_n", F.sum("_c").over(of)).withColumn("_before", upto - F.col("_c")).withColumn("_left", n_val - F.col("_before"))
     edges = sized.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_c"))).select("_stratum", F.col("_bucket").alias("_edge"), "_left")
-    x = rows.join(F.broadcast(edges), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    x = rows.join(small(edges), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     marked = lambda part, val: part.select(*records.columns, F.when(val, "val").otherwise("train").alias("split"))
     order = Window.partitionBy(stratum).orderBy(h, id_col)
     edge = marked(x.where("_bucket = _edge").withColumn("_nth", F.row_number().over(order)), F.col("_nth") <= F.col("_left"))
@@ -204,5 +211,11 @@ def alpaca(records: DataFrame, system: str) -> DataFrame:
 
 def taxonomy(chunks: DataFrame, prefix: str) -> DataFrame:
     """(client_id, topic): distinct collapsed values of the labels that start with a prefix."""
-    rows = labelled(chunks).where(F.trim(tx.without_tatweel(F.col("label"))).startswith(prefix) & (F.trim("value") != ""))
+    rows = labelled(chunks).where(tx.stripped(tx.without_tatweel(F.col("label"))).startswith(prefix) & (tx.stripped("value") != ""))
     return rows.select("client_id", tx.collapsed(F.col("value")).alias("topic")).distinct()
+
+
+def unmatched(chunks: DataFrame, prefix: str) -> DataFrame:
+    """(client_id, n): chunks without a topic under the prefix."""
+    has = F.exists("fields", lambda f: tx.stripped(tx.without_tatweel(f["key"])).startswith(prefix) & (tx.stripped(f["value"]) != ""))
+    return chunks.groupBy("client_id").agg(F.count_if(~F.coalesce(has, F.lit(False))).alias("n"))

@@ -15,7 +15,7 @@ from millrace.functions import text as tx
 PLACEHOLDER_FIELDS = 5
 
 def distinct_ratio(values: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(values, lambda v: F.trim(v)))) / F.size(values)
+    return F.size(F.array_distinct(F.transform(values, lambda v: tx.stripped(v)))) / F.size(values)
 
 
 def is_placeholder(values: Column, most: Column | float) -> Column:
@@ -67,10 +67,10 @@ def availability(queries: DataFrame, filtered: DataFrame, unfiltered: DataFrame,
 def _options(candidates: Column) -> Column:
     """struct<category, options>: one shared category, else the names' common leading words; null if neither."""
     names, categories = F.transform(candidates, lambda c: c["name"]), F.transform(candidates, lambda c: c["category"])
-    shared = F.forall(categories, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))) & (F.size(F.array_distinct(F.transform(categories, tx.display))) == 1)
+    shared = F.forall(categories, lambda c: F.coalesce(tx.stripped(c) != "", F.lit(False))) & (F.size(F.array_distinct(F.transform(categories, tx.display))) == 1)
     lists = F.transform(names, lambda n: F.split(n, " "))
     prefix = tx.common_prefix(lists)
-    rest = F.filter(F.transform(lists, lambda x: F.array_join(F.slice(x, F.size(prefix) + 1, 1_000_000), " ")), lambda x: x != "")
+    rest = F.filter(F.transform(lists, lambda x: F.array_join(F.slice(x, F.size(prefix) + 1, F.size(x)), " ")), lambda x: x != "")
     by_category = F.struct(F.element_at(categories, 1).alias("category"), names.alias("options"))
     by_prefix = F.struct(F.array_join(prefix, " ").alias("category"), rest.alias("options"))
     return F.when(shared, by_category).when((F.size(prefix) > 0) & (F.size(rest) >= 2), by_prefix)
@@ -96,9 +96,9 @@ def ambiguity(ranked: DataFrame, queries: DataFrame, gap: float = 0.3) -> DataFr
 
 def specificity_note(text: Column, resolved: Column) -> Column:
     """The resolved query, if it says more than the text; else null."""
-    resolved = F.trim(resolved)
+    resolved = tx.stripped(resolved)
     more = F.size(F.array_except(tx.tokens(resolved), tx.tokens(text))) > 0
-    return F.when((resolved != "") & (resolved != F.trim(text)) & more, resolved)
+    return F.when((resolved != "") & (resolved != tx.stripped(text)) & more, resolved)
 
 
 #: Intents that a text pipeline answers.
@@ -123,7 +123,7 @@ def routing_outcome(target: Column) -> Column:
 
 def topic_of(override: Column, outcome: Column, query: Column, classified: Column) -> Column:
     """An override wins; otherwise only queries with an outcome and some text are classified."""
-    return F.coalesce(override, F.when(outcome.isNotNull() & (F.trim(query) != ""), classified))
+    return F.coalesce(override, F.when(outcome.isNotNull() & (tx.stripped(query) != ""), classified))
 
 
 def outcome_status(availability: Column, ambiguous: Column, generated: Column, verified: Column) -> Column:

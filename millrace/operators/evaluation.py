@@ -19,9 +19,9 @@ def latest_blocks(records: DataFrame, blocks: DataFrame) -> DataFrame:
     blocks(query, seq, block).  An exact query wins; else the one equal without outer spaces.
     """
     per = blocks.groupBy("query").agg(F.max_by("block", "seq").alias("block"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    trimmed = per.groupBy(F.trim("query").alias("_trimmed")).agg(F.min_by(F.struct("block", "n"), "first").alias("_near"))
+    trimmed = per.groupBy(tx.stripped("query").alias("_trimmed")).agg(F.min_by(F.struct("block", "n"), "first").alias("_near"))
     x = records.join(per.select(F.col("query").alias("patient_query"), F.struct("block", "n").alias("_exact")), "patient_query", "left")
-    x = x.withColumn("_trimmed", F.trim("patient_query")).join(trimmed, "_trimmed", "left").withColumn("_m", F.coalesce("_exact", "_near"))
+    x = x.withColumn("_trimmed", tx.stripped("patient_query")).join(trimmed, "_trimmed", "left").withColumn("_m", F.coalesce("_exact", "_near"))
     return x.withColumns({"context": F.col("_m.block"), "context_match_count": F.coalesce("_m.n", F.lit(0)).cast("int")}).drop("_exact", "_near", "_m", "_trimmed")
 
 

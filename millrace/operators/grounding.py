@@ -40,7 +40,7 @@ def handoff_rows(verified: DataFrame) -> DataFrame:
 
 def key_value_violation(output: Column, source: Column) -> Column:
     """Reason of the first entry of `output` that isn't an entry of `source`; null if all are."""
-    trimmed = lambda x: F.trim(F.coalesce(x, F.lit("None")))
+    trimmed = lambda x: tx.stripped(F.coalesce(x, F.lit("None")))
     bad = F.filter(F.map_entries(output), lambda e: ~F.map_contains_key(source, e["key"]) | (trimmed(F.try_element_at(source, e["key"])) != trimmed(e["value"])))
     return F.when(F.size(bad) > 0, F.when(F.map_contains_key(source, F.get(bad, 0)["key"]), "value_mismatch").otherwise("invented_key"))
 
@@ -55,7 +55,7 @@ def check_records(records: DataFrame) -> DataFrame:
     output, entries = F.from_json(json, "map<string,string>"), F.from_json(json, tx.ENTRIES)
     numeric = lambda text: F.when(unverified_number(tx.sentences(phrasing), tx.numbers(text)).isNotNull(), "unverified_numeric_claim")
     no_text = F.lit("")
-    values = F.array_join(F.transform(F.map_values(output), lambda v: F.trim(v)), " ")
+    values = F.array_join(F.transform(F.map_values(output), lambda v: tx.stripped(v)), " ")
     narrow = F.when(~tx.is_object(json), "output_json_not_a_dict").otherwise(F.coalesce(key_value_violation(output, F.col("field_data")), numeric(values)))
     declared = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["source"])))
     n = F.size("sources")
@@ -63,9 +63,9 @@ def check_records(records: DataFrame) -> DataFrame:
     wrong = F.exists(entries, lambda e: key_value_violation(F.coalesce(e["fields"], F.create_map().cast("map<string,string>")), F.get(F.col("sources"), e["source"] - 1)).isNotNull())
     all_values = F.array_join(F.flatten(F.transform(entries, lambda e: F.coalesce(F.map_values(e["fields"]), F.array().cast("array<string>")))), " ")
     broad = F.when(~tx.is_list(json), "broad_output_not_a_list").when(~declared.eqNullSafe(expected), "source_count_mismatch").when(wrong, "wrong_source_attribution").otherwise(numeric(all_values))
-    nothing = F.regexp_replace(json, r"\s", "").isin("{}", "[]")
+    nothing = F.coalesce(F.regexp_replace(json, r"\s", "").isin("{}", "[]"), F.lit(False))  # no JSON isn't an empty one
     absence = F.when(~nothing, "non_empty_json_for_absence").otherwise(numeric(no_text))
-    invented = tx.is_object(json) & (F.trim(F.coalesce(F.try_element_at(output, F.col("target_field")), F.lit(""))) != "")
+    invented = tx.is_object(json) & (tx.stripped(F.coalesce(F.try_element_at(output, F.col("target_field")), F.lit(""))) != "")
     direct = F.when(invented, "invented_value_for_missing_field").otherwise(numeric(no_text))
     cross = F.when(~nothing, "non_empty_json_for_ambiguous").when(F.size(F.array_distinct("conflicting_values")) < 2, "ambiguous_premise_invalid").otherwise(numeric(no_text))
     kind = F.col("grounding_type")

@@ -34,12 +34,12 @@ def missing_mandatory(sheets: DataFrame, registry: DataFrame) -> DataFrame:
 def chosen_fields(fields: Column, columns: Column) -> Column:
     """Non-blank fields in the order of the sheet's columns; values stay as they are."""
     found = lambda c: F.get(F.filter(fields, lambda f: f["key"] == c), 0)["value"]
-    return F.filter(F.transform(columns, lambda c: F.struct(c.alias("key"), found(c).alias("value"))), lambda f: F.coalesce(F.trim(f["value"]) != "", F.lit(False)))
+    return F.filter(F.transform(columns, lambda c: F.struct(c.alias("key"), found(c).alias("value"))), lambda f: F.coalesce(tx.stripped(f["value"]) != "", F.lit(False)))
 
 
 def alias_value(fields: Column, aliases: Column) -> Column:
     """What the first field (in order) whose value has an alias stands for; null if none has."""
-    hits = F.filter(F.transform(fields, lambda f: F.try_element_at(aliases, F.lower(F.trim(f["value"])))), lambda v: v.isNotNull())
+    hits = F.filter(F.transform(fields, lambda f: F.try_element_at(aliases, F.lower(tx.stripped(f["value"])))), lambda v: v.isNotNull())
     return F.get(hits, 0)
 
 
@@ -52,7 +52,7 @@ def chunk_rows(staging: DataFrame, registry: DataFrame, config: DataFrame) -> Da
     """
     known = registry.select("client_id", "sheet_name", F.col("columns").alias("_registered"))
     inferred = inferred_columns(staging.join(small(known), ["client_id", "sheet_name"], "left_anti"))
-    lowered = F.transform_keys("brand_value_aliases", lambda k, _: F.lower(F.trim(k)))
+    lowered = F.transform_keys("brand_value_aliases", lambda k, _: F.lower(tx.stripped(k)))
     x = staging.join(small(known), ["client_id", "sheet_name"], "left").join(small(inferred), ["client_id", "sheet_name"], "left").join(small(config.select("client_id", lowered.alias("_aliases"))), "client_id", "left")
     x = x.withColumn("field_data", chosen_fields(F.col("fields"), F.coalesce("_registered", "columns"))).where("size(field_data) > 0")
     content = tx.chunk_text(F.col("field_data"), F.col("source_file"))

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.config import small, with_defaults
 from millrace.functions import text as tx
 
 #: Queries up to which they are broadcast as one block.
 BROADCAST_QUERIES = 10_000
+#: Query terms up to which they are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,10 +76,18 @@ def nearest_other(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = (
     return others.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("expected_id"))
 
 
-def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """(id, term, places) of the lower-cased words of each chunk; a reusable index table."""
+def postings(chunks: DataFrame, content: str = "content", terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, places) of the lower-cased words of each chunk; a reusable index table.
+
+    With terms(term), words of others are left out before anything is grouped: the terms are
+    broadcast up to BROADCAST_TERMS, so only hits are shuffled.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(content, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return chunks.select("id", F.posexplode(words).alias("place", "term")).groupBy("id", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    each = chunks.select("id", F.posexplode(words).alias("place", "term"))
+    if terms is not None:
+        known = terms.select("term").distinct()
+        each = each.join(F.broadcast(known) if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else known, "term", "left_semi")
+    return each.groupBy("id", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -84,13 +95,17 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     return queries.select("query_id", F.size(words).alias("n_terms"), F.explode(words).alias("term"))
 
 
-def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Chunks that hold all terms of a query, by summed term frequency, ties by id.
+def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks that hold all terms of a query, by summed term frequency, ties by id; `on` as for `dense_scores`.
 
     A term joins its postings, so a hot term's rows are split by Spark; chunks are not broadcast.
     """
-    hits = postings(chunks).join(query_terms(queries), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.sum(F.size("places")).cast("double").alias("score"))
-    return top_per_query(hits.where("n = n_terms").select("query_id", "id", "score"), k, F.col("id"))
+    terms = query_terms(queries)
+    hits = postings(chunks, terms=terms).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.sum(F.size("places")).cast("double").alias("score"))
+    whole = hits.where("n = n_terms").select("query_id", "id", "score")
+    if on:
+        whole = whole.join(queries.select("query_id", *on), "query_id").join(chunks.select("id", *on), ["id", *on]).drop(*on)
+    return top_per_query(whole, k, F.col("id"))
 
 
 def cover_density(places: Column, n_terms: Column) -> Column:
@@ -100,15 +115,17 @@ def cover_density(places: Column, n_terms: Column) -> Column:
     """
     never = F.lit(-1)
     state = F.struct(F.transform(F.sequence(F.lit(0), n_terms - 1), lambda _: never).alias("last"), never.alias("from"), F.lit(0.0).alias("sum"))
+    nth = F.transform(places, lambda p, i: F.struct(p["place"].alias("place"), p["term"].alias("term"), i.alias("i")))
 
     def step(s: Column, p: Column) -> Column:
-        last = F.transform(s["last"], lambda x, i: F.when(i == p["term"], p["place"]).otherwise(x))
+        # each term's last hit, by its number: the hits of a cover are those from the earliest one on
+        last = F.transform(s["last"], lambda x, i: F.when(i == p["term"], p["i"]).otherwise(x))
         begin = F.array_min(last)
-        inside = F.size(F.filter(places, lambda q: q["place"].between(begin, p["place"])))
-        gain = F.when((begin >= 0) & (begin > s["from"]), F.lit(0.1) / (1 + (p["place"] - begin + 1) - inside)).otherwise(0.0)
+        words = p["place"] - F.get(places, begin)["place"] + 1
+        gain = F.when((begin >= 0) & (begin > s["from"]), F.lit(0.1) / (1 + words - (p["i"] - begin + 1))).otherwise(0.0)
         return F.struct(last.alias("last"), F.greatest(s["from"], begin).alias("from"), (s["sum"] + gain).alias("sum"))
 
-    return F.aggregate(places, state, step, lambda s: s["sum"])
+    return F.aggregate(nth, state, step, lambda s: s["sum"])
 
 
 def full_text_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -116,7 +133,7 @@ def full_text_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("term")
     terms = query_terms(queries).withColumn("no", F.row_number().over(order) - 1)
     each = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("no").alias("term")))
-    hits = postings(chunks).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.sort_array(F.flatten(F.collect_list(each))).alias("at"))
+    hits = postings(chunks, terms=terms).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.sort_array(F.flatten(F.collect_list(each))).alias("at"))
     scored = hits.where("n = n_terms").select("query_id", "id", F.round(cover_density(F.col("at"), F.col("n_terms")), 9).alias("score"))
     return top_per_query(scored, k, F.col("id"))
 
@@ -139,7 +156,7 @@ def candidate_k(k: int) -> int:
 def hybrid_top_k(queries: DataFrame, chunks: DataFrame, k: int, rrf_k: int = 60, on: tuple[str, ...] = (), rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Both legs to max(20, 4k) candidates, fused, cut to as many, re-ranked if asked, cut to k."""
     wide = candidate_k(k)
-    fused = reciprocal_rank_fusion(dense_top_k(queries, chunks, wide, on), lexical_top_k(queries, chunks, wide), rrf_k)
+    fused = reciprocal_rank_fusion(dense_top_k(queries, chunks, wide, on), lexical_top_k(queries, chunks, wide, on), rrf_k)
     ties = (F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col("id"))
     pool = top_per_query(fused, wide, *ties)
     if rerank is None:
@@ -153,6 +170,32 @@ def unknown_filter_keys(filters: Column, allowed: Column) -> Column:
     return F.array_sort(F.array_except(F.map_keys(filters), allowed))
 
 
+def retrieve(requests: DataFrame, chunks: DataFrame, config: DataFrame, rerank: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, rejected) of requests(query_id, client_id, query_text, vector, filters map) over tenants' chunks.
+
+    Rejected (query_id, error): unknown clients and filter keys that the client doesn't allow.  The
+    others are answered by both legs inside their tenant; the only promoted filter is `brand`.  Results
+    are the tenant's retrieval_top_k; a request without any result has no row.
+    """
+    known = requests.join(small(with_defaults(config).select("client_id", "allowed_metadata_keys", "retrieval_top_k", "rrf_k").withColumn("_known", F.lit(True))), "client_id", "left")
+    refused = unknown_filter_keys(F.coalesce("filters", F.create_map().cast("map<string,string>")), F.coalesce("allowed_metadata_keys", F.array().cast("array<string>")))
+    error = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown client "), "client_id")).when(F.size(refused) > 0, F.concat(F.lit("filter keys not allowed: "), F.array_join(refused, ",")))
+    judged = known.withColumn("error", error)
+    good = judged.where("error is null").withColumn("brand", F.try_element_at("filters", F.lit("brand")))
+    settings = [tuple(r) for r in good.select("retrieval_top_k", "rrf_k").distinct().limit(1001).collect()]  # kinds of settings, not tenants
+    if len(settings) > 1000:
+        raise ValueError("more than 1000 different pairs of retrieval_top_k and rrf_k")
+    parts = []
+    for k, rrf_k in settings:
+        own = good.where((F.col("retrieval_top_k") == k) & (F.col("rrf_k") == rrf_k))
+        for filtered in (False, True):
+            asked = own.where(F.col("brand").isNotNull() if filtered else F.col("brand").isNull())
+            on = ("client_id", "brand") if filtered else ("client_id",)
+            parts.append(hybrid_top_k(asked, chunks, k, rrf_k, on, rerank))
+    results = _union(parts) if parts else hybrid_top_k(good, chunks, 1)
+    return results, judged.where("error is not null").select("query_id", "error")
+
+
 def lexical_overlap(query: Column, content: Column) -> Column:
     """Deterministic default re-ranking score: share of the query's tokens that the text holds."""
     q = tx.tokens(query)

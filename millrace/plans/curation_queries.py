@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import analytics, curation, grounding, ingest
+from millrace.operators import analytics, curation, grounding, ingest, retrieval
 from millrace.plans.registry import query
-from millrace.tables import PART_SQL, part_chunks, table
+from millrace.plans.retrieval_queries import _DENSE
+from millrace.tables import PART_SQL, dense_queries, part_chunks, table, vectors
 
 _ALIAS = "CASE WHEN lower(trim(value)) = 'yes' THEN 'Y' END"
 
@@ -83,10 +84,9 @@ def taxonomy(spark, sf_dir):
     return curation.taxonomy(part_chunks(spark, sf_dir), "na")
 
 
-@query("c13_missing_fields", f"WITH {PART_SQL}, m AS (SELECT p_partkey AS id, 'size' AS label FROM part WHERE p_partkey % 7 = 0 AND p_brand IN (SELECT sheet_name FROM fields WHERE label = 'size')) SELECT 'c0' AS client_id, id, label FROM m ORDER BY sha1('4|' || id || '|' || label) LIMIT 30")
+@query("c13_missing_fields", f"WITH {PART_SQL}, m AS (SELECT p_partkey AS id, 'size' AS label FROM part WHERE p_partkey % 7 = 0 AND p_brand IN (SELECT sheet_name FROM fields WHERE label = 'size')) SELECT 'c0' AS client_id, id, label FROM m")
 def missing_fields(spark, sf_dir):
-    """With the limit that its SQL states; the operator has none of its own."""
-    return curation.missing_fields(part_chunks(spark, sf_dir), curation.MISSING_MOST)
+    return curation.missing_fields(part_chunks(spark, sf_dir))
 
 
 @query("e7_per_group", "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('1|' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, lang, source FROM r WHERE n <= 3")
@@ -171,11 +171,13 @@ def narrow_pass(spark, sf_dir):
     return curation.narrow_pass(part_chunks(spark, sf_dir), done).withColumn("labels", F.array_join("labels", ","))
 
 
-@query("k16_broad_pass", """WITH p AS (SELECT 'c' || (vec_id % 2) AS client_id, label AS probe_id, vec_id AS id FROM embeddings WHERE vec_id < 40), g AS (SELECT client_id, probe_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM p GROUP BY ALL HAVING count(*) >= 2)
- SELECT 'broad-' || substr(sha1(client_id || '|' || ids), 1, 20) AS custom_id, client_id, probe_id, ids FROM g""")
+@query("k16_broad_pass", f"""WITH {_DENSE}, g AS (SELECT 'c' || (query_id // 100 % 2) AS client_id, query_id AS probe_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM dense WHERE rank <= 5 GROUP BY query_id HAVING count(*) >= 2),
+ r AS (SELECT 'broad-' || substr(sha1(client_id || '|' || ids), 1, 20) AS custom_id, *, row_number() OVER (PARTITION BY client_id, ids ORDER BY probe_id) AS n FROM g)
+ SELECT custom_id, client_id, probe_id, ids FROM r WHERE n = 1""")
 def broad_pass(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    probes = e.select(F.concat(F.lit("c"), (F.col("vec_id") % 2).cast("string")).alias("client_id"), F.col("label").alias("probe_id"), F.col("vec_id").alias("id"))
+    """Every vector whose id is divisible by 100 is a probe; its first five results are its sources."""
+    top = retrieval.dense_top_k(dense_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
+    probes = top.select(F.concat(F.lit("c"), F.expr("query_id div 100 % 2").cast("string")).alias("client_id"), F.col("query_id").alias("probe_id"), "id")
     done = spark.createDataFrame([], "custom_id string")
     return curation.broad_pass(probes, done).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 

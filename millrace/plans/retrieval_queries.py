@@ -9,10 +9,10 @@ from millrace.operators import decisions, retrieval
 from millrace.plans.registry import query
 from millrace.tables import dense_queries, table, text_chunks, text_queries, vectors
 
-_DENSE = """pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS query_label, e.label, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+_DENSE = """pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS query_label, e.label, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
 dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM pairs)"""
 _WORD = "[\\p{L}\\p{N}_]+"
-_SPARSE = f"""q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), 1, 3), ' ') AS t FROM benchmark),
+_SPARSE = f"""q AS (SELECT item_id AS query_id, text AS t FROM benchmark),
 terms AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(t), '{_WORD}'))) AS term FROM q),
 wanted AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY query_id),
 words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM documents),
@@ -84,7 +84,7 @@ def first_by_name(spark, sf_dir):
     return decisions.first_by_name(named)
 
 
-@query("k6_availability", f"""WITH {_DENSE}, asked AS (SELECT DISTINCT query_id, query_label % 3 AS partition FROM pairs WHERE query_id < 20),
+@query("k6_availability", f"""WITH {_DENSE}, asked AS (SELECT DISTINCT query_id, query_label % 3 AS partition FROM pairs),
  f AS (SELECT d.*, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.id) AS fr FROM dense d JOIN asked a USING (query_id) WHERE d.label % 3 = a.partition AND d.id % 4 = 0),
  usable AS (SELECT query_id, id % 8 <> 0 AS usable FROM f WHERE fr = 1),
  alt AS (SELECT d.query_id, min_by(d.id, d.rank) AS id, min_by(d.label % 3, d.rank) AS partition FROM dense d JOIN asked a USING (query_id) WHERE d.rank <= 20 AND d.label % 3 <> a.partition AND d.id % 8 <> 0 GROUP BY d.query_id)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import bidi
@@ -90,13 +93,14 @@ def fenced(spark, sf_dir):
     return e.select("event_id", tx.fenced_json(raw).alias("block"), tx.phrasing(raw).alias("phrasing"))
 
 
-@query("h38_dot", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
+@query("h38_dot", "SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dot FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def dots(spark, sf_dir):
-    from millrace.operators.retrieval import dot
+    from millrace.operators.retrieval import dot, query_blocks
 
     e = table(spark, sf_dir, "embeddings")
-    one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("v")))
-    return e.join(one).select("vec_id", F.round(dot(F.col("embedding"), F.col("v")), 9).alias("dot"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    parts = [e.join(F.broadcast(b)).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("embedding")), 9).alias("dot")) for b in query_blocks(asked)]
+    return parts[0] if len(parts) == 1 else functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("d7_placeholder", f"""WITH {PART_SQL} SELECT id, round(count(DISTINCT value)::DOUBLE / count(*), 9) AS ratio, count(*) >= 5 AND count(DISTINCT value)::DOUBLE / count(*) <= 0.4 AS placeholder
