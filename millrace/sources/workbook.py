@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# Texts that stand for no value in a spreadsheet.
+NOT_AVAILABLE = frozenset(("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
 SCHEMA = "source_file string, sheet_name string, ord long, fields array<struct<key:string,value:string>>"
 
 
@@ -40,10 +42,23 @@ def _text(node) -> str:
 def _cell(c, strings: list[str]) -> str | None:
     kind, v = c.get("t"), c.find(f"{_NS}v")
     if kind == "inlineStr":
-        return _text(c)
-    if v is None or v.text is None:
+        text = _text(c)
+    elif v is None or v.text is None:
         return None
-    return strings[int(v.text)] if kind == "s" else v.text
+    else:
+        text = strings[int(v.text)] if kind == "s" else str(v.text == "1") if kind == "b" else v.text
+    return None if text in NOT_AVAILABLE else text
+
+
+def _header(cells: dict[int, str | None]) -> dict[int, str]:
+    """Names of the columns: a blank one is told by its place, a repeated one by a number."""
+    out, seen = {}, {}
+    for i in range(max(cells, default=-1) + 1):
+        name = cells.get(i) or f"Unnamed: {i}"
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out[i] = f"{name}.{n}" if n else name
+    return out
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[dict]]]:
@@ -64,9 +79,10 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[dict]]]:
                     cells = {_column(c.get("r")) if c.get("r") else i: _cell(c, strings) for i, c in enumerate(row.iter(f"{_NS}c"))}
                     row.clear()
                     if header is None:
-                        header = {i: v for i, v in cells.items() if v is not None}
+                        header = _header(cells)
                         continue
-                    fields = [{"key": name, "value": cells.get(i)} for i, name in header.items()]
+                    names = header | {i: f"Unnamed: {i}" for i, v in sorted(cells.items()) if i not in header and v is not None}
+                    fields = [{"key": name, "value": cells.get(i)} for i, name in names.items()]
                     if any(f["value"] is not None for f in fields):
                         kept = [f for f in fields if f["key"] != "sheet_name"]
                         yield sheet.get("name"), at, [*kept, {"key": "sheet_name", "value": sheet.get("name")}]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators.history import last_messages
+
 #: Seconds that a session's state lives after its last write, and turns it keeps.
 TTL_S, WINDOW = 86_400, 6
 OUT = "client_id string, session_id string, ts timestamp, brand_filter string, history array<struct<role:string,content:string>>, expired boolean"
@@ -70,3 +72,21 @@ def windowed_outcomes(events: DataFrame, size: str, slide: str | None = None, la
 def file_chain(files: DataFrame, steps: Callable[[DataFrame, int], None], checkpoint: str):
     """A stream of new files put through `steps(batch, batch_id)`; a failed batch is repeated, so steps must be idempotent."""
     return files.writeStream.foreachBatch(steps).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hydrated(sessions: DataFrame, log: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(client_id, session_id, history): sessions without state get their last n messages from the permanent log; none is an empty history."""
+    wanted = sessions.select("client_id", "session_id").distinct()
+    kept = last_messages(log.join(wanted, ["client_id", "session_id"], "left_semi"), n)
+    empty = F.array().cast("array<struct<role:string,content:string>>")
+    return wanted.join(kept, ["client_id", "session_id"], "left").withColumn("history", F.coalesce("history", empty))
+
+
+def append_turns(turns: DataFrame, path: str, checkpoint: str, id_col: str = "message_id"):
+    """A stream of turns (id_col, ts, client_id, session_id, question, reply) appended as two messages each.
+
+    A turn delivered twice within the watermark is appended once; the file sink commits whole batches.
+    """
+    said = F.array(F.struct(F.lit(0).alias("nth"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("nth"), F.lit("assistant").alias("role"), F.col("reply").alias("content")))
+    rows = once_each(turns, id_col).select(id_col, "ts", "client_id", "session_id", F.explode(said).alias("m")).select(id_col, "ts", "client_id", "session_id", "m.*")
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
