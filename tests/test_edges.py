@@ -47,7 +47,7 @@ def test_json_keys_are_sorted_at_all_depths(spark):
 
 
 def test_first_json_with_its_end(spark):
-    cases = [("a ```json\n{\"k\": 1}\n``` b", '{"k": 1}', 22), ('x {"a": "}", "b": {"c": [1]}} y', '{"a": "}", "b": {"c": [1]}}', 30), ('[1, {"]": 2}] {"a": 1}', '[1, {"]": 2}]', 13), ("{ open", None, None), ("none", None, None), (None, None, None), ("{bad}", None, None)]
+    cases = [("a ```json\n{\"k\": 1}\n``` b", '{"k": 1}', 22), ('x {"a": "}", "b": {"c": [1]}} y', '{"a": "}", "b": {"c": [1]}}', 29), ('[1, {"]": 2}] {"a": 1}', '[1, {"]": 2}]', 13), ("{ open", None, None), ("none", None, None), (None, None, None), ("{bad}", None, None)]
     frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     got = [(r["j"]["json"], r["j"]["end"]) if r["j"] else (None, None) for r in frame.select("i", tx.first_json(F.col("t")).alias("j")).orderBy("i").collect()]
     assert got == [c[1:] for c in cases]
