@@ -405,6 +405,8 @@ def _by_shard(contents: DataFrame, window: int, anchor: int) -> DataFrame:
 def _by_window(contents: DataFrame, window: int) -> DataFrame:
     """The same for anchors with more bytes than a shard takes: each window is dealt by its own hash."""
 
+    names = ["hash", "hash2", "_id", "loc", "n", "settled", "content"]
+
     def emit(batches):
         for b in batches:
             x = _Windows(b.column("content"), window, window)
@@ -417,32 +419,41 @@ def _by_window(contents: DataFrame, window: int) -> DataFrame:
             new = tk.run_starts(h, h2)
             settled = d > d[new][np.cumsum(new) - 1]
             data = x.w.bytes
+            spans = _spans(d[settled], loc[settled])  # settled windows travel as stretches, without their bytes
+            k = spans.num_rows
+            nothing = pa.array(np.zeros(k, np.int64))
+            yield pa.RecordBatch.from_arrays([nothing, nothing, *spans.columns, pa.array(np.ones(k, bool)), pa.nulls(k, pa.binary())], names)
+            at, h, h2, d, loc = (v[~settled] for v in (at, h, h2, d, loc))
             for i in range(0, len(at), 20_000):
                 part = slice(i, i + 20_000)
                 cut = np.lib.stride_tricks.sliding_window_view(data, window)[at[part]]
                 content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(window), len(cut), [None, pa.py_buffer(np.ascontiguousarray(cut))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(h2[part]), pa.array(d[part]), pa.array(loc[part]), pa.array(settled[part]), content], ["hash", "hash2", "_id", "loc", "settled", "content"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(v[part]) for v in (h, h2, d, loc)], pa.array(np.ones(len(cut), np.int64)), pa.array(np.zeros(len(cut), bool)), content], names)
 
     def sort(batches):
         for t in rp.whole_groups(batches, "hash"):
-            h, h2, d, loc, settled = (t.column(c).to_numpy() for c in ("hash", "hash2", "_id", "loc", "settled"))
+            settled = t.column("settled").to_numpy()
             if settled.any():
-                yield _spans(d[settled], loc[settled])
+                yield from t.filter(pa.array(settled)).select(["_id", "loc", "n"]).combine_chunks().to_batches()
+            t = t.filter(pa.array(~settled))
+            if not t.num_rows:
+                continue
+            h, h2, d, loc = (t.column(c).to_numpy() for c in ("hash", "hash2", "_id", "loc"))
             # what the hashes call equal, a suffix array compares: each document's window with the first one's
             first = np.flatnonzero(tk.run_starts(h, h2))[np.cumsum(tk.run_starts(h, h2)) - 1]
             own = np.flatnonzero(tk.run_starts(h, h2, d))[np.cumsum(tk.run_starts(h, h2, d)) - 1]
-            later = np.unique(own[~settled & (d > d[first])])
+            later = np.unique(own[d > d[first]])
             equal = np.zeros(len(h), bool)
             for i in range(0, len(later), SHARD_BYTES // window + 1):
                 part = later[i : i + SHARD_BYTES // window + 1]
                 both = np.concatenate([np.unique(first[part]), part])
                 text, _, _ = first_owners(t.column("content").take(pa.array(both)).to_pylist(), d[both], window)
                 equal[both[text]] = True
-            gone = ~settled & equal[own]
+            gone = equal[own]
             if gone.any():
                 yield _spans(d[gone], loc[gone])
 
-    rows = contents.select("_id", "loc", "content").mapInArrow(emit, "hash long, hash2 long, _id long, loc long, settled boolean, content binary")
+    rows = contents.select("_id", "loc", "content").mapInArrow(emit, "hash long, hash2 long, _id long, loc long, n long, settled boolean, content binary")
     return rows.repartition(rp.route("settled", "_id", "hash")).sortWithinPartitions("hash", "hash2", "_id", "loc").mapInArrow(sort, "_id long, loc long, n long")
 
 
