@@ -104,7 +104,7 @@ def test_common_prefix_of_a_brand_needs_no_list_of_its_parts(spark, tmp_path):
 
 
 def test_accuracy_counts_queries_whose_expected_row_ranks_last(spark, tmp_path):
-    ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") + 100)
+    ids = F.when(F.col("id") == 0, 0).otherwise(F.col("id") * 100 + 1)  # only the first row asks
     ends = F.col("id").isin(0, 1_000_001)
     rows = spark.range(1_000_002).select(ids.alias("vec_id"), F.array(F.when(F.col("id") == 1_000_001, -1.0).otherwise(1.0).cast("float")).alias("embedding"), F.when(ends, 1).otherwise(0).alias("label"))
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
