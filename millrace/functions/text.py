@@ -175,7 +175,7 @@ def section(x: Column, heading: str) -> Column:
 
 def last_object(x: Column) -> Column:
     """The last flat {...} of a text as map<string,string>; null if none parses."""
-    return F.from_json(F.element_at(F.regexp_extract_all(x, F.lit(r"\{[^{}]*\}"), F.lit(0)), -1), "map<string,string>")
+    return F.from_json(F.try_element_at(F.regexp_extract_all(x, F.lit(r"\{[^{}]*\}"), F.lit(0)), F.lit(-1)), "map<string,string>")
 
 
 ENTRIES = "array<struct<source:int,fields:map<string,string>>>"

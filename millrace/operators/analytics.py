@@ -19,6 +19,12 @@ def in_period(log: DataFrame, start: Column, end: Column, at: str = "created_at"
     return log.where(F.col(at).between(start, end))
 
 
+def default_period(now: Column | None = None) -> tuple[Column, Column]:
+    """The 30 days up to now, for a dashboard that is asked without a period."""
+    end = F.current_timestamp() if now is None else now
+    return end - F.expr("interval 30 days"), end
+
+
 def outcome_counts(log: DataFrame, *by: str) -> DataFrame:
     """Nine counts and the mean latency in one pass; null outcomes count toward the total only."""
     outcome, routing = F.col("outcome_status"), F.col("routing_outcome")

@@ -40,6 +40,16 @@ def is_clarification(content: Column, suffix: str = CLARIFICATION_SUFFIX) -> Col
     return content.endswith(suffix)
 
 
+def excluded_from_routing(content: Column) -> Column:
+    """Turns that routing doesn't see: declines only, as a clarification tells what the answer to it means."""
+    return is_decline(content)
+
+
+def excluded_from_generation(content: Column) -> Column:
+    """Turns that generation doesn't see: declines and clarifications."""
+    return is_decline(content) | is_clarification(content)
+
+
 def without_excluded(history: Column, excluded) -> Column:
     """An ordered history without excluded assistant turns and the user turn that each answers.
 

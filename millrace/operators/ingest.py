@@ -86,6 +86,29 @@ def mirrored(tables: list[DataFrame], listed: DataFrame, listing_ok: bool) -> li
     return [deleted(t, gone) for t in tables]
 
 
+def deleted_counts(table: DataFrame, keys: DataFrame, on: tuple[str, ...] = ("client_id", "source_file")) -> DataFrame:
+    """How many rows of each key `deleted` removes; 0 for a key that the table doesn't hold."""
+    held = table.join(keys.select(*on).distinct(), list(on), "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    return keys.select(*on).distinct().join(held, list(on), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def mirror_sync(rows: DataFrame, listed: DataFrame, staging: DataFrame, chunks: DataFrame, registry: DataFrame, config: DataFrame, listing_ok: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(staging, chunks, rejected) after the folder's files have been parsed into `rows`.
+
+    rows: client_id, source_file, sheet_name, ord, fields.  A file that lacks a mandatory column is
+    rejected and keeps what it had; each other file's rows and chunks are replaced.  Files that the
+    listing doesn't name lose both, unless the listing failed; a listed file without rows keeps what it had.
+    """
+    labels = rows.select("client_id", "source_file", "sheet_name", F.explode("fields").alias("f"))
+    sheets = labels.groupBy("client_id", "source_file", "sheet_name").agg(F.collect_set("f.key").alias("columns"))
+    rejected = missing_mandatory(sheets, registry)
+    good = rows.join(rejected.select("client_id", "source_file").distinct(), ["client_id", "source_file"], "left_anti")
+    files = good.select("client_id", "source_file").distinct()
+    new = chunk_rows(good, registry, config).select(chunks.columns)
+    kept = mirrored([deleted(staging, files), deleted(chunks, files)], listed, listing_ok)
+    return kept[0].unionByName(good.select(staging.columns)), kept[1].unionByName(new), rejected
+
+
 def upserted(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """`table` with new rows added and the non-null columns of known keys updated."""
     other = [c for c in table.columns if c not in keys]

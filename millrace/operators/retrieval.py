@@ -218,3 +218,12 @@ def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two rankings of the same candidates side by side: rank and score of each, and the move."""
     side = lambda x, n: x.select("query_id", "id", F.col("rank").alias(f"rank_{n}"), F.col("score").alias(f"score_{n}"))
     return side(a, "a").join(side(b, "b"), ["query_id", "id"]).withColumn("move", F.col("rank_a") - F.col("rank_b"))
+
+
+def window_report(ranked: DataFrame, breadth: DataFrame, narrow_k: int = 1) -> DataFrame:
+    """Retrieved rows with their query's `breadth` and `in_first`: whether the first generation call sees them.
+
+    A narrow query shows its first `narrow_k` rows and keeps the rest for a retry; a broad one shows all.
+    """
+    x = ranked.join(breadth.select("query_id", "breadth"), "query_id", "left")
+    return x.withColumn("in_first", (F.col("breadth") != "narrow") | (F.col("rank") <= narrow_k))

@@ -5,11 +5,8 @@ The defaults are deterministic, so that pipelines run and test without a model s
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +16,16 @@ from millrace.operators import retrieval
 DIMENSIONS = 64
 
 
-def _hashed_vector(text: str, dimensions: int) -> list[float]:
-    v = np.zeros(dimensions)
-    for word in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        v[h % dimensions] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(v)
-    return (v / norm if norm else v).tolist()
-
-
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed hashed bag of words, of unit length; null for null."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: _hashed_vector(t, dimensions), na_action="ignore")
-
-    return embed(text)
+    """Signed hashed bag of words, of unit length; all zeros without words, null for null."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.xxhash64(w))
+    sign = lambda c: F.when(c < 0, -1).otherwise(1)
+    held = lambda cs, d: F.aggregate(cs, F.lit(0), lambda n, c: n + F.when(F.pmod(c, F.lit(dimensions)) == d, sign(c)).otherwise(0))
+    counted = F.transform(F.array(codes), lambda cs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: held(cs, d)))
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x * x)), F.lit(1e-30))
+    scaled = F.transform(counted, lambda v: F.transform(F.arrays_zip(v.alias("v"), F.array_repeat(norm(v), dimensions).alias("n")), lambda p: (p["v"] / p["n"]).cast("float")))
+    return F.when(text.isNotNull(), F.get(scaled, 0))
 
 
 def embed_missing(chunks: DataFrame, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
@@ -53,8 +42,21 @@ def keyword_intent(text: Column, keywords: dict[str, tuple[str, ...]], fallback:
     return out.otherwise(fallback)
 
 
+def keyword_topic(text: Column, topics: Column) -> Column:
+    """The first of a tenant's topics that the text names; null, which is never an error, if it names none."""
+    asked = tx.tokens(text)
+    return F.get(F.filter(topics, lambda t: (F.size(tx.tokens(t)) > 0) & (F.size(F.array_except(tx.tokens(t), asked)) == 0)), 0)
+
+
+def unchanged_query(text: Column, history: Column) -> Column:
+    """The rewriting that is safe without a model: the query as it was asked."""
+    return tx.stripped(text)
+
+
 EMBEDDERS: dict[str, Callable[[Column], Column]] = {"hashed": hashed_embedding}
 RERANKERS: dict[str, Callable[[Column, Column], Column]] = {"lexical": retrieval.lexical_overlap}
+REWRITERS: dict[str, Callable[[Column, Column], Column]] = {"unchanged": unchanged_query}
+TOPICS: dict[str, Callable[[Column, Column], Column]] = {"keyword": keyword_topic}
 STORES: dict[str, Callable[..., DataFrame]] = {"exact": retrieval.dense_top_k}
 
 

@@ -28,6 +28,11 @@ def workbook_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
 
 
+def workbook_file(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns of one file, whatever its name."""
+    return spark.read.format("binaryFile").load(path)
+
+
 def _column(reference: str) -> int:
     n = 0
     for ch in re.match(r"[A-Z]+", reference)[0]:
