@@ -92,7 +92,7 @@ def common_prefix(lists: Column) -> Column:
         differs = first_difference(a, b)
         return F.slice(a, 1, F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int"))
 
-    return F.aggregate(lists, F.element_at(lists, 1), shared)
+    return F.aggregate(lists, F.get(lists, 0), shared)
 
 
 def numbers(x: Column) -> Column:
