@@ -133,7 +133,7 @@ def test_a_filter_on_results_does_not_repeat_their_work(spark):
     """The time of one long text stays in proportion when only kept rows are asked for."""
     import time
 
-    text = " ".join(f"w{i * i % 9973}" for i in range(20_000))
+    text = " ".join(f"w{i * i % 99_991}" for i in range(20_000))
     docs = spark.createDataFrame([(1, text), (2, text[:200])], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.quality(docs, labels, threshold=0.0)
