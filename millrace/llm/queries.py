@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, html_text, jaccard, licenses, mixing, quality, substrings, suffixes, toxicity
+from millrace.llm import chat, decontaminate, html_text, jaccard, licenses, mixing, quality, substrings, suffixes, toxicity, wand
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +148,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = wand.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return wand.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT n, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents)),
+lengths AS (SELECT n, any_value(doc_id) AS doc_id, count(*) AS len FROM words GROUP BY n),
+whole AS (SELECT count(*) AS docs, CAST(sum(len) AS BIGINT) AS terms FROM lengths),
+freq AS (SELECT n, term, count(*) AS tf FROM words GROUP BY n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(any_value(2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM freq, whole GROUP BY term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT i.item_id, f.n, any_value(l.doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len * docs) // terms)))) AS BIGINT) AS score
+  FROM items i JOIN freq f ON i.term = f.term JOIN weights t ON t.term = f.term JOIN lengths l ON l.n = f.n, whole
+  GROUP BY i.item_id, f.n),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
@@ -160,8 +185,9 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op13_ranked_search": OP13_SQL}
