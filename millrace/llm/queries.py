@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, html_text, jaccard, licenses, mixing, quality, substrings, suffixes, toxicity, wand
+from millrace.llm import chat, decontaminate, html_text, jaccard, language, licenses, mixing, quality, substrings, suffixes, toxicity, wand
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +148,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = wand.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return wand.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -185,6 +190,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
+        "op12_language_id": op12_language_id,
         "op13_ranked_search": op13_ranked_search,
     }
 
