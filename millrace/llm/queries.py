@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, html_text, jaccard, language, licenses, mixing, quality, substrings, suffixes, toxicity, wand
+from millrace.llm import chat, decontaminate, html_text, jaccard, language, licenses, mixing, quality, repair, substrings, suffixes, toxicity, wand
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +148,76 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.with_empty(repair.report(repair.repair(repair.damaged(turns))), turns)
+
+
+def _edited(state: str, code: str, cost: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{code}'}} END"
+
+
+def _cheapest(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+hits AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8 * len(key)), lambda j: CASE WHEN j % 8 = 0 THEN CAST(ord(substr(key, CAST(j // 8 AS BIGINT) + 1, 1)) AS BIGINT) ELSE 0 END)),
+                lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) % 2 = 1 THEN 3988292384 ELSE 0 END))) % 20 AS h
+  FROM named),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hits),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, left(role, 1) AS initial
+  FROM rows),
+faults AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR) AS x
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_cheapest(_edited("n", "D", "3"))} AS n,
+         {_cheapest(_edited("s", "D", "3"), f"CASE WHEN may AND initial = 's' THEN {_edited('n', 'K', 'more')} END")} AS s,
+         {_cheapest(_edited("u", "D", "3"), *[f"CASE WHEN may AND initial = 'u' THEN {_edited(p, 'K', 'more')} END" for p in ("n", "s", "x")], *[f"CASE WHEN may THEN {_edited(p, 'R', '2 + more')} END" for p in ("n", "s", "x")])} AS u,
+         {_cheapest(_edited("x", "D", "3"), f"CASE WHEN may AND initial = 'a' THEN {_edited('u', 'K', 'more')} END", f"CASE WHEN may THEN {_edited('u', 'R', '2 + more')} END")} AS x
+  FROM (
+    SELECT d.conv_id, f.i, f.initial, f.fault NOT IN ('blank', 'duplicate') AS may, CASE WHEN f.fault = 'truncated' THEN 1 ELSE 0 END AS more, d.n, d.s,
+           {_cheapest("d.u", *[_edited(f"d.{p}", "I", "2") for p in ("n", "s", "x")])} AS u, {_cheapest("d.x", _edited("d.u", "I", "2"), _edited("d.n", "II", "4"), _edited("d.s", "II", "4"))} AS x
+    FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1)),
+best AS (
+  SELECT d.conv_id, {_cheapest("d.n", "d.x", _edited("d.u", "I", "2"), _edited("d.s", "II", "4"))} AS b
+  FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i),
+edits AS (SELECT conv_id, b.a AS audit, unnest(range(1, len(b.a) + 1)) AS j FROM best),
+walked AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS e, len(regexp_replace(left(audit, j), 'I', '', 'g')) AS i, len(regexp_replace(left(audit, j), 'D', '', 'g')) AS m FROM edits),
+told AS (
+  SELECT w.conv_id, w.j, w.e, w.m, f.role, f.text, max(CASE WHEN w.e = 'K' AND w.m = 1 AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS system
+  FROM walked w LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i AND w.e <> 'I'
+  WHERE w.e <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM told GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal,
+       coalesce(b.b.c, 0)::BIGINT AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(t.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -190,10 +260,11 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_language_id": op12_language_id,
         "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op13_ranked_search": OP13_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_conversation_repair": OP11_SQL, "op13_ranked_search": OP13_SQL}
