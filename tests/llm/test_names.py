@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from millrace.llm import decontaminate, html_text, jaccard, licenses, mixing, quality, substrings, suffixes, toxicity
+from millrace.llm import decontaminate, html_text, jaccard, language, licenses, mixing, quality, substrings, suffixes, toxicity
 
 EXTRA = ["_h", "_runs", "_items", "_row", "_id", "digest", "Score", "N_Words", "KEPT", "Labels", "Taken", "a`b", "a.b", "c0", "any"]
 
@@ -21,6 +21,7 @@ def tables(spark):
 OPERATORS = {
     "html": lambda d, lab, b: html_text.extract_text(d), "quality": lambda d, lab, b: quality.quality(d, lab), "substrings": lambda d, lab, b: substrings.dedup_substrings(d), "decontaminate": lambda d, lab, b: decontaminate.decontaminate(d, b),
     "mixing": lambda d, lab, b: mixing.repeated(mixing.mix(d)), "jaccard": lambda d, lab, b: jaccard.one_of_each(d), "licenses": lambda d, lab, b: licenses.scan_licenses(d), "suffixes": lambda d, lab, b: suffixes.dedup_bytes(d), "toxicity": lambda d, lab, b: toxicity.toxicity(d, lab),
+    "language": lambda d, lab, b: language.identify(d, lang_col="source"),
 }
 
 
