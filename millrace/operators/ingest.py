@@ -1,7 +1,7 @@
 """Ingest: staged sheet rows to chunks, replacement, mirroring and keyed updates of tables.
 
-Plain Parquet has no transactions: `replaced`, `upserted` and `mirrored` return the new table, and
-`sources.sinks` writes it by partition.
+`replaced`, `upserted` and `mirrored` return the new table, for `sources.sinks` to write by partition;
+`mirror_into` commits staged rows and chunks to a `sources.versions` store, where both switch at once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import small
 from millrace.functions import text as tx
+from millrace.sources.versions import Store
 
 
 def all_null(fields: Column) -> Column:
@@ -109,6 +110,24 @@ def mirror_sync(rows: DataFrame, listed: DataFrame, staging: DataFrame, chunks:
     return kept[0].unionByName(good.select(staging.columns)), kept[1].unionByName(new), rejected
 
 
+def mirror_into(store: Store, rows: DataFrame, listed: DataFrame, registry: DataFrame, config: DataFrame, listing_ok: bool = True, batch: tuple[str, int] | None = None) -> DataFrame:
+    """As `mirror_sync`, upon the tables `staging` and `chunks` of a store and in one commit; returns `rejected`.
+
+    Only the new rows and the removed files' keys are written; what stays isn't touched.
+    """
+    manifest = store.manifest()
+    held = [store.read(t, manifest) for t in ("staging", "chunks") if t in manifest["tables"]]
+    labels = rows.select("client_id", "source_file", "sheet_name", F.explode("fields").alias("f"))
+    sheets = labels.groupBy("client_id", "source_file", "sheet_name").agg(F.collect_set("f.key").alias("columns"))
+    rejected = missing_mandatory(sheets, registry)
+    good = rows.join(rejected.select("client_id", "source_file").distinct(), ["client_id", "source_file"], "left_anti")
+    removed = good.select("client_id", "source_file")
+    if held and listing_ok:
+        removed = removed.union(stale_files(held, listed))
+    store.commit({"staging": good, "chunks": chunk_rows(good, registry, config)}, removed, batch)
+    return rejected
+
+
 def upserted(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """`table` with new rows added and the non-null columns of known keys updated."""
     other = [c for c in table.columns if c not in keys]
