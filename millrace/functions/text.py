@@ -159,7 +159,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 def fenced_json(x: Column) -> Column:
     """The text of the first fenced JSON block; null if there is none or it doesn't parse."""
     block = F.when(x.rlike(FENCED_JSON), F.regexp_extract(x, FENCED_JSON, 1))
-    return F.when(F.try_parse_json(block).isNotNull(), block)
+    return F.when(parsed(block).isNotNull(), block)
 
 
 def phrasing(x: Column) -> Column:
@@ -181,12 +181,22 @@ def last_object(x: Column) -> Column:
 ENTRIES = "array<struct<source:int,fields:map<string,string>>>"
 
 
+def parsed(json: Column) -> Column:
+    """The value of a JSON text; null unless it's all of the text.
+
+    Spark's parser takes a value for the whole of a text that goes on behind it.  What goes on
+    can't end both an array and an object, so the text must parse inside either.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit("}"))).isNotNull()
+    return F.when(inside, F.try_parse_json(json))
+
+
 def is_object(json: Column) -> Column:
-    return F.coalesce(stripped(json).startswith("{"), F.lit(False)) & F.try_parse_json(json).isNotNull()
+    return F.coalesce(stripped(json).startswith("{"), F.lit(False)) & parsed(json).isNotNull()
 
 
 def is_list(json: Column) -> Column:
-    return F.coalesce(stripped(json).startswith("["), F.lit(False)) & F.try_parse_json(json).isNotNull()
+    return F.coalesce(stripped(json).startswith("["), F.lit(False)) & parsed(json).isNotNull()
 
 
 def json_values(json: Column) -> Column:
@@ -211,7 +221,7 @@ def json_is_empty(json: Column) -> Column:
 
 def canonical_json(json: Column) -> Column:
     """Key order doesn't matter at any depth: a variant's objects are sorted by key; other text stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(json)), json)
+    return F.coalesce(F.to_json(parsed(json)), json)
 
 
 def first_json(x: Column) -> Column:
@@ -225,7 +235,7 @@ def first_json(x: Column) -> Column:
         return pd.DataFrame([_first_json(t) for t in texts], columns=["json", "end"]).astype({"end": "Int32"})
 
     found = find(x)
-    return F.when(F.try_parse_json(found["json"]).isNotNull(), found)
+    return F.when(parsed(found["json"]).isNotNull(), found)
 
 
 def _first_json(text: str | None) -> tuple[str | None, int | None]:

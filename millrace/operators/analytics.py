@@ -5,6 +5,8 @@ Every aggregate here is one pass with partial aggregation; a tenant column group
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,3 +106,9 @@ def length_distribution(rows: DataFrame, length: str) -> DataFrame:
     x = per.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(every))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * p), F.col("total") - 1), F.col("v")))
     return x.agg(F.min("v").alias("min"), *[at(p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)], F.max("v").alias("max"))
+
+
+def row_counts(*by: str, **tables: DataFrame) -> DataFrame:
+    """(name, *by, n): the rows of each named table for each value of `by`; without `by` one row a table, also for an empty one."""
+    parts = [t.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), *by, "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from millrace.config import small, with_defaults
 from millrace.functions import text as tx
 
-#: Queries up to which they are broadcast as one block.
-BROADCAST_QUERIES = 10_000
+#: Queries, and bytes of their vectors, up to which they are broadcast as one block.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
 #: Query terms up to which they are broadcast.
 BROADCAST_TERMS = 200_000
 
@@ -31,13 +31,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def query_blocks(queries: DataFrame, key: str = "query_id", block: int = BROADCAST_QUERIES) -> list[DataFrame]:
-    """The queries in blocks that may be broadcast; the number of blocks follows their count."""
-    n = -(-queries.count() // block)
+    """The queries in blocks that may be broadcast; the number of blocks follows their count and the length of their vectors."""
+    wide = F.max(F.size("vector")) * 8 if "vector" in queries.columns else F.lit(0)
+    count, width = queries.agg(F.count(F.lit(1)), wide).first()
+    n = max(-(-count // block), -(-count * max(0, width or 0) // BROADCAST_BYTES))
     if n <= 1:
         return [queries]
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def _agree(on: tuple[str, ...], optional: tuple[str, ...]) -> list[Column]:
+    """A query q and a row c have equal columns `on`, and `optional` ones where the query has a value."""
+    return [F.col(f"q.{c}") == F.col(f"c.{c}") for c in on] + [F.col(f"q.{c}").isNull() | (F.col(f"q.{c}") == F.col(f"c.{c}")) for c in optional]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -51,23 +58,23 @@ def top_per_query(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, score) of all pairs by cosine; queries(query_id, vector, *on), chunks(id, embedding, *on).
+def dense_scores(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score) of all pairs by cosine; queries(query_id, vector, *on, *optional), chunks(id, embedding, *on, *optional).
 
     Rows without an embedding are left out; `on` holds the tenant and filter columns, which are
-    compared inside the scan.  Scores are rounded to 9 places.
+    compared inside the scan, and `optional` filters that a query may lack.  Scores are rounded to 9 places.
     """
-    stored = chunks.where(F.col("embedding").isNotNull())
+    stored = chunks.where(F.col("embedding").isNotNull()).alias("c")
     parts = []
     for block in query_blocks(queries):
-        pairs = stored.join(F.broadcast(block), list(on)) if on else stored.join(F.broadcast(block))
-        parts.append(pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("vector")), 9).alias("score")))
+        pairs = stored.join(F.broadcast(block.alias("q")), _agree(on, optional) or None)
+        parts.append(pairs.select("q.query_id", "c.id", F.round(dot(F.col("c.embedding"), F.col("q.vector")), 9).alias("score")))
     return _union(parts)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, rank) of the first k pairs of `dense_scores`, ties by id."""
-    return top_per_query(dense_scores(queries, chunks, on), k, F.col("id"))
+    return top_per_query(dense_scores(queries, chunks, on, optional), k, F.col("id"))
 
 
 def nearest_other(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
@@ -95,16 +102,18 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     return queries.select("query_id", F.size(words).alias("n_terms"), F.explode(words).alias("term"))
 
 
-def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """Chunks that hold all terms of a query, by summed term frequency, ties by id; `on` as for `dense_scores`.
+def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks that hold all terms of a query, by summed term frequency, ties by id; `on` and `optional` as for `dense_scores`.
 
     A term joins its postings, so a hot term's rows are split by Spark; chunks are not broadcast.
     """
     terms = query_terms(queries)
     hits = postings(chunks, terms=terms).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.sum(F.size("places")).cast("double").alias("score"))
     whole = hits.where("n = n_terms").select("query_id", "id", "score")
-    if on:
-        whole = whole.join(queries.select("query_id", *on), "query_id").join(chunks.select("id", *on), ["id", *on]).drop(*on)
+    if on or optional:
+        asked, held = queries.select("query_id", *on, *optional).alias("q"), chunks.select("id", *on, *optional).alias("c")
+        both = whole.alias("w").join(asked, F.col("w.query_id") == F.col("q.query_id")).join(held, [F.col("w.id") == F.col("c.id"), *_agree(on, optional)])
+        whole = both.select("w.query_id", "w.id", "w.score")
     return top_per_query(whole, k, F.col("id"))
 
 
@@ -138,31 +147,44 @@ def full_text_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top_per_query(scored, k, F.col("id"))
 
 
-def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60) -> DataFrame:
+def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, settings: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, dense_rank, sparse_rank): sum of 1 / (rrf_k + rank) over both legs.
 
     A union and one aggregation; ranked by score, then dense rank (none last), sparse rank, id.
+    settings(query_id, rrf_k) gives each query its own constant instead.
     """
     legs = dense.select("query_id", "id", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank")).union(sparse.select("query_id", "id", F.lit(None).cast("int"), F.col("rank")))
     both = legs.groupBy("query_id", "id").agg(F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"))
-    part = lambda c: F.coalesce(F.lit(1.0) / (rrf_k + F.col(c)), F.lit(0.0))
-    return both.withColumn("score", F.round(part("dense_rank") + part("sparse_rank"), 9))
+    own = both.withColumn("rrf_k", F.lit(rrf_k)) if settings is None else both.join(small(settings.select("query_id", "rrf_k")), "query_id")
+    part = lambda c: F.coalesce(F.lit(1.0) / (F.col("rrf_k") + F.col(c)), F.lit(0.0))
+    return own.withColumn("score", F.round(part("dense_rank") + part("sparse_rank"), 9)).drop("rrf_k")
 
 
 def candidate_k(k: int) -> int:
     return max(20, 4 * k)
 
 
-def hybrid_top_k(queries: DataFrame, chunks: DataFrame, k: int, rrf_k: int = 60, on: tuple[str, ...] = (), rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Both legs to max(20, 4k) candidates, fused, cut to as many, re-ranked if asked, cut to k."""
+def hybrid_top_k(queries: DataFrame, chunks: DataFrame, k: int, rrf_k: int = 60, on: tuple[str, ...] = (), rerank: Callable[[Column, Column], Column] | None = None, optional: tuple[str, ...] = (), own: bool = False) -> DataFrame:
+    """Both legs to max(20, 4k) candidates, fused, cut to as many, re-ranked if asked, cut to k.
+
+    With `own`, each query has its own k and constant in the columns `top_k` and `rrf_k`, and k is
+    the largest: one plan answers queries of any settings.
+    """
     wide = candidate_k(k)
-    fused = reciprocal_rank_fusion(dense_top_k(queries, chunks, wide, on), lexical_top_k(queries, chunks, wide, on), rrf_k)
+    settings = queries.select("query_id", "top_k", "rrf_k") if own else None
+
+    def cut(ranked: DataFrame, most: Column) -> DataFrame:
+        return ranked if settings is None else ranked.join(small(settings), "query_id").where(F.col("rank") <= most).drop("top_k", "rrf_k")
+
+    candidates = F.greatest(F.lit(20), 4 * F.col("top_k"))
+    legs = [cut(leg(queries, chunks, wide, on, optional), candidates) for leg in (dense_top_k, lexical_top_k)]
+    fused = reciprocal_rank_fusion(*legs, rrf_k, settings)
     ties = (F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col("id"))
-    pool = top_per_query(fused, wide, *ties)
-    if rerank is None:
-        return pool.where(F.col("rank") <= k)
-    paired = pool.drop("score").withColumnRenamed("rank", "original_index").join(chunks.select("id", "content"), "id").join(queries.select("query_id", "query_text"), "query_id")
-    return top_per_query(paired.withColumn("score", rerank(F.col("query_text"), F.col("content"))), k, F.col("original_index")).drop("content", "query_text")
+    pool = cut(top_per_query(fused, wide, *ties), candidates)
+    if rerank is not None:
+        paired = pool.drop("score").withColumnRenamed("rank", "original_index").join(chunks.select("id", "content"), "id").join(queries.select("query_id", "query_text"), "query_id")
+        pool = top_per_query(paired.withColumn("score", rerank(F.col("query_text"), F.col("content"))), wide, F.col("original_index")).drop("content", "query_text")
+    return cut(pool.where(F.col("rank") <= k), F.col("top_k"))
 
 
 def unknown_filter_keys(filters: Column, allowed: Column) -> Column:
@@ -174,25 +196,17 @@ def retrieve(requests: DataFrame, chunks: DataFrame, config: DataFrame, rerank:
     """(results, rejected) of requests(query_id, client_id, query_text, vector, filters map) over tenants' chunks.
 
     Rejected (query_id, error): unknown clients and filter keys that the client doesn't allow.  The
-    others are answered by both legs inside their tenant; the only promoted filter is `brand`.  Results
-    are the tenant's retrieval_top_k; a request without any result has no row.
+    others are answered by both legs inside their tenant, all in one plan; the only promoted filter is
+    `brand`.  Results are the tenant's retrieval_top_k; a request without any result has no row.
     """
     known = requests.join(small(with_defaults(config).select("client_id", "allowed_metadata_keys", "retrieval_top_k", "rrf_k").withColumn("_known", F.lit(True))), "client_id", "left")
     refused = unknown_filter_keys(F.coalesce("filters", F.create_map().cast("map<string,string>")), F.coalesce("allowed_metadata_keys", F.array().cast("array<string>")))
     error = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown client "), "client_id")).when(F.size(refused) > 0, F.concat(F.lit("filter keys not allowed: "), F.array_join(refused, ",")))
     judged = known.withColumn("error", error)
     good = judged.where("error is null").withColumn("brand", F.try_element_at("filters", F.lit("brand")))
-    settings = [tuple(r) for r in good.select("retrieval_top_k", "rrf_k").distinct().limit(1001).collect()]  # kinds of settings, not tenants
-    if len(settings) > 1000:
-        raise ValueError("more than 1000 different pairs of retrieval_top_k and rrf_k")
-    parts = []
-    for k, rrf_k in settings:
-        own = good.where((F.col("retrieval_top_k") == k) & (F.col("rrf_k") == rrf_k))
-        for filtered in (False, True):
-            asked = own.where(F.col("brand").isNotNull() if filtered else F.col("brand").isNull())
-            on = ("client_id", "brand") if filtered else ("client_id",)
-            parts.append(hybrid_top_k(asked, chunks, k, rrf_k, on, rerank))
-    results = _union(parts) if parts else hybrid_top_k(good, chunks, 1)
+    most = good.agg(F.max("retrieval_top_k")).first()[0] or 1
+    asked = good.select("query_id", "client_id", "query_text", "vector", "brand", F.col("retrieval_top_k").alias("top_k"), "rrf_k")
+    results = hybrid_top_k(asked, chunks, most, on=("client_id",), rerank=rerank, optional=("brand",), own=True)
     return results, judged.where("error is not null").select("query_id", "error")
 
 
@@ -209,7 +223,7 @@ def top_k_accuracy(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """
     hits = ranked.where(F.col("rank") <= k).join(expected, ["query_id"]).where(F.col("id") == F.col("expected_id")).select("model", "query_id").distinct().withColumn("hit", F.lit(1.0))
     ran = ranked.select("model").distinct().withColumn("ran", F.lit(True))
-    wanted = expected.select("query_id", F.explode("models").alias("model")) if "models" in expected.columns else ran.select("model").join(F.broadcast(expected.select("query_id")))
+    wanted = expected.select("query_id", F.explode("models").alias("model")) if "models" in expected.columns else expected.select("query_id").join(small(ran.select("model")))
     out = wanted.join(hits, ["model", "query_id"], "left").groupBy("model").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("accuracy"), F.count(F.lit(1)).alias("query_count")).join(ran, "model", "left")
     return out.select("model", F.when(F.col("ran"), F.col("accuracy")).alias("top_k_accuracy"), "query_count", F.lit(k).alias("top_k"), F.when(F.col("ran").isNull(), F.lit("could not run")).alias("error_message"))
 

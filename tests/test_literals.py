@@ -179,3 +179,10 @@ def test_streams_of_windows_and_files(spark, tmp_path):
     assert [(r["start"], r["event_type"], r["n"], r["avg_value"]) for r in spark.table("windows").collect()] == [(at, "a", 2, 2.0)]
     sessions.file_chain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}"), f"{tmp_path}/c").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/0").count() == 3
+
+
+def test_json_is_all_of_a_text(spark):
+    good = ['{"a": 1}', ' [1, {"b": []}] ', '"x"', "1", "{}"]
+    bad = ['{"a": 1}}', '{"a": 1} x', "[1]]", "1 2", '{"a": 1', "1, 2", '1, "k"', '1, "k": 2', '{"a": 1}], [1', '{"a": 1}, {"b": 2}', "", "x"]
+    rows = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad] + [(None, False)], "x string, whole boolean")
+    assert all(r["whole"] == r["got"] for r in rows.select("whole", tx.parsed(rows.x).isNotNull().alias("got")).collect())

@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 import pytest
 
 from millrace.operators import ingest
-from millrace.sources import versions, workbook
+from millrace.sources import listing, versions, workbook
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 FIELDS = "array<struct<key:string,value:string>>"
@@ -99,3 +99,32 @@ def test_mirror_commits_staging_and_chunks_at_once(spark, tmp_path):
         assert rejected.collect() == want[2].collect() and store.read("staging", first).count() == 3
         ingest.mirror_into(store, new, listed, registry, config, ok, ("sync", 0))  # delivered again
         assert store.versions() == [1, 2]
+
+
+def test_listings_of_many_pages(spark, tmp_path):
+    """Pages in, files out; folders, other names and a failing tenant don't count."""
+    write(tmp_path / "a.xlsx", {"S": [["k"], ["v"]]})
+    content = (tmp_path / "a.xlsx").read_bytes()
+    file = lambda i, n: {"id": i, "name": n, "file": {}}
+    pages = {
+        "b/drives/d/items/f/children": {"value": [file("1", "a.xlsx"), {"id": "2", "name": "sub.xlsx", "folder": {}}], "@odata.nextLink": "b/page2"},
+        "b/page2": {"value": [file("3", "B.XLSX"), file("4", "c.xlsx"), {"id": "5"}], "@odata.nextLink": "b/page3"},
+        "b/page3": {"value": []},
+        "b/drives/e/items/g/children": {"value": [file("6", "e.xlsx")], "@odata.nextLink": "b/drives/e/items/g/children"},
+    }
+
+    def get(client, url):
+        import json
+
+        if url.endswith("/content"):
+            return content
+        return json.dumps(pages[url]).encode()
+
+    listed = listing.listed_files(spark, [("c0", "d", "f"), ("c1", "x", "y"), ("c2", "e", "g")], "b", get)
+    found = {(r["client_id"], r["item_id"], r["name"]) for r in listed.collect() if not r["error"]}
+    assert found == {("c0", "1", "a.xlsx"), ("c0", "4", "c.xlsx"), ("c2", "6", "e.xlsx")}
+    assert sorted((r["client_id"], r["error"][:23]) for r in listed.collect() if r["error"]) == [("c1", "KeyError: 'b/drives/x/i"), ("c2", "ValueError: the listing")]
+    assert {tuple(r) for r in listing.complete(listed).collect()} == {("c0", "a.xlsx"), ("c0", "c.xlsx")}
+    files = listing.fetched(listed.where("client_id = 'c0'"), "b", get, 4)
+    assert [(r["source_file"], r["fields"][0]["value"]) for r in workbook.read_workbooks(files).orderBy("source_file").collect()] == [("a.xlsx", "v"), ("c.xlsx", "v")]
+    assert listing.listed_files(spark, [], "b", get).count() == 0
