@@ -143,12 +143,15 @@ def absence_pass(questions: DataFrame, chunks: DataFrame, done: DataFrame, targe
     """Questions paired with a chunk that isn't theirs, without repeats, `target` of each tenant.
 
     Both sides are put in hash order and joined on their rank, so no pairs are enumerated; a
-    question that meets its own chunk takes none.
+    question that meets its own chunk takes one of the chunks behind those of all ranks, so no two
+    questions get the same.
     """
     place = lambda x, seed, key: x.withColumn("_n", F.row_number().over(Window.partitionBy("client_id").orderBy(hash_order(seed, key), key)))
     q = place(questions.select("client_id", "question_id", "source_id"), 31, "question_id").where(F.col("_n") <= 2 * target)
-    c = place(chunks.select("client_id", "id"), 32, "id").where(F.col("_n") <= 2 * target)
-    pairs = q.join(c, ["client_id", "_n"]).where(F.col("id") != F.col("source_id"))
+    c = place(chunks.select("client_id", "id"), 32, "id").where(F.col("_n") <= 4 * target)
+    spare = c.where(F.col("_n") > 2 * target).select("client_id", (F.col("_n") - 2 * target).alias("_n"), F.col("id").alias("_spare"))
+    met = q.join(c, ["client_id", "_n"]).join(spare, ["client_id", "_n"], "left")
+    pairs = met.withColumn("id", F.when(F.col("id") == F.col("source_id"), F.col("_spare")).otherwise(F.col("id"))).where("id is not null").drop("_spare")
     kept = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("client_id").orderBy("_n"))).where(F.col("_k") <= target)
     out = kept.select(tx.stable_id("absence", F.col("client_id"), F.col("question_id"), F.col("id")).alias("custom_id"), "client_id", "question_id", "id")
     return not_done(out, done)

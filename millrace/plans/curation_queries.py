@@ -164,9 +164,14 @@ def grading(spark, sf_dir):
     return grounding.grade(cases).select("id", "verdict")
 
 
-@query("k15_narrow_pass")
+@query("k15_narrow_pass", f"""WITH {PART_SQL}, b AS (SELECT label FROM fields GROUP BY label HAVING count(*) >= 20 AND count(DISTINCT value)::DOUBLE / count(*) <= 0.08),
+ u AS (SELECT * FROM fields WHERE trim(value) <> '' AND label NOT IN (SELECT label FROM b)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('1|' || id), id) AS n FROM u),
+ x AS (SELECT p.id, p.label, min_by(o.label, o.ord) AS other FROM p LEFT JOIN u o ON o.id = p.id AND o.label <> p.label WHERE p.n <= 3 GROUP BY ALL),
+ y AS (SELECT id, CASE WHEN other IS NOT NULL AND CAST('0x' || substr(sha1('2|' || id || '|' || label), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.4 THEN label || ',' || other ELSE label END AS labels FROM x)
+ SELECT 'narrow-' || substr(sha1('c0|' || id || '|' || labels), 1, 20) AS custom_id, 'c0' AS client_id, id, labels FROM y""")
 def narrow_pass(spark, sf_dir):
-    """Seeded sample of field questions; tests state its properties."""
+    """Seeded sample of field questions."""
     done = spark.createDataFrame([], "custom_id string")
     return curation.narrow_pass(part_chunks(spark, sf_dir), done).withColumn("labels", F.array_join("labels", ","))
 
@@ -182,15 +187,23 @@ def broad_pass(spark, sf_dir):
     return curation.broad_pass(probes, done).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
-@query("k17_absence_pass")
+@query("k17_absence_pass", """WITH q AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY sha1('31|' || p_partkey), p_partkey) AS n FROM part), c AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY sha1('32|' || p_partkey), p_partkey) AS n FROM part),
+ p AS (SELECT q.n, q.id AS question_id, CASE WHEN c.id = q.id THEN s.id ELSE c.id END AS id FROM q JOIN c ON c.n = q.n LEFT JOIN c s ON s.n = q.n + 120 AND s.n <= 240 WHERE q.n <= 120),
+ k AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM p WHERE id IS NOT NULL)
+ SELECT 'absence-' || substr(sha1('c0|' || question_id || '|' || id), 1, 20) AS custom_id, 'c0' AS client_id, question_id, id FROM k WHERE k <= 60""")
 def absence_pass(spark, sf_dir):
-    """Questions with chunks that aren't theirs; tests state the pairs' properties."""
+    """Questions with chunks that aren't theirs."""
     chunks = part_chunks(spark, sf_dir)
     q = table(spark, sf_dir, "part").select(F.lit("c0").alias("client_id"), F.col("p_partkey").alias("question_id"), F.col("p_partkey").alias("source_id"))
     return curation.absence_pass(q, chunks, spark.createDataFrame([], "custom_id string"))
 
 
-@query("k18_ambiguous_pass")
+@query("k18_ambiguous_pass", f"""WITH {PART_SQL}, lacks AS (SELECT s.id, l.label FROM (SELECT DISTINCT id, sheet_name FROM rows) s JOIN (SELECT DISTINCT sheet_name, label FROM fields) l USING (sheet_name) ANTI JOIN fields f ON f.id = s.id AND f.label = l.label),
+ m AS (SELECT *, row_number() OVER (ORDER BY sha1('4|' || id || '|' || label)) AS k FROM lacks),
+ v AS (SELECT label, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, min(id) AS id FROM fields GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id, value) AS n FROM v),
+ t AS (SELECT label, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS ids FROM r WHERE n <= 2 GROUP BY label HAVING count(*) = 2), x AS (SELECT *, row_number() OVER (ORDER BY sha1('4|' || label)) AS k FROM t)
+ SELECT 'missing-' || substr(sha1('c0|' || id || '|' || label), 1, 20) AS custom_id, 'c0' AS client_id, 'ambiguous_direct' AS grounding_type, label, CAST(id AS VARCHAR) AS ids FROM m WHERE k <= 30
+ UNION ALL SELECT 'conflict-' || substr(sha1('c0|' || label), 1, 20), 'c0', 'ambiguous_cross_chunk', label, ids FROM x WHERE k <= 20""")
 def ambiguous_pass(spark, sf_dir):
     done = spark.createDataFrame([], "custom_id string")
     return curation.ambiguous_pass(part_chunks(spark, sf_dir), done).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))

@@ -82,9 +82,13 @@ def rolling_history(spark, sf_dir):
     return history.rolling_history(messages(spark, sf_dir)).select("client_id", "session_id", "ord", _flat("history").alias("history"))
 
 
-@query("e8_history_filter")
+@query("e8_history_filter", f"""WITH RECURSIVE {_MSG}, o AS (SELECT *, row_number() OVER (PARTITION BY client_id, session_id ORDER BY ord, role, content) AS i, count(*) OVER (PARTITION BY client_id, session_id) AS n FROM m),
+ f AS (SELECT DISTINCT client_id, session_id, 0::BIGINT AS i, n, CAST([] AS STRUCT(r VARCHAR, c VARCHAR)[]) AS kept FROM o
+  UNION ALL SELECT f.client_id, f.session_id, o.i, f.n, CASE WHEN NOT (o.role = 'assistant' AND contains(o.content, 'the')) THEN list_append(f.kept, {{'r': o.role, 'c': o.content}}) WHEN len(f.kept) > 0 AND f.kept[-1].r = 'user' THEN list_slice(f.kept, 1, len(f.kept) - 1) ELSE f.kept END
+  FROM f JOIN o ON o.client_id = f.client_id AND o.session_id = f.session_id AND o.i = f.i + 1)
+ SELECT client_id, session_id, coalesce(array_to_string(list_transform(kept, lambda x: x.r || '=' || x.c), '|'), '') AS history FROM f WHERE i = n""")
 def history_filter(spark, sf_dir):
-    """Assistant turns that hold "the" stand for declines; tests state the fold's rule."""
+    """Assistant turns that hold "the" stand for declines; the SQL folds each session turn by turn."""
     turns = history.kept_turns(messages(spark, sf_dir), lambda c: F.contains(c, F.lit("the")))
     h = turns.groupBy(*history.SESSION).agg(F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("nth", "role", "content")))).alias("h"))
     return h.select("client_id", "session_id", _flat("h").alias("history"))
