@@ -14,6 +14,8 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,18 +29,24 @@ _LETTER = re.compile(r"[A-Za-z]")
 _NAME = re.compile(r"[^ \t\n\r\f/>]+")
 #: What stands before an attribute, then the tag's end or the attribute: name and value in one of three forms.
 _ATTRIBUTE = re.compile(r"""([ \t\n\r\f/]*+)(?:(>)|(=?[^ \t\n\r\f/>=]++|=)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)?+))?+)""")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_READ = frozenset(("hidden", "aria-hidden", "style", "type", "start", "alt"))
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT_END, _TAG_END = re.compile(r"--!?>"), re.compile(">")
+_READ = frozenset(("hidden", "aria-hidden", "style", "type", "start", "alt", "open", "value"))
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-NEVER_SHOWN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title".split())
+NEVER_SHOWN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas annotation annotation-xml datalist title".split())
+#: Inputs that don't show their value as text.
+MUTE_INPUTS = frozenset("hidden checkbox radio file image range color password".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure hr article section".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup legend td th tr tbody thead tfoot caption dd dt li summary".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 FOREIGN = frozenset(("svg", "math"))
+#: What shows text inside svg.
+SVG_TEXT = frozenset(("text", "foreignobject"))
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
 #: Start tag -> open elements that it ends, and those beyond which it doesn't look.
 IMPLIED_ENDS = {
@@ -53,21 +61,26 @@ _CELLS = frozenset(("table", "td", "th", "caption", "template", "object"))
 SCOPE = {"li": LISTS | _CELLS, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "table": {"template"}, "template": set(), "object": set(), "body": set()}
 _ANY_BLOCK = "*"  # the key of open blocks, whatever their tag
 
-#: Open elements inside a hidden formatting element beyond which its misplaced end tag is not repaired.
-MOST_ABOVE = 200
-#: Nested lists beyond this many indents stand no further to the right.
-MOST_INDENTS = 20
-#: Tables inside this many others are written cell by cell.
-MOST_TABLES = 6
-#: A table is aligned while that takes at most so many characters for each of its text's, and these besides.
-ALIGN_TIMES, ALIGN_FREE = 16, 4096
+class Layout(NamedTuple):
+    """Bounds of the layout, never of the text; None is no bound."""
+
+    indents: int | None = 20  # nested lists beyond this many indents stand no further to the right
+    tables: int | None = 6  # tables inside this many others are written cell by cell
+    align_times: int | None = 16  # a table is aligned while that takes at most so many characters for each of its text's,
+    align_free: int = 4096  # and these besides
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "children", "start")
+    """An element.  `dark` ones are hidden where they begin, and `live` ones have shown content all the same."""
+
+    __slots__ = ("tag", "start", "children", "dark", "live", "weight", "source", "outer", "visible", "ended", "told")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.children, self.start = tag, hidden, [], start
+    def __init__(self, tag: str, start: int = 1):
+        self.tag, self.start, self.children = tag, start, []
+        self.dark = self.live = self.ended = self.told = False
+        self.weight = 0  # what it adds to the number of hiding elements: 1 hides, -1 shows inside one that hides
+        self.source: Node | None = None  # the element whose `visibility` holds in it, if any has one
+        self.outer, self.visible = None, True  # of such an element: the next one outside
 
 
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I) for tag in RAW}
@@ -86,8 +99,12 @@ def read_tag(page: str, at: int) -> tuple[str, dict[str, str], bool, int] | None
     return None
 
 
-def _hidden(tag: str, attributes: dict[str, str]) -> bool:
-    return tag in NEVER_SHOWN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden")
+def _hides(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in ("dialog", "details", "svg"):  # what of a closed element, or of a picture, is shown is said where it begins
+        closed = tag == "svg" or "open" not in attributes
+    else:
+        closed = tag in NEVER_SHOWN
+    return closed or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").lower() == "hidden")
 
 
 class _Tree:
@@ -95,7 +112,9 @@ class _Tree:
 
     def __init__(self):
         self.stack = [Node("html")]
+        self.stack[0].live = True
         self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.hiding = 0  # the open elements' weights
 
     def last(self, tags) -> int:
         return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
@@ -106,16 +125,45 @@ class _Tree:
         if not i or i < self.last(bounds):
             return False
         for x in self.stack[i:]:
+            if x.ended:
+                continue
+            self.hiding -= x.weight
             self.places[x.tag].pop()
             if x.tag in BLOCK:
                 self.places[_ANY_BLOCK].pop()
         del self.stack[i:]
         return True
 
+    def visibility(self, node: Node) -> Node | None:
+        """The element whose visibility holds in `node`; ended ones are passed over, once."""
+        while node.source is not None and node.source.ended:
+            node.source = node.source.outer
+        return node.source
+
+    def shows(self, weight: int = 0, source: Node | None = None) -> bool:
+        source = source or self.visibility(self.stack[-1])
+        return self.hiding + weight == 0 and (source is None or source.visible)
+
+    def lives(self) -> None:
+        """Something is shown in the open elements; each is told so once."""
+        for x in reversed(self.stack):
+            if x.live:
+                return
+            x.live = True
+
     def add(self, child: Node | str) -> None:
+        """Hidden text is left out; an element is dark if it's hidden where it begins."""
+        shown = self.shows()
+        if isinstance(child, Node):
+            child.dark = not shown
+        elif not shown:
+            return
+        else:
+            self.lives()
         self.stack[-1].children.append(child)
 
     def open(self, node: Node) -> None:
+        self.hiding += node.weight
         for key in (node.tag, _ANY_BLOCK) if node.tag in BLOCK else (node.tag,):
             self.places[key].append(len(self.stack))
         self.stack.append(node)
@@ -133,34 +181,10 @@ class _Tree:
         elif tag == "p":
             self.add(Node("p"))
         elif tag in FORMATTING and self.last({tag}) > self.last(_CELLS):
-            self.end_inside(self.last({tag}))
-
-    def end_inside(self, i: int) -> None:
-        """End the formatting element at place i, inside which blocks are open: what they hold so far stays formatted.
-
-        It matters for hidden ones only, and costs a step for each element above; those with more
-        than MOST_ABOVE stay open, as a stray end tag's would.
-        """
-        node, above = self.stack[i], self.stack[i + 1 :]
-        if not node.hidden or len(above) > MOST_ABOVE:
-            return
-        node.children.pop()  # an open element is its parent's last child
-        home = self.stack[i - 1]
-        for n, x in enumerate(above):
-            inside = x.children[:-1] if n + 1 < len(above) else x.children
-            if inside:
-                wrapper = Node(node.tag, True)
-                wrapper.children = inside
-            x.children = [wrapper] if inside else []
-            home.children.append(x)
-            home = x
-        self.places[node.tag].pop()
-        del self.stack[i]
-        for places in self.places.values():
-            for k in range(len(places) - 1, -1, -1):
-                if places[k] <= i:
-                    break
-                places[k] -= 1
+            # blocks are open inside a formatting element: what they hold so far stays formatted, and hidden with it, what follows doesn't
+            node = self.stack[self.places[tag].pop()]
+            node.ended = True
+            self.hiding -= node.weight
 
     def start(self, tag: str, attributes: dict[str, str], closes_itself: bool) -> bool:
         """Whether a raw element opens, whose text the caller reads."""
@@ -174,10 +198,23 @@ class _Tree:
         if tag == "html":
             return False
         start = attributes.get("start", "")
-        node = Node(tag, _hidden(tag, attributes), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+        node, top = Node(tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1), self.stack[-1]
+        node.weight = int(_hides(tag, attributes))
+        if tag == "summary" and top.tag == "details" and not top.told:
+            node.weight, top.told = node.weight - top.weight, True
+        elif tag in SVG_TEXT and self.last(SVG_TEXT) < self.last({"svg"}):
+            node.weight -= 1
+        node.source = self.visibility(top)
+        if said := _VISIBILITY.findall(attributes.get("style", "")):
+            node.outer, node.source, node.visible = node.source, node, said[-1].lower() == "visible"
         if tag == "img" and attributes.get("alt"):
             node.children.append(attributes["alt"])
-        self.add(node)
+        elif tag == "input" and attributes.get("value") and attributes.get("type", "").lower() not in MUTE_INPUTS:
+            node.children.append(attributes["value"])
+        top.children.append(node)
+        node.dark = not self.shows(node.weight, node.source)
+        if not node.dark and (tag in VOID or tag in RAW):
+            self.lives()
         if tag in VOID or closes_itself and (tag in FOREIGN or self.last(FOREIGN)):
             return False
         if tag not in RAW:
@@ -199,8 +236,8 @@ def build(page: str) -> Node:
         at = upto + 2 if closing else upto + 1
         if not _LETTER.match(page, at):  # a comment, a declaration or a closing tag without a name
             comment = page.startswith("<!--", upto)
-            found = page.find("-->" if comment else ">", upto + 2)
-            at = found + (3 if comment else 1) if found >= 0 else size
+            found = _COMMENT_END.search(page, upto + 2) if comment else _TAG_END.search(page, upto + 2)
+            at = found.end() if found else size
             continue
         tag = read_tag(page, at)
         if tag is None:
@@ -225,7 +262,8 @@ class Writer:
     Blocks inside an item stand together, without blank lines.
     """
 
-    def __init__(self):
+    def __init__(self, indents: int | None):
+        self.most_indents = indents
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.blank = False
@@ -262,7 +300,8 @@ class Writer:
             self.lines.append("")
         self.blank = False
         if self.indents:
-            self.line += self.indents if len(self.indents) <= MOST_INDENTS else [*self.indents[: MOST_INDENTS - 1], self.indents[-1]]
+            most = self.most_indents
+            self.line += self.indents if most is None or len(self.indents) <= most else [*self.indents[: most - 1], self.indents[-1]]
             for i in self.fresh:
                 self.indents[i] = " " * len(self.indents[i])
             self.fresh.clear()
@@ -309,13 +348,17 @@ def _run(job):
     return value
 
 
-def render(root: Node) -> str:
-    out = Writer()
-    _run(_render(root, out, False, 0))
+def render(root: Node, layout: Layout = Layout()) -> str:
+    out = Writer(layout.indents)
+    _run(_render(root, out, layout, False, 0))
     return "\n".join(out.done())
 
 
-def _render(node: Node, out: Writer, pre: bool, tables: int):
+def _unseen(x: Node) -> bool:
+    return x.dark and not x.live
+
+
+def _render(node: Node, out: Writer, layout: Layout, pre: bool, tables: int):
     """Writes the content of `node`, which stands in so many tables."""
     number = node.start
     for n, x in enumerate(node.children):
@@ -325,7 +368,7 @@ def _render(node: Node, out: Writer, pre: bool, tables: int):
             else:
                 out.text(x)
             continue
-        if x.hidden:
+        if _unseen(x):
             continue
         tag = x.tag
         if tag == "br":
@@ -338,30 +381,30 @@ def _render(node: Node, out: Writer, pre: bool, tables: int):
         elif tag == "li":
             out.indent(f"{number}. " if node.tag == "ol" else "- ")
             number += 1
-            yield _render(x, out, pre, tables)
+            yield _render(x, out, layout, pre, tables)
             out.outdent()
-        elif tag == "table" and tables < MOST_TABLES:
+        elif tag == "table" and (layout.tables is None or tables < layout.tables):
             out.end_line(True)
-            yield _table(x, out, tables + 1)
+            yield _table(x, out, layout, tables + 1)
             out.end_line(True)
         elif tag in BLOCK or tag == "xmp":
             nested = tag in LISTS and node.tag in LISTS
             out.indent("  ") if nested else out.end_line(tag in SPACED)
-            yield _render(x, out, pre or tag in ("pre", "xmp"), tables)
+            yield _render(x, out, layout, pre or tag in ("pre", "xmp"), tables)
             out.outdent() if nested else out.end_line(tag in SPACED)
         else:
-            yield _render(x, out, pre or tag == "textarea", tables)
+            yield _render(x, out, layout, pre or tag == "textarea", tables)
 
 
 def _rows(table: Node):
     """Rows of a table as lists of their children, other content alone."""
     for x in table.children:
-        inner = x.children if isinstance(x, Node) and x.tag in ("tbody", "thead", "tfoot") and not x.hidden else [x]
+        inner = x.children if isinstance(x, Node) and x.tag in ("tbody", "thead", "tfoot") and not _unseen(x) else [x]
         for y in inner:
             if isinstance(y, str):
                 if y.strip(_WS):
                     yield y
-            elif y.hidden or y.tag in ("colgroup", "col"):
+            elif _unseen(y) or y.tag in ("colgroup", "col"):
                 continue
             elif y.tag == "tr":
                 yield y.children
@@ -371,16 +414,16 @@ def _rows(table: Node):
                 yield y
 
 
-def _lines(node: Node, out: Writer, tables: int):
+def _lines(node: Node, out: Writer, layout: Layout, tables: int):
     """The lines of a node alone, whose characters `out` counts."""
-    own = Writer()
-    yield _render(node, own, False, tables)
+    own = Writer(layout.indents)
+    yield _render(node, own, layout, False, tables)
     lines = own.done()
     out.chars += own.chars
     return lines
 
 
-def _table(table: Node, out: Writer, tables: int):
+def _table(table: Node, out: Writer, layout: Layout, tables: int):
     """Cells of a row side by side, padded to the width of their column; other content stands alone."""
     grid: list[tuple[bool, list[list[str]]]] = []  # (whether a row of cells, the lines of each)
     before = out.chars
@@ -391,8 +434,8 @@ def _table(table: Node, out: Writer, tables: int):
                 if text := " ".join(x for x in _SPACE.split(c) if x):
                     out.chars += len(text)
                     loose.append([text])
-            elif not c.hidden:
-                lines = yield _lines(c, out, tables)
+            elif not _unseen(c):
+                lines = yield _lines(c, out, layout, tables)
                 (cells if c.tag in ("td", "th") else loose).append(lines)
         grid += [(False, [x]) for x in loose]
         if any(cells):
@@ -407,7 +450,7 @@ def _table(table: Node, out: Writer, tables: int):
     for w in widths:
         ends.append(ends[-1] + w + 2)
     area = sum(max(map(len, cells)) * ends[len(cells)] for is_row, cells in grid if is_row)
-    aligned = area <= ALIGN_TIMES * (out.chars - before) + ALIGN_FREE
+    aligned = layout.align_times is None or area <= layout.align_times * (out.chars - before) + layout.align_free
     for is_row, cells in grid:
         if is_row and aligned:
             lines = ["  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(cells)).rstrip() for k in range(max(map(len, cells)))]
@@ -418,15 +461,17 @@ def _table(table: Node, out: Writer, tables: int):
             out.end_line()
 
 
-def page_text(page: str | None) -> str:
-    return render(build(page.replace("\r\n", "\n").replace("\r", "\n"))) if page else ""
+def page_text(page: str | None, layout: Layout = Layout()) -> str:
+    return render(build(page.replace("\r\n", "\n").replace("\r", "\n")), layout) if page else ""
 
 
-def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, html_col: str = "html", layout: Layout = Layout()) -> DataFrame:
     """All columns of `pages` but the markup, and text: the page's visible text.
 
     A null or empty page gives an empty text.  Unclosed elements end with the page, stray end tags
     are ignored.  Pages are rendered alone: ids may be null or repeat.  One pass, no shuffle.  An
-    input column named `text`, in any case, is replaced.
+    input column named `text`, in any case, is replaced.  The default layout keeps the output in
+    proportion to the page; one without bounds may take much more for deep lists and wide tables.
     """
-    return with_computed(pages, html_col, "text string", lambda pages: [pa.array([page_text(x) for x in pages.to_pylist()], pa.string())], keep=False)
+    read = partial(page_text, layout=layout)
+    return with_computed(pages, html_col, "text string", lambda pages: [pa.array([read(x) for x in pages.to_pylist()], pa.string())], keep=False)

@@ -319,3 +319,33 @@ def test_deep_long_and_empty_pages(spark):
     assert len(out) == len(rows) and found[1] == "x" and found[2] == found[3] == "" and found[None] == "q"
     assert found[4].count("w") == 50_000 and "y" in found[5] and "z" in found[6]
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<b hidden>" + "<div>" * 1000 + "secret</b>visible", "visible"),
+        ("<div style='visibility:hidden'>a<span style='visibility: visible'>b</span>c</div>d", "b\nd"),
+        ("<div hidden>a<p style='visibility:visible'>b</p></div>c", "c"),
+        ("<b style='visibility:hidden'>a<div>b</b>c</div>d", "c\nd"),
+        ("<svg><title>t</title><text>w<tspan>x</tspan></text><desc>d</desc></svg>y", "wxy"),
+        ("<math><mi>x</mi><annotation>a</annotation></math>", "x"),
+        ("<!-- x --!>b", "b"),
+        ("a<!-->b-->c", "ab-->c"),
+        ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+        ("<details>a<summary>b</summary>c<summary>d</summary></details>e", "b\ne"),
+        ("<div hidden><details><summary>a</summary></details><svg><text>b</text></svg></div>c", "c"),
+        ("<details open>a</details>", "a"),
+        ("<input value=a> <input type=hidden value=b> <input type=checkbox value=c>", "a"),
+    ],
+)
+def test_visibility_rules(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_layout_without_bounds_keeps_every_indent():
+    page = "<ul><li>" * 30 + "x"
+    free = html_text.Layout(None, None, None)
+    assert html_text.page_text(page, free).splitlines()[-1].endswith("- x") and len(html_text.page_text(page, free).splitlines()[-1]) > len(html_text.page_text(page).splitlines()[-1])
+    table = "<table><tr><td>" * 9 + "a<td>b"
+    assert "a  b" in html_text.page_text(table, free) and "a  b" not in html_text.page_text(table)
