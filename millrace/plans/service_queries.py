@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace import stored
 from millrace.functions import text as tx
@@ -175,6 +176,42 @@ def failures(spark, sf_dir):
     return out.select("item_id", F.array_join("failure_reasons", ",").alias("failure_reasons"), "context_available", "context_match_count", "retrieved_context_snippet")
 
 
+@query("k11_broad_gate", """WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS flag FROM lineitem),
+ o AS (SELECT id, count(*) AS lines, count(DISTINCT flag) AS flags, list(qty) AS qtys FROM l GROUP BY id),
+ x AS (SELECT id, lines > 4 AS short, flags > 1 AS differ, o_orderkey % 2 = 1 AND NOT list_contains(qtys, o_custkey) AS unheard FROM o JOIN orders ON o_orderkey = id)
+ SELECT id, CASE WHEN short THEN 'source_count_mismatch' WHEN differ THEN 'wrong_source_attribution' WHEN unheard THEN 'unverified_numeric_claim' END AS rejection_reason, CASE WHEN short OR differ OR unheard THEN 'grounding' END AS rejection_stage, NOT (short OR differ OR unheard) AS accepted FROM x""")
+def broad_gate(spark, sf_dir):
+    """Orders answer from their lines: at most four are named, all with the first one's flag; odd orders also claim the customer's number."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    line = F.struct(F.row_number().over(w).alias("n"), F.col("l_quantity").cast("long").cast("string").alias("qty"), F.col("l_returnflag").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), line.alias("l")).groupBy("id").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    fields = lambda l, flag: F.create_map(F.lit("qty"), l["qty"], F.lit("flag"), flag)  # noqa: E731, E741
+    sources = F.transform("l", lambda l: fields(l, l["flag"]))  # noqa: E741
+    said = F.transform(F.slice("l", 1, 4), lambda l: F.struct(l["n"].alias("source"), fields(l, F.col("l")[0]["flag"]).alias("fields")))  # noqa: E741
+    claim = F.when(F.col("id") % 2 == 1, F.concat(F.lit("It is "), F.col("o_custkey").cast("string"), F.lit("."))).otherwise("Yes.")
+    records = lines.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("id")).select(
+        "id", F.lit("broad").alias("grounding_type"), F.to_json(said).alias("output_json"), claim.alias("output_phrasing"), F.lit(None).cast("map<string,string>").alias("field_data"), sources.alias("sources"), F.lit(None).cast("string").alias("target_field"), F.lit(None).cast("array<string>").alias("conflicting_values"),
+    )
+    return grounding.check_records(records).select("id", "rejection_reason", "rejection_stage", "accepted")
+
+
+@query("k11_negative_gates", """WITH x AS (SELECT conv_id, turn, role, turn % 3 = 2 AS told, conv_id % 2 = 1 AS claims, role = text AS same FROM conversations),
+ r AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN CASE WHEN told THEN 'non_empty_json_for_absence' WHEN claims THEN 'unverified_numeric_claim' END
+  WHEN 'assistant' THEN CASE WHEN told THEN 'invented_value_for_missing_field' WHEN claims THEN 'unverified_numeric_claim' END
+  WHEN 'system' THEN CASE WHEN told THEN 'non_empty_json_for_ambiguous' WHEN same THEN 'ambiguous_premise_invalid' WHEN claims THEN 'unverified_numeric_claim' END ELSE 'unknown_grounding_type' END AS rejection_reason FROM x)
+ SELECT conv_id, turn, rejection_reason, rejection_reason IS NULL AS accepted FROM r""")
+def negative_gates(spark, sf_dir):
+    """Roles stand for the kinds of records that must not answer; every third turn answers, odd conversations claim a number."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "absence").when(F.col("role") == "assistant", "ambiguous_direct").when(F.col("role") == "system", "ambiguous_cross_chunk").otherwise("other")
+    json = F.when(F.col("turn") % 3 == 2, '{"price": "7"}').when((F.col("turn") % 3 == 1) & (F.col("role") != "assistant"), "[ ]").otherwise("{}")
+    records = c.select(
+        "conv_id", "turn", kind.alias("grounding_type"), json.alias("output_json"), F.when(F.col("conv_id") % 2 == 1, "It costs 4321.").otherwise("We don't know.").alias("output_phrasing"), F.lit(None).cast("map<string,string>").alias("field_data"),
+        F.lit(None).cast("array<map<string,string>>").alias("sources"), F.lit("price").alias("target_field"), F.array("role", "text").alias("conflicting_values"),
+    )
+    return grounding.check_records(records).select("conv_id", "turn", "rejection_reason", "accepted")
+
+
 # --- curation -------------------------------------------------------------------------------------
 
 
