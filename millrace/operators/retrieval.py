@@ -192,6 +192,11 @@ def unknown_filter_keys(filters: Column, allowed: Column) -> Column:
     return F.array_sort(F.array_except(F.map_keys(filters), allowed))
 
 
+def holds_metadata(metadata: Column, filters: Column) -> Column:
+    """Whether a row's metadata, a map, has all entries of the filters; any row does where there are none."""
+    return F.forall(F.map_entries(F.coalesce(filters, F.create_map().cast("map<string,string>"))), lambda e: F.coalesce(F.try_element_at(metadata, e["key"]) == e["value"], F.lit(False)))
+
+
 def retrieve(requests: DataFrame, chunks: DataFrame, config: DataFrame, rerank: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, rejected) of requests(query_id, client_id, query_text, vector, filters map) over tenants' chunks.
 

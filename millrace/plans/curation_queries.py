@@ -28,6 +28,16 @@ def chunk_rows(spark, sf_dir):
     return ingest.chunk_rows(staging, registry, config).select("id", "content", "chunk_type", F.col("metadata.brand").alias("brand"))
 
 
+@query("k1_registered_rows", f"""WITH {PART_SQL}, c AS (SELECT sheet_name, label, CASE WHEN sheet_name LIKE 'Brand#1%' THEN CASE label WHEN 'code' THEN 1 WHEN 'size' THEN 2 WHEN 'name' THEN 3 END ELSE min(id * 10 + ord) END AS place FROM fields GROUP BY sheet_name, label)
+ SELECT 'c0' AS client_id, sheet_name AS chunk_type, '[Document: catalog] ' || string_agg(label || ': ' || value, '. ' ORDER BY place) AS content FROM fields JOIN c USING (sheet_name, label) WHERE place IS NOT NULL GROUP BY sheet_name, fields.id""")
+def registered_rows(spark, sf_dir):
+    """Sheets of one kind have registered columns, in another order, one of which no row has; the others' are inferred."""
+    staging = _staging(spark, sf_dir)
+    registry = staging.where("sheet_name like 'Brand#1%'").select("client_id", "sheet_name").distinct().select("*", F.array(*[F.lit(c) for c in ("code", "size", "nowhere", "name")]).alias("columns"), F.lit(None).cast("array<string>").alias("mandatory_fields"))
+    config = spark.createDataFrame([], "client_id string, brand_value_aliases map<string,string>")
+    return ingest.chunk_rows(staging, registry, config).select("client_id", "chunk_type", "content")
+
+
 @query("b8_inferred_columns", f"WITH {PART_SQL}, c AS (SELECT sheet_name, label, min(id * 10 + ord) AS place FROM fields GROUP BY ALL) SELECT 'c0' AS client_id, sheet_name, string_agg(label, ',' ORDER BY place) AS columns FROM c GROUP BY sheet_name")
 def inferred(spark, sf_dir):
     return ingest.inferred_columns(_staging(spark, sf_dir)).withColumn("columns", F.array_join("columns", ","))
@@ -122,10 +132,13 @@ def split(spark, sf_dir):
     return curation.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query("k14_alpaca", f"WITH {_RECORDS} SELECT 'CONTEXT:' || chr(10) || input AS instruction, 'PATIENT MESSAGE:' || chr(10) || instruction AS input, md5('p' || (ord % 4)) AS phrasing FROM records")
+@query("k14_alpaca", f"""WITH {_RECORDS}, j AS (SELECT *, '"a": "' || (ord % 3) || '"' AS a, '"b": "' || (ord % 2) || '"' AS b FROM records)
+ SELECT 's' AS system, 'CONTEXT:' || chr(10) || input AS instruction, 'PATIENT MESSAGE:' || chr(10) || instruction AS input,
+  '```json' || chr(10) || '{{' || CASE WHEN ord % 5 = 0 THEN b || ', ' || a ELSE a || ', ' || b END || '}}' || chr(10) || '```' || chr(10) || chr(10) || 'p' || (ord % 4) AS output, 0 AS n_history, 'p' || (ord % 4) AS phrasing FROM j""")
 def alpaca(spark, sf_dir):
+    """Records in the instruction format, and the phrasing as it is read back from the output."""
     out = curation.alpaca(_records(spark, sf_dir), "s")
-    return out.select("instruction", "input", F.md5(tx.phrasing(F.col("output"))).alias("phrasing"))
+    return out.select("system", "instruction", "input", "output", F.size("history").alias("n_history"), tx.phrasing(F.col("output")).alias("phrasing"))
 
 
 @query("k11_record_gate", f"""WITH {PART_SQL}, one AS (SELECT p_partkey AS id, p_size, p_type FROM part)

@@ -62,6 +62,15 @@ def reranked(spark, sf_dir):
     return _retrieved(spark, sf_dir, lambda _, content: F.length(content).cast("double"))[0].select("query_id", "id", "score", "dense_rank", "sparse_rank", "original_index", "rank")
 
 
+@query("b2_metadata_filter", """SELECT p_partkey AS id FROM part WHERE CASE p_partkey % 3 WHEN 0 THEN p_brand = 'Brand#11' WHEN 1 THEN p_size > 25 AND p_brand LIKE 'Brand#2%' ELSE TRUE END""")
+def metadata_filter(spark, sf_dir):
+    """Rows whose metadata hold all entries of their filter: one, two (the second for half of the brands) or none."""
+    p, i = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    held = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("large"), (F.col("p_size") > 25).cast("string"), F.lit("tens"), F.substring("p_brand", 7, 1), F.lit("none"), F.lit(None).cast("string"))
+    asked = F.when(i == 0, F.create_map(F.lit("brand"), F.lit("Brand#11"))).when(i == 1, F.create_map(F.lit("large"), F.lit("true"), F.lit("tens"), F.lit("2")))
+    return p.where(retrieval.holds_metadata(held, asked)).select(F.col("p_partkey").alias("id"))
+
+
 # --- mirroring and counts -------------------------------------------------------------------------
 
 

@@ -38,6 +38,12 @@ def write_datasets(split: DataFrame, folder: str, name: str = "dataset") -> dict
     return {f"{name}_{part}": {"file_name": f"{folder}/{part}", "columns": COLUMNS} for part in ("train", "val")}
 
 
+def write_judged(judged: DataFrame, folder: str) -> None:
+    """JSON lines of the accepted records, and of the rejected ones with their reasons."""
+    judged.where("accepted").drop("accepted", "rejection_reason", "rejection_stage").write.mode("overwrite").json(f"{folder}/accepted")
+    judged.where("not accepted").drop("accepted").write.mode("overwrite").json(f"{folder}/rejected")
+
+
 def merge_registry(spark: SparkSession, path: str, entries: dict) -> None:
     """A dataset registry with entries added or replaced; one row of JSON text."""
     try:

@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 import pytest
 
 from millrace.operators import ingest
-from millrace.sources import listing, versions, workbook
+from millrace.sources import listing, sinks, versions, workbook
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 FIELDS = "array<struct<key:string,value:string>>"
@@ -128,3 +128,11 @@ def test_listings_of_many_pages(spark, tmp_path):
     files = listing.fetched(listed.where("client_id = 'c0'"), "b", get, 4)
     assert [(r["source_file"], r["fields"][0]["value"]) for r in workbook.read_workbooks(files).orderBy("source_file").collect()] == [("a.xlsx", "v"), ("c.xlsx", "v")]
     assert listing.listed_files(spark, [], "b", get).count() == 0
+
+
+def test_judged_records_go_to_two_folders(spark, tmp_path):
+    judged = spark.createDataFrame([(1, True, None, None), (2, False, "invented_key", "grounding")], "id int, accepted boolean, rejection_reason string, rejection_stage string")
+    for _ in range(2):
+        sinks.write_judged(judged, str(tmp_path))
+    assert [r.asDict() for r in spark.read.json(f"{tmp_path}/accepted").collect()] == [{"id": 1}]
+    assert [r.asDict() for r in spark.read.json(f"{tmp_path}/rejected").collect()] == [{"id": 2, "rejection_reason": "invented_key", "rejection_stage": "grounding"}]
