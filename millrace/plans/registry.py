@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from millrace.plans import curation_queries, log_queries, retrieval_queries, service_queries, text_queries  # noqa: E402, F401  they register themselves
+from millrace.plans import curation_queries, log_queries, retrieval_queries, row_queries, service_queries, text_queries  # noqa: E402, F401  they register themselves
