@@ -325,7 +325,7 @@ def session_stream(spark, sf_dir):
     folder = stored.fresh(spark, "session-stream")
     events = table(spark, sf_dir, "events")
     states = stateful.session_states(_messages(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")))  # a pattern, as a stream takes no single file
-    stateful.started(states, lambda batch, n: batch.where("not expired").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint").awaitTermination()
+    stateful.started(states, lambda batch, n: batch.where("not expired").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint", partitions=max(8, events.count() // 100_000)).awaitTermination()
     rows = spark.read.option("mergeSchema", "false").schema("client_id string, session_id string, ts timestamp, brand_filter string, turns array<struct<at:timestamp,ord:long,role:string,content:string>>, expired boolean, batch int").parquet(f"{folder}/out")
     last = F.max_by(F.struct("ts", "brand_filter", "turns"), F.struct("batch", "ts")).alias("s")
     return _told(rows.groupBy("client_id", "session_id").agg(last).select("client_id", "session_id", "s.*"))

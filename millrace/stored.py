@@ -33,18 +33,28 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
-    """The path of what `write` writes from the tables of `source`: written by the first of an application that asks."""
+    """The path of what `write` writes from the tables of `source`: written by the first of an application that asks, and again if it's gone."""
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _known:
+    if key not in _known or not exists(spark, _known[key]):
         path = fresh(spark, name)
         write(path)
         _known[key] = path
     return _known[key]
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _located(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _located(spark, path)
+    fs.delete(p, True)
 
 
 def saved(df: DataFrame, path: str, *partitions: str) -> DataFrame:

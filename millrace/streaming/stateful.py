@@ -8,7 +8,7 @@ read all of it ends with the same states, however its batches were cut or restar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -116,13 +116,19 @@ def session_states(messages: DataFrame, log: DataFrame | None = None, ttl_s: int
     return out.select(*SESSION, F.timestamp_micros("last").alias("ts"), "brand_filter", timed("turns", F.timestamp_micros).alias("turns"), "expired")
 
 
-def started(states: DataFrame, sink, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Start `states` with its state in RocksDB, which timers need; sink(batch, batch_id) gets each batch's rows."""
+def started(states: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, partitions: int | None = None) -> StreamingQuery:
+    """Start `states` with its state in RocksDB, which timers need; sink(batch, batch_id) gets each batch's rows.
+
+    `partitions` of the state, by default as many as of a shuffle, are fixed by the first start.
+    """
     spark: SparkSession = states.sparkSession
-    before = spark.conf.get(_PROVIDER[0], None)
-    spark.conf.set(*_PROVIDER)
+    wanted = dict([_PROVIDER]) | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         writer = states.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
-        spark.conf.unset(_PROVIDER[0]) if before is None else spark.conf.set(_PROVIDER[0], before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -101,7 +101,14 @@ def test_blocks_below_the_threshold_are_not_read(spark, monkeypatch):
     assert read == [1, 0]  # of about 30 blocks
 
 
-def test_an_index_is_written_once(spark):
+def test_an_index_is_written_once_while_it_is_there(spark):
     written = []
-    first, second = (stored.once(spark, "test", "a folder", written.append) for _ in range(2))
+
+    def write(path):
+        written.append(path)
+        spark.range(1).write.parquet(path)
+
+    first, second = (stored.once(spark, "test", "a folder", write) for _ in range(2))
     assert first == second and written == [first]
+    stored.delete(spark, first)
+    assert stored.once(spark, "test", "a folder", write) == written[1] != first
