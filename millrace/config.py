@@ -11,8 +11,8 @@ DEFAULTS = {
     "placeholder_max_distinct_ratio": 0.4, "variant_ambiguity_score_gap": 0.3, "history_window": 6, "session_ttl_s": 86_400, "embed_batch": 16,
 }
 
-#: Settings tables are broadcast up to this many tenants and joined by shuffle beyond.
-BROADCAST_TENANTS = 100_000
+#: Settings tables are broadcast up to this many tenants, and bytes as JSON, and joined by shuffle beyond.
+BROADCAST_TENANTS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def with_defaults(config: DataFrame) -> DataFrame:
@@ -24,5 +24,7 @@ def with_defaults(config: DataFrame) -> DataFrame:
 
 
 def small(table: DataFrame, most: int = BROADCAST_TENANTS) -> DataFrame:
-    """`table`, to be broadcast if it has at most `most` rows."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    """`table`, to be broadcast if it has at most `most` rows and BROADCAST_BYTES."""
+    first = table.limit(most + 1)
+    n, size = first.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))).first()
+    return F.broadcast(table) if n <= most and (size or 0) <= BROADCAST_BYTES else table

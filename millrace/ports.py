@@ -19,10 +19,19 @@ DIMENSIONS = 64
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Signed hashed bag of words, of unit length; all zeros without words, null for null."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    codes = F.transform(words, lambda w: F.xxhash64(w))
-    sign = lambda c: F.when(c < 0, -1).otherwise(1)
-    held = lambda cs, d: F.aggregate(cs, F.lit(0), lambda n, c: n + F.when(F.pmod(c, F.lit(dimensions)) == d, sign(c)).otherwise(0))
-    counted = F.transform(F.array(codes), lambda cs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: held(cs, d)))
+    bucket = lambda c: F.pmod(c, F.lit(dimensions)).cast("int").alias("bucket")
+    coded = F.array_sort(F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda c: F.struct(bucket(c), F.when(c < 0, -1).otherwise(1).alias("sign"))))
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    state = lambda out, at, n: F.struct(out.alias("out"), at.alias("at"), n.alias("n"))
+
+    def step(s: Column, w: Column) -> Column:
+        """Words come bucket by bucket; a bucket's sum is written when the next one begins."""
+        same = state(s["out"], s["at"], s["n"] + w["sign"])
+        return F.when(w["bucket"] == s["at"], same).otherwise(state(F.concat(s["out"], F.array(s["n"]), zeros(w["bucket"] - s["at"] - 1)), w["bucket"], w["sign"]))
+
+    begin = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
+    held = F.aggregate(coded, begin, step, lambda s: F.concat(s["out"], F.array(s["n"]), zeros(F.lit(dimensions - 1) - s["at"])))
+    counted = F.array(held)
     norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x * x)), F.lit(1e-30))
     scaled = F.transform(counted, lambda v: F.transform(F.arrays_zip(v.alias("v"), F.array_repeat(norm(v), dimensions).alias("n")), lambda p: (p["v"] / p["n"]).cast("float")))
     return F.when(text.isNotNull(), F.get(scaled, 0))
