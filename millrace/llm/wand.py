@@ -27,7 +27,9 @@ from millrace.llm import _tokens as tk
 from millrace.llm._shared import Rows, discard, written
 
 #: Most text bytes (or one document) and most documents of a shard.
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 8192
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
+#: Text bytes, or one text, whose words are cut at once.
+PIECE_BYTES = 1 << 19
 #: Documents that a query gets.
 TOP = 50
 #: Pairs of query and term that a task holds at once; larger sets of queries are searched in blocks.
@@ -40,12 +42,22 @@ SCALE, WEIGHT_SCALE = 1_000_000_000, 1000
 _INDEX = "shard long, term long, df int, places array<int>, counts array<int>, ids array<long>"
 
 
-def _grouped(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(term, text) of each word; words are cut from PIECE_BYTES at a time, so only these two arrays are as long as the shard."""
+    terms, owners = [], []
+    for i, j in tk.slices(texts, PIECE_BYTES):
+        w = tk.Words(texts.slice(i, j - i), tk.ALNUM_WORDS, lower=True)
+        terms.append(tk.as_long(w.hashes()))
+        owners.append((w.text + i).astype(np.int32))
+    return (np.concatenate(terms), np.concatenate(owners)) if terms else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _grouped(terms: np.ndarray, owners: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, offset of its postings, text, frequency) of some words, sorted by term and text."""
-    terms, number = np.unique(tk.as_long(w.hashes()), return_inverse=True)
-    key, counts = np.unique(number.astype(np.int64) * max(1, w.n_texts) + w.text, return_counts=True)
-    of_term, text = key // max(1, w.n_texts), key % max(1, w.n_texts)
-    return terms, np.searchsorted(of_term, np.arange(len(terms) + 1)), text, counts
+    distinct, number = np.unique(terms, return_inverse=True)
+    key, counts = np.unique(number * n_texts + owners, return_counts=True)
+    of_term, text = key // n_texts, key % n_texts
+    return distinct, np.searchsorted(of_term, np.arange(len(distinct) + 1)), text, counts
 
 
 def _list(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -54,11 +66,12 @@ def _list(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def _shard_rows(shard: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
     """The rows of one shard: first its documents with a term and their lengths, then its terms."""
-    w = tk.Words(texts, tk.ALNUM_WORDS, lower=True)
-    if not len(w):
+    words, owners = _tokens(texts)
+    if not len(words):
         return None
-    held = np.flatnonzero(w.counts)
-    terms, offsets, text, counts = _grouped(w)
+    lengths = np.bincount(owners, minlength=len(texts))
+    held = np.flatnonzero(lengths)
+    terms, offsets, text, counts = _grouped(words, owners, len(texts))
     places = np.searchsorted(held, text)
     n = len(terms) + 1
     bounds = np.concatenate([[0, len(held)], len(held) + offsets[1:]])
@@ -69,7 +82,7 @@ def _shard_rows(shard: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch |
             pa.array(np.concatenate([[0], terms]), mask=np.arange(n) == 0),
             pa.array(np.concatenate([[0], np.diff(offsets)]).astype(np.int32)),
             _list(np.concatenate([np.arange(len(held)), places]), bounds, pa.int32()),
-            _list(np.concatenate([w.counts[held], counts]), bounds, pa.int32()),
+            _list(np.concatenate([lengths[held], counts]), bounds, pa.int32()),
             pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ids.take(pa.array(held)).cast(pa.int64())),
         ],
         ["shard", "term", "df", "places", "counts", "ids"],
