@@ -73,7 +73,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarra
     return ok, tk.sliding_min(tk.grams(h, m), k - m + 1)
 
 
-def repeated_anchors(rows: Rows, id_col: str, find: Finder) -> DataFrame:
+def repeated_anchors(rows: Rows, id_col: str, find: Finder, most: int = tk.SLICE_BYTES) -> DataFrame:
     """(_id, anchors): for each id the anchors that another id has too."""
 
     def emit(batches):
@@ -95,7 +95,7 @@ def repeated_anchors(rows: Rows, id_col: str, find: Finder) -> DataFrame:
 
         for b in batches:
             ids_of, text = b.column("_id"), b.column("_text")
-            for i, j in tk.slices(text):
+            for i, j in tk.slices(text, most):
                 text_no, ok, anchor = find(text.slice(i, j - i))
                 text_no, a = text_no[ok], tk.as_long(anchor[ok])
                 keep = tk.run_starts(a, text_no)

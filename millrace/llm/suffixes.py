@@ -27,6 +27,8 @@ from millrace.llm._shared import Rows, discard, schema_of, written
 WINDOW, ANCHOR = 50, 16
 #: Most windows of a run, and most bytes of an anchor's runs, and of windows, that one suffix array sorts.
 MOST_RUN, SHARD_BYTES = 4096, 1 << 20
+#: Text bytes, or one text, whose windows a task hashes at once.
+PIECE_BYTES = 1 << 19
 _DUP = 40
 
 
@@ -256,7 +258,7 @@ def _anchors(rows: Rows, id_col: str, window: int, anchor: int) -> DataFrame:
         x = _Windows(text, window, anchor)
         return x.no, x.ok, x.anchor
 
-    return rp.repeated_anchors(rows, id_col, find)
+    return rp.repeated_anchors(rows, id_col, find, PIECE_BYTES)
 
 
 def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -280,7 +282,7 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 
         for b in batches:
             ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
-            for i, j in tk.slices(text):
+            for i, j in tk.slices(text, PIECE_BYTES):
                 x = _Windows(text.slice(i, j - i), window, anchor)
                 at = np.flatnonzero(x.ok)
                 at = at[rp.marked(x.no[at], x.anchor[at], *tk.lists(lists.slice(i, j - i)))]
@@ -328,7 +330,7 @@ def _contents(texts: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for i, j in tk.slices(b.column("_text")):
+            for i, j in tk.slices(b.column("_text"), PIECE_BYTES):
                 raw, off = tk.text_buffer(b.column("_text").slice(i, j - i))
                 data = raw.tobytes()
                 out: list[list] = [[], [], [], [], []]
@@ -487,7 +489,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches):
         for b in batches:
-            for i, j in tk.slices(b.column("_text")):
+            for i, j in tk.slices(b.column("_text"), PIECE_BYTES):
                 part = b.slice(i, j - i)
                 raw, off = tk.text_buffer(part.column("_text"))
                 dups, spans = part.column("_dup").to_numpy(), part.column("_spans")
