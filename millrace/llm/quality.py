@@ -1,7 +1,7 @@
 """Quality rules: counts of each text and a hashed n-gram log-likelihood ratio, without Python workers.
 
-Unigrams and bigrams of words are hashed into a fixed number of buckets.  The bucket counts of a
-trusted sample and of all documents are two multinomials; a document's score is the mean, over
+Unigrams and bigrams of words are hashed into a fixed number of buckets.  The bucket counts of all
+trusted documents and of all documents are two multinomials; a document's score is the mean, over
 its n-grams, of the log ratio of the two smoothed bucket probabilities.
 """
 
@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._columns import GAP_CHARS, computed_once, let, words
-from millrace.llm._shared import Rows
+from millrace.llm._shared import Rows, discard, written
 
 #: Buckets of the multinomials: the two count tables and the table of ratios have this many rows.
 BUCKETS = 8192
-#: Most trusted documents, taken in the order of a hash of their id; their ids are broadcast.
-TRUSTED_MOST = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: A document is kept from this quantile of the trusted documents' own scores on.
 QUANTILE = 0.01
+#: Ranges that a round of the search for a quantile counts.
+RANGES = 4096
 #: Words of a window in the repetition rule.
 WINDOW = 8  # `_repeat_words` builds it of bigrams by two doublings
 SYMBOLS = "#*$%&|<>"
@@ -53,20 +53,21 @@ def _bucket(h: Column) -> Column:
 
 
 def _trusted_ids(labels: DataFrame) -> DataFrame:
-    """(_id): at most TRUSTED_MOST ids of label quality 1."""
-    order = F.xxhash64(F.col("_id"))
-    return labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(order, "_id").limit(TRUSTED_MOST)
+    """(_id): all ids of label quality 1."""
+    return labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
 
 
 def ratios(rows: Rows, trusted: DataFrame, id_col: str) -> list[float]:
     """Log ratio of each bucket: trusted documents against all documents.
 
-    Collects BUCKETS rows of counts at most.  All zero where no document is trusted.
+    Texts are shuffled once, to the trusted ids, of which there may be any number.  Collects BUCKETS
+    rows of counts at most.  All zero where no document is trusted.
     """
-    texts = _grams(rows.frame.select(rows.col(id_col).alias("_id"), rows.text), "_id").join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "_id", "left")
-    counts = texts.select("_trusted", F.explode(F.concat("_h", "_b")).alias("gram")).select("_trusted", _bucket(F.col("gram")).alias("bucket"))
-    counts = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target"))
+    marked = rows.frame.select(rows.col(id_col).alias("_id"), rows.text).join(trusted.withColumn("_trusted", F.lit(1)).hint("merge"), "_id", "left")
+    counts = _grams(marked, "_trusted").select("_trusted", F.explode(F.concat("_h", "_b")).alias("gram")).select("_trusted", _bucket(F.col("gram")).alias("bucket"))
+    counts = written(counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")), "bucket-counts")
     found = {r["bucket"]: (r["target"], r["raw"]) for r in counts.collect()}
+    discard(counts)
     n_target, n_raw = sum(t for t, _ in found.values()), sum(r for _, r in found.values())
     if not n_target:
         return [0.0] * BUCKETS
@@ -74,11 +75,39 @@ def ratios(rows: Rows, trusted: DataFrame, id_col: str) -> list[float]:
     return [share(found.get(b, (0, 0))[0], n_target) - share(found.get(b, (0, 0))[1], n_raw) for b in range(BUCKETS)]
 
 
+def _nth(values: DataFrame, n: int, low: float, high: float) -> float:
+    """The n-th smallest `llr`, from 0, of values from low to high: counts of ever narrower ranges, RANGES rows at a time."""
+    while low < high:
+        at = F.least(F.floor((F.col("llr") - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+        inside = values.where(F.col("llr").between(low, high)).groupBy(at.alias("at"))
+        for r in inside.agg(F.count(F.lit(1)).alias("n"), F.min("llr").alias("low"), F.max("llr").alias("high")).orderBy("at").collect():
+            if n < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["n"]
+    return low
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of `llr`, between two values as `percentile` has it; None without values."""
+    count, low, high = values.agg(F.count("llr"), F.min("llr"), F.max("llr")).first()
+    if not count:
+        return None
+    place = share * (count - 1)
+    before, after = (_nth(values, n, low, high) for n in (math.floor(place), math.ceil(place)))
+    return before + (place - math.floor(place)) * (after - before)
+
+
 def threshold_of(rows: Rows, trusted: DataFrame, id_col: str, table: Column) -> float:
-    """The QUANTILE of the trusted documents' scores, over rows with a word; minus infinity without any."""
-    found = rows.frame.select(rows.col(id_col).alias("_id"), rows.text).join(F.broadcast(trusted), "_id")
-    texts = _grams(found).where(F.size("_h") > 0)
-    score = texts.select(_score(F.col("_h"), F.col("_b"), table).alias("llr")).agg(F.percentile("llr", QUANTILE)).first()[0]
+    """The QUANTILE of all trusted documents' scores, over rows with a word; minus infinity without any.
+
+    All documents are scored, and only their ids and scores are shuffled to the trusted ids.
+    """
+    texts = _grams(rows.frame.select(rows.col(id_col).alias("_id"), rows.text), "_id")
+    scores = computed_once(texts, ["_id"], n=F.size("_h"), llr=_score(F.col("_h"), F.col("_b"), table)).where("n > 0")
+    scores = written(scores.join(trusted, "_id").select("llr"), "trusted-scores")
+    score = quantile(scores, QUANTILE)
+    discard(scores)
     return -math.inf if score is None else score
 
 
@@ -113,8 +142,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     A null or empty text has no words: all counts 0, llr 0.0, base_failed.  Rows are judged alone,
     so ids may be of any type, be null or repeat; a null id is never trusted.  Without a threshold
     it is the QUANTILE of the trusted documents' scores; without trusted documents the base rules
-    decide.  An input column with a result's name, in any case, is replaced.  Two passes over the
-    texts and one over the trusted ones, no shuffle but the BUCKETS partial counts.
+    decide.  An input column with a result's name, in any case, is replaced.  Three passes over the
+    texts, the first of which shuffles them; two with a threshold.
     """
     result = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")
     rows, trusted = Rows(docs, text_col, (*result, "base_failed", "kept")), _trusted_ids(labels)

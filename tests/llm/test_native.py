@@ -86,6 +86,22 @@ def test_quality_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_all_trusted_documents_count(spark):
+    """Where all documents are trusted, however many, both multinomials are equal, so all scores are 0."""
+    docs = spark.range(20_400).selectExpr("id AS doc_id", "concat_ws(' ', concat('w', id), concat('v', id % 77), 'end') AS text")
+    out = quality.quality(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert out.where("llr <> 0.0").count() == 0
+
+
+@pytest.mark.parametrize("ranges", [16, 4096])
+def test_quantile_is_exact(spark, monkeypatch, ranges):
+    monkeypatch.setattr(quality, "RANGES", ranges)
+    values = spark.range(999).selectExpr("IF(id % 5 = 0, -0.25D, sin(id * id) * pow(10, id % 4)) AS llr").cache()
+    for share in (0.01, 0.456):
+        assert quality.quantile(values, share) == pytest.approx(values.selectExpr(f"percentile(llr, {share})").first()[0], abs=1e-12)
+    assert quality.quantile(values.where("llr = -0.25"), 0.01) == -0.25 and quality.quantile(values.limit(0), 0.01) is None
+
+
 def filled(sizes: dict) -> dict:
     """Targets by filling step by step."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
