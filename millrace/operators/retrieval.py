@@ -1,7 +1,8 @@
 """Dense, lexical and hybrid retrieval for many queries at once, and their evaluation.
 
 Queries are the small side: they are broadcast in blocks of a checked size, so the corpus is
-scanned and never shuffled; each leg keeps a query's top k of every partition before ranking.
+scanned and never shuffled; each leg keeps a query's top k of every partition before ranking (dense
+scores: see `products`).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from millrace.config import small, with_defaults
 from millrace.functions import text as tx
+from millrace.operators import products
 
 #: Queries, and bytes of their vectors, up to which they are broadcast as one block.
 BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
@@ -58,29 +60,26 @@ def top_per_query(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
+def dense_scores(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = (), optional: tuple[str, ...] = (), k: int | None = None, skip_own: bool = False) -> DataFrame:
     """(query_id, id, score) of all pairs by cosine; queries(query_id, vector, *on, *optional), chunks(id, embedding, *on, *optional).
 
     Rows without an embedding are left out; `on` holds the tenant and filter columns, which are
-    compared inside the scan, and `optional` filters that a query may lack.  Scores are rounded to 9 places.
+    compared inside the scan, and `optional` filters that a query may lack.  Scores are rounded to 9
+    places.  With k, a task leaves out what can't be among its query's first k rows, ties by id; with
+    `skip_own`, rows of the query's own id.
     """
-    stored = chunks.where(F.col("embedding").isNotNull()).alias("c")
-    parts = []
-    for block in query_blocks(queries):
-        pairs = stored.join(F.broadcast(block.alias("q")), _agree(on, optional) or None)
-        parts.append(pairs.select("q.query_id", "c.id", F.round(dot(F.col("c.embedding"), F.col("q.vector")), 9).alias("score")))
-    return _union(parts)
+    parts = [products.scores(block, chunks, on, optional, k, skip_own) for block in query_blocks(queries)]
+    return _union(parts).withColumn("score", F.round("score", 9))
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, on: tuple[str, ...] = (), optional: tuple[str, ...] = (), skip_own: bool = False) -> DataFrame:
     """(query_id, id, score, rank) of the first k pairs of `dense_scores`, ties by id."""
-    return top_per_query(dense_scores(queries, chunks, on, optional), k, F.col("id"))
+    return top_per_query(dense_scores(queries, chunks, on, optional, k, skip_own), k, F.col("id"))
 
 
 def nearest_other(queries: DataFrame, chunks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, expected_id): the best row but the query's own, over all rows; ties by id."""
-    others = dense_scores(queries, chunks, on).where(F.col("id") != F.col("query_id"))
-    return others.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("expected_id"))
+    return dense_top_k(queries, chunks, 1, on, skip_own=True).select("query_id", F.col("id").alias("expected_id"))
 
 
 def postings(chunks: DataFrame, content: str = "content", terms: DataFrame | None = None) -> DataFrame:
