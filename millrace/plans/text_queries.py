@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import bidi
 from millrace.functions import text as tx
-from millrace.operators import decisions, grounding
+from millrace.operators import decisions, grounding, retrieval
 from millrace.plans.registry import query
-from millrace.tables import PART_SQL, part_chunks, table
+from millrace.tables import PART_SQL, dense_queries, part_chunks, table, vectors
 
 _SPLIT = "string_split(trim(regexp_replace(%s, '\\s+', ' ', 'g')), ' ')"
 
@@ -95,12 +92,10 @@ def fenced(spark, sf_dir):
 
 @query("h38_dot", "SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dot FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def dots(spark, sf_dir):
-    from millrace.operators.retrieval import dot, query_blocks
-
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    parts = [e.join(F.broadcast(b)).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("embedding")), 9).alias("dot")) for b in query_blocks(asked)]
-    return parts[0] if len(parts) == 1 else functools.reduce(DataFrame.unionByName, parts)
+    # a missing vector has a row too: nothing is as long as an empty one, so its score is null
+    rows = vectors(spark, sf_dir).withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
+    pairs = retrieval.dense_scores(dense_queries(spark, sf_dir), rows)
+    return pairs.select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("dot"))
 
 
 @query("d7_placeholder", f"""WITH {PART_SQL} SELECT id, round(count(DISTINCT value)::DOUBLE / count(*), 9) AS ratio, count(*) >= 5 AND count(DISTINCT value)::DOUBLE / count(*) <= 0.4 AS placeholder
