@@ -12,7 +12,7 @@ own length and its own fingerprint.
    runs of their places; nowhere do places meet places.
 4. Hits are gathered by a digest of the text, so that copies are judged once.
 
-Texts don't travel unless the hits are too many to broadcast: then documents join by digest.
+Documents join their hits by digest, however few these are, so the work grows in proportion.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(item_windows(benchmark, item_col, item_text_col, window, gram), "item-windows")
     found = hits(rows, items, window, gram)
     discard(items)
-    frame = rows.frame.select(rows.row, rows.text, F.md5(rows.text.cast("binary")).alias("digest")).join(found, "digest", "left").select("_row", "_text", "spans", "items")
+    frame = rows.frame.select(rows.row, rows.text, F.md5(rows.text.cast("binary")).alias("digest")).join(found.hint("merge"), "digest", "left").select("_row", "_text", "spans", "items")
     schema = StructType([*frame.schema.fields[:2], *StructType.fromDDL("n_words long, n_hit long").fields, frame.schema.fields[3]])
 
     def count(batches):

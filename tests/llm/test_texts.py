@@ -54,6 +54,14 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, bits):
         assert out[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+def test_documents_join_hits_the_same_way_however_few(spark):
+    """A join that is a broadcast for few hits and a shuffle for many doesn't grow in proportion."""
+    benchmark = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    out = decontaminate.decontaminate(spark.createDataFrame([(1, "x a b"), (2, None)], "doc_id long, text string"), benchmark)
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["n_hit"] for r in out.collect()} == {1: 2, 2: 0}
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.decontaminate(brute.frame(spark, [(1, "a b"), (2, None)]), none).collect()
