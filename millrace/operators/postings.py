@@ -25,6 +25,8 @@ from millrace.operators import retrieval
 
 #: Documents of a block, partitions of the terms, and blocks of a query that are scored before the others are judged.
 BLOCK_DOCS, PARTS, FIRST_BLOCKS = 4096, 64, 4
+#: Matches of a query whose places a task holds at once.
+ANSWER_DOCS = 256
 #: Fixed value: what one cover adds at most.
 COVER = 0.1
 
@@ -110,52 +112,74 @@ def _bounds(index: DataFrame, asked: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "n_terms", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("most").alias("bound")).where("n = n_terms").select("query_id", "block", "bound")
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a block that hold all terms of a query; rows (query, block, n_terms, no, ids, counts, places) sorted by query and block."""
-    key, lists = None, []
-
-    def found():
-        terms: dict[int, list] = {}
-        for row in lists:
-            terms.setdefault(row[0], []).append(row[1:])
-        if len(terms) < key[2]:
-            return None
-        ids = None
-        for parts in sorted(terms.values(), key=lambda p: sum(len(x[0]) for x in p)):
-            own = np.concatenate([x[0] for x in parts])
-            ids = np.unique(own) if ids is None else ids[np.isin(ids, own)]
-        if not len(ids):
-            return None
+def _matched(terms: list[tuple[str, int]], lists: dict[str, list]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(ids, scores, places) of a block's documents that hold all of a query's terms, ANSWER_DOCS at a time."""
+    if not terms or any(t not in lists for t, _ in terms):
+        return
+    every = None
+    for term, _ in sorted(terms, key=lambda t: sum(len(x[0]) for x in lists[t[0]])):
+        own = np.concatenate([x[0] for x in lists[term]])
+        every = np.unique(own) if every is None else every[np.isin(every, own)]
+        if not len(every):
+            return
+    for start in range(0, len(every), ANSWER_DOCS):
+        ids = every[start : start + ANSWER_DOCS]
         at: list[list[dict]] = [[] for _ in ids]
         score = np.zeros(len(ids))
-        for no, parts in terms.items():
-            for own, counts, places in parts:
+        for term, no in terms:
+            for own, counts, places in lists[term]:
                 slot = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                ends = np.cumsum(counts)
-                for i in np.flatnonzero(ids[slot] == own).tolist():
-                    score[slot[i]] += counts[i]
-                    at[slot[i]] += [{"place": p, "term": no} for p in places[ends[i] - counts[i] : ends[i]].tolist()]
-        hits = [sorted(x, key=lambda p: p["place"]) for x in at]
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array(np.full(n, key[2], np.int32)), pa.array(ids), pa.array(score), pa.array(hits, pa.list_(pa.struct([("place", pa.int32()), ("term", pa.int32())])))], ["q", "n_terms", "id", "score", "at"])
+                found = np.flatnonzero(ids[slot] == own)
+                np.add.at(score, slot[found], counts[found])
+                if places is not None:
+                    ends = np.cumsum(counts)
+                    for i in found.tolist():
+                        at[slot[i]] += [{"place": p, "term": no} for p in places[ends[i] - counts[i] : ends[i]].tolist()]
+        yield ids, score, [sorted(x, key=lambda p: p["place"]) for x in at]
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a block that hold all terms of a query: rows sorted by block, in each the queries and then the lists.
+
+    A block's lists are held once, however many queries ask for them.
+    """
+    block, queries, wanted, lists = None, [], set(), {}
+
+    def found() -> Iterator[pa.RecordBatch]:
+        for q, n_terms, terms in queries:
+            for ids, score, at in _matched(terms, lists):
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array(np.full(n, n_terms, np.int32)), pa.array(ids), pa.array(score), pa.array(at, pa.list_(pa.struct([("place", pa.int32()), ("term", pa.int32())])))], ["q", "n_terms", "id", "score", "at"])
 
     for b in batches:
-        heads = list(zip(*[b.column(c).to_pylist() for c in ("q", "block", "n_terms", "no")], strict=True))
-        for i, (q, block, n_terms, no) in enumerate(heads):
-            if (q, block, n_terms) != key:
-                if lists and (out := found()) is not None:
-                    yield out
-                key, lists = (q, block, n_terms), []
-            lists.append((no, *[np.asarray(b.column(c)[i].values) for c in ("ids", "counts", "places")]))
-    if lists and (out := found()) is not None:
-        yield out
+        heads = list(zip(*[b.column(c).to_pylist() for c in ("block", "q", "n_terms", "terms", "term")], strict=True))
+        for i, (own, q, n_terms, terms, term) in enumerate(heads):
+            if own != block:
+                yield from found()
+                block, queries, wanted, lists = own, [], set(), {}
+            if term is None:
+                queries.append((q, n_terms, [(t["term"], t["no"]) for t in terms]))
+                wanted.update(t["term"] for t in terms)
+            elif term in wanted:
+                values = [b.column(c)[i].values for c in ("ids", "counts", "places")]
+                lists.setdefault(term, []).append([None if v is None else np.array(v) for v in values])
+    yield from found()
 
 
 def _scored(index: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(q, id, score, n_terms, at): the matches in the blocks(q, query_id, block); `at` has the places of all terms."""
-    wanted = asked.join(blocks, "query_id").select("q", "block", "n_terms", "no", "term", "part")
-    rows = index.join(_small(wanted), ["part", "term", "block"]).select("q", "block", "n_terms", "no", "ids", "counts", "places")
-    return rows.repartition("q", "block").sortWithinPartitions("q", "block", "no").mapInArrow(_matches, "q long, n_terms int, id long, score double, at array<struct<place:int,term:int>>")
+    """(q, id, score, n_terms, at): the matches in the blocks(q, query_id, block); `at` has the places of all terms.
+
+    The queries' terms and a block's lists of any of these terms meet in the block's task, so a list
+    moves once and not once for each query.
+    """
+    pairs = asked.join(blocks, "query_id").select("q", "block", "n_terms", "no", "term", "part")
+    terms = pairs.groupBy("block", "q", "n_terms").agg(F.collect_list(F.struct("term", "no")).alias("terms"))
+    lists = index.join(_small(pairs.select("part", "term").distinct()), ["part", "term"], "left_semi").join(_small(pairs.select("block").distinct()), "block", "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    asks = terms.select("block", "q", "n_terms", "terms", none("string").alias("term"), none("array<long>").alias("ids"), none("array<int>").alias("counts"), none("array<int>").alias("places"))
+    held = lists.select("block", none("long").alias("q"), none("int").alias("n_terms"), none("array<struct<term:string,no:int>>").alias("terms"), "term", "ids", "counts", "places")
+    rows = asks.union(held).repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first(), "q")
+    return rows.mapInArrow(_matches, "q long, n_terms int, id long, score double, at array<struct<place:int,term:int>>")
 
 
 def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, cover_density: bool = False) -> DataFrame:
@@ -166,6 +190,8 @@ def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int,
     block gives at most COVER times its bound.  Equal ids are one document.
     """
     index, asked = read_postings(spark, path), _asked(queries)
+    if not cover_density:
+        index = index.withColumn("places", F.lit(None).cast("array<int>"))
     ids = stored.saved(queries.select("query_id").distinct().withColumn("q", F.xxhash64(F.lit(11), "query_id")), stored.fresh(spark, "queries"))
     asked = stored.saved(asked, stored.fresh(spark, "query-terms"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")

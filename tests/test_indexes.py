@@ -101,6 +101,22 @@ def test_blocks_below_the_threshold_are_not_read(spark, monkeypatch):
     assert read == [1, 0]  # of about 30 blocks
 
 
+def test_a_list_moves_once_for_all_queries(spark, monkeypatch):
+    path = stored.fresh(spark, "test-postings")
+    postings.write_postings(spark.range(100).selectExpr("id", "'a b' AS content"), path)
+    asked = postings._asked(spark.range(50).selectExpr("id AS query_id", "'a b' AS query_text"))
+    blocks = spark.range(50).selectExpr("id AS query_id", "id AS q", "0 AS block")
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"q": len(x or []), "n_terms": 0, "id": 0, "score": 0.0, "at": []} for x in b.column("ids").to_pylist()], pa.schema([("q", pa.int64()), ("n_terms", pa.int32()), ("id", pa.int64()), ("score", pa.float64()), ("at", pa.list_(pa.struct([("place", pa.int32()), ("term", pa.int32())])))]))
+
+    monkeypatch.setattr(postings, "_matches", counted)
+    assert postings._scored(postings.read_postings(spark, path), asked, blocks).agg({"q": "sum"}).first()[0] == 200
+
+
 def test_an_index_is_written_once_while_it_is_there(spark):
     written = []
 
