@@ -81,7 +81,7 @@ def repeated_anchors(rows: Rows, id_col: str, find: Finder, most: int = tk.SLICE
 
         def flush():
             h, d = np.concatenate(hashes), np.concatenate(ids)
-            order = np.lexsort((d, h))
+            order = tk.ordered(h, d)
             h, d = h[order], d[order]
             new = tk.run_starts(h, d)
             h, d = h[new], d[new]
@@ -112,15 +112,14 @@ def repeated_anchors(rows: Rows, id_col: str, find: Finder, most: int = tk.SLICE
         for t in whole_groups(batches, "hash"):
             h, d, s = (t.column(c).to_numpy() for c in ("hash", "_id", "state"))
             new = tk.run_starts(h)
-            group = np.cumsum(new) - 1
-            other = tk.run_starts(h, d) & ~new  # a second id in the group
-            hit = (np.bincount(group, weights=other) > 0) | (np.bincount(group, weights=s > 0) > 0)
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            hit = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)) | (np.maximum.reduceat(s, first) > 0)
             keep = (s == 1) | ((s == 0) & hit[group])
             yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], ["_id", "hash"])
 
     texts = rows.frame.where(rows.id(id_col).isNotNull()).select(rows.id(id_col).alias("_id"), rows.text)
     found = texts.mapInArrow(emit, "hash long, _id long, state byte")
-    routed = found.repartition(route("state = 1", "_id", "hash")).sortWithinPartitions("hash", "_id")
+    routed = found.repartition(route("state = 1", "_id", "hash")).sortWithinPartitions("hash")  # one key: a radix sort
     return routed.mapInArrow(judge, "_id long, hash long").groupBy("_id").agg(F.collect_list("hash").alias("_anchors"))
 
 
@@ -130,7 +129,7 @@ def route(settled: str, own: str, key: str) -> Column:
 
 
 def marked(text_no: np.ndarray, anchor: np.ndarray, anchors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each window whether its anchor is in the list of its text."""
+    """For each anchor of a text whether it is in that text's list."""
     salt = tk.mix(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(1))
     known = np.unique(tk.mix(anchors.view(np.uint64) ^ np.repeat(salt, np.diff(offsets))))
     if not len(known):

@@ -124,17 +124,28 @@ class Words:
         """A 64-bit hash of each word; the two families are independent."""
         return self.span_hashes(self.starts, self.ends, family)
 
+    def _prefix_sums(self, family: int) -> np.ndarray:
+        if family not in self._sums:
+            up, _ = _POWERS[family].get(len(self.bytes) + 1)
+            self._sums = {family: np.zeros(len(self.bytes) + 1, np.uint64)}  # one family's at a time
+            np.cumsum(_TABLES[family][self.bytes] * up[: len(self.bytes)], dtype=np.uint64, out=self._sums[family][1:])
+        return self._sums[family]
+
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
         """A 64-bit hash of the bytes of each span."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        up, down = _POWERS[family].get(len(self.bytes) + 1)
-        if family not in self._sums:
-            self._sums = {family: np.zeros(len(self.bytes) + 1, np.uint64)}  # one family's at a time
-            np.cumsum(_TABLES[family][self.bytes] * up[: len(self.bytes)], dtype=np.uint64, out=self._sums[family][1:])
-        sums = self._sums[family]
+        sums = self._prefix_sums(family)
+        _, down = _POWERS[family].get(len(self.bytes) + 1)
         return mix((sums[ends] - sums[starts]) * down[starts])
 
+    def byte_grams(self, k: int, family: int = 0) -> np.ndarray:
+        """The same of the k bytes from each position on, as far as there are k."""
+        n = max(0, len(self.bytes) - k + 1)
+        sums = self._prefix_sums(family)
+        _, down = _POWERS[family].get(len(self.bytes) + 1)
+        return mix((sums[k : k + n] - sums[:n]) * down[:n])
+
     def position(self) -> np.ndarray:
         """Index of each word in its text."""
         return np.arange(len(self.starts)) - np.repeat(self.offsets[:-1], self.counts)
@@ -163,16 +174,12 @@ def mix_step(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of the w values from each position on (fewer at the end)."""
-    n = len(x)
-    if n == 0 or w == 1:
-        return x
-    blocks = -(-n // w) + 1
-    padded = np.full(blocks * w, np.iinfo(x.dtype).max, x.dtype)
-    padded[:n] = x
-    grid = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    out, size = np.concatenate([x, np.full(w - 1, np.iinfo(x.dtype).max, x.dtype)]), 1
+    while size < w:
+        step = min(size, w - size)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        size += step
+    return out
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
@@ -190,6 +197,18 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Order by the keys, the first one first; only rows that it leaves equal are sorted by the others."""
+    order = np.argsort(keys[0])
+    new = run_starts(keys[0][order])
+    equal = ~new
+    equal[:-1] |= ~new[1:]
+    some = np.flatnonzero(equal)
+    rows = order[some]
+    order[some] = rows[np.lexsort([k[rows] for k in reversed(keys)])]
+    return order
+
+
 def covered(starts: np.ndarray, length, size: int) -> np.ndarray:
     """Mask of the positions inside any of the runs [start, start + length)."""
     edge = np.zeros(size + 1, np.int64)

@@ -3,17 +3,21 @@
 Repeated regions are found by anchors (see `_repeats`).  A region is cut into *runs*: consecutive
 windows with one anchor, at most MOST_RUN of them.  Equal runs, by 128-bit digests, are one string
 that belongs to their first document.  Different runs that share an anchor may still share windows:
-their bytes meet in shards, each shard's suffix array is built by induced sorting, its permuted
-common prefixes are computed, and neighbours with a common prefix of a window or more form classes,
-whose smallest document keeps the window.
-
-A shard holds whole anchors up to SHARD_BYTES.  The windows of an anchor with more bytes than that
-are dealt one by one, by their hash, after map tasks have settled those they hold twice; their
-shards' suffix arrays compare each document's window with the first equal one, so many bytes at a time.
+they meet in shards, to which each gives the stretches that by their windows' hashes another
+document may have too (equal stretches, byte by byte, are again one string).  Each shard's suffix
+array is built by induced sorting, its permuted common prefixes are computed, and neighbours with a
+common prefix of a window or more form classes, whose smallest document keeps the window.
+
+A shard holds whole anchors up to about SHARD_BYTES of such stretches.  The windows of an anchor
+whose runs have more bytes than that are dealt one by one, by their hash, after map tasks have
+settled those they hold twice; their shards' suffix arrays compare each document's window with the
+first equal one, so many bytes at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -235,36 +239,51 @@ def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def _windowless(text: pa.Array) -> tk.Words:
+    """The bytes and offsets of some texts, to hash spans of."""
+    w = tk.Words.__new__(tk.Words)
+    w.bytes, w.text_offsets = tk.text_buffer(text)
+    w._sums = {}
+    return w
+
+
 class _Windows:
     """Byte windows of some texts: anchors, whole windows and span hashes."""
 
     def __init__(self, text: pa.Array, window: int, anchor: int):
-        w = tk.Words.__new__(tk.Words)
-        w.bytes, w.text_offsets = tk.text_buffer(text)
-        w._sums = {}
-        self.w, self.first = w, w.text_offsets
-        n = len(w.bytes)
-        at = np.arange(max(0, n - anchor + 1))
-        g = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        g[: len(at)] = w.span_hashes(at, at + anchor)
-        self.anchor = tk.sliding_min(g, window - anchor + 1)
-        counts = np.diff(self.first)
-        self.no = np.repeat(np.arange(len(counts)), counts)
-        self.ok = np.arange(n) - self.first[self.no] + window <= counts[self.no]
+        self.w, self.window = _windowless(text), window
+        self.first = self.w.text_offsets
+        n, g = len(self.w.bytes), self.w.byte_grams(anchor)
+        self.anchor = tk.sliding_min(np.append(g, np.full(n - len(g), np.iinfo(np.uint64).max, np.uint64)), window - anchor + 1)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of windows, text) of the longest runs of windows with one anchor."""
+        n = len(self.anchor)
+        new = np.ones(n + 1, bool)
+        new[1:n] = self.anchor[1:] != self.anchor[:-1]
+        new[self.first] = True
+        new[np.maximum(self.first[:-1], self.first[1:] - self.window + 1)] = True  # no whole window from here on
+        start = np.flatnonzero(new)
+        size = np.diff(start)
+        start = start[:-1]
+        no = np.searchsorted(self.first, start, "right") - 1
+        whole = start + self.window <= self.first[no + 1]
+        return start[whole], size[whole], no[whole]
 
 
 def _anchors(rows: Rows, id_col: str, window: int, anchor: int) -> DataFrame:
     def find(text):
         x = _Windows(text, window, anchor)
-        return x.no, x.ok, x.anchor
+        start, _, no = x.runs()
+        return no, np.ones(len(no), bool), x.anchor[start]
 
     return rp.repeated_anchors(rows, id_col, find, PIECE_BYTES)
 
 
 def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, run, run2, _id, loc, n, settled): runs of the repeated regions; settled: a smaller id has the same run.
+    """(anchor, run, _id, loc, n, settled): runs of the repeated regions; settled: a smaller id has the same run.
 
-    run and run2 are two independent hashes of the run's bytes.
+    Equal runs are those of which run and a second, independent hash agree.
     """
 
     def emit(batches):
@@ -273,7 +292,7 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 
         def flush():
             run, run2, d, loc, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((loc, d, run2, run))
+            order = tk.ordered(run, run2, d, loc)
             run, run2, d, loc, n, a = (x[order] for x in (run, run2, d, loc, n, a))
             new = tk.run_starts(run, run2)
             settled = d > d[new][np.cumsum(new) - 1]
@@ -284,19 +303,16 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
             ids, dups, text, lists = (b.column(c) for c in ("_id", "_dup", "_text", "_anchors"))
             for i, j in tk.slices(text, PIECE_BYTES):
                 x = _Windows(text.slice(i, j - i), window, anchor)
-                at = np.flatnonzero(x.ok)
-                at = at[rp.marked(x.no[at], x.anchor[at], *tk.lists(lists.slice(i, j - i)))]
-                if not len(at):
+                start, n, no = x.runs()
+                found = rp.marked(no, x.anchor[start], *tk.lists(lists.slice(i, j - i)))
+                start, n, no = start[found], n[found], no[found]
+                if not len(start):
                     continue
-                step = np.arange(len(at))
-                whole = tk.run_starts(x.anchor[at], x.no[at], at - step)
-                since = step - np.flatnonzero(whole)[np.cumsum(whole) - 1]
-                new = since % MOST_RUN == 0  # a long run, as of a periodic text, is cut from its start on
-                start = at[new]
-                n = np.diff(np.append(np.flatnonzero(new), len(at)))
+                parts = -(-n // MOST_RUN)  # a long run, as of a periodic text, is cut from its start on
+                skip = MOST_RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                start, n, no = np.repeat(start, parts) + skip, np.minimum(np.repeat(n, parts) - skip, MOST_RUN), np.repeat(no, parts)
                 own, dup = ids.slice(i, j - i).to_numpy(), dups.slice(i, j - i).to_numpy()
                 run, run2 = (tk.mix(x.w.span_hashes(start, start + n + window - 1, f) ^ n.astype(np.uint64)) for f in (0, 1))
-                no = x.no[start]
                 held.append([tk.as_long(run), tk.as_long(run2), own[no], (dup[no] << _DUP) + start - x.first[no], n, tk.as_long(x.anchor[start])])
                 n_held += len(start)
                 if n_held >= rp.BUFFER_ROWS:
@@ -308,14 +324,19 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def judge(batches):
         for t in rp.whole_groups(batches, "run"):
-            run, run2, d, settled = (t.column(c).to_numpy() for c in ("run", "run2", "_id", "settled"))
-            new = tk.run_starts(run, run2)
-            settled = settled | (d > d[new][np.cumsum(new) - 1])
-            yield from t.set_column(t.schema.get_field_index("settled"), "settled", pa.array(settled)).combine_chunks().to_batches()
+            run, run2 = t.column("run").to_numpy(), t.column("run2").to_numpy()
+            if np.any((run[1:] == run[:-1]) & (run2[1:] != run2[:-1])):
+                order = np.lexsort((run2, run))
+                t, run, run2 = t.take(pa.array(order)), run[order], run2[order]
+            d, new = t.column("_id").to_numpy(), tk.run_starts(run, run2)
+            least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+            settled = t.column("settled").to_numpy() | (d > least)
+            t = t.set_column(t.schema.get_field_index("settled"), "settled", pa.array(settled)).drop_columns(["run2"])
+            yield from t.combine_chunks().to_batches()
 
-    schema = "anchor long, run long, run2 long, _id long, loc long, n long, settled boolean"
-    rows = candidates.mapInArrow(emit, schema)
-    return rows.repartition(rp.route("settled", "_id", "run")).sortWithinPartitions("run", "run2", "_id", "loc").mapInArrow(judge, schema)
+    rows = candidates.mapInArrow(emit, "anchor long, run long, run2 long, _id long, loc long, n long, settled boolean")
+    routed = rows.repartition(rp.route("settled", "_id", "run")).sortWithinPartitions("run")  # one key: a radix sort
+    return routed.mapInArrow(judge, "anchor long, run long, _id long, loc long, n long, settled boolean")
 
 
 def _open_runs(runs: DataFrame, window: int) -> DataFrame:
@@ -360,48 +381,74 @@ def _spans(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(loc[new]), pa.array(n)], ["_id", "loc", "n"])
 
 
-def _viable(anchor: np.ndarray, texts: list[bytes], window: int, gram: int) -> np.ndarray:
-    """Texts that may share a window with another of their anchor.
+def _places(w: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start among all bytes) of each whole window."""
+    count = np.maximum(np.diff(w.text_offsets) - window + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    return text, w.text_offsets[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
 
-    A window holds its anchor and, on one side of it, at least half of the window's other bytes:
-    only texts that agree on such a half can share a window.
-    """
-    half = (window - gram + 1) // 2
-    w = _Windows(pa.array(texts, pa.large_binary()), window, gram)
-    size, first = len(w.w.bytes), w.first
-    at = np.arange(max(0, size - gram + 1))
-    g = tk.as_long(w.w.span_hashes(at, at + gram))
-    here = at[g == anchor[w.no[at]]]
-    ok = np.zeros(len(texts), bool)
-    for back, ahead in ((half, 0), (0, half)):
-        a, z = here - back, here + gram + ahead
-        inside = (a >= first[w.no[here]]) & (z <= first[w.no[here] + 1])
-        no = w.no[here[inside]]
-        h = w.w.span_hashes(a[inside], z[inside])
-        order = np.lexsort((no, h, anchor[no]))
-        no, h = no[order], h[order]
-        new = tk.run_starts(anchor[no], h)
-        several = np.bincount(np.cumsum(new) - 1, tk.run_starts(anchor[no], h, no)) > 1 if len(no) else np.zeros(0, bool)
-        ok[no[several[np.cumsum(new) - 1]]] = True
-    return np.flatnonzero(ok)
+
+def _shared(texts: pa.Array, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, number of windows) of stretches of windows that by their hash another id has too."""
+    w = _windowless(texts)
+    text, at = _places(w, window)
+    if not len(at):
+        return at, at, at
+    h = w.byte_grams(window)[at]
+    order = np.argsort(h)
+    new = tk.run_starts(h[order])
+    d, first = ids[text[order]], np.flatnonzero(new)
+    several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+    some = np.sort(order[several[np.cumsum(new) - 1]])
+    text, at = text[some], at[some]
+    new = np.flatnonzero(tk.run_starts(text, at - np.arange(len(at))))
+    return text[new], (at - w.text_offsets[text])[new], np.diff(np.append(new, len(at)))
 
 
 def _by_shard(contents: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(_id, loc, n) of windows that a smaller id has in another run, by suffix arrays of shards."""
+    """(_id, loc, n) of windows that a smaller id has in another run, by suffix arrays of shards.
+
+    What goes into a shard are the stretches of its texts that may be in another id's too; equal
+    ones are one string, which belongs to the smallest id.
+    """
+
+    def spans(strings: dict[bytes, int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        d, loc, n, string = (np.concatenate(x) for x in zip(*held, strict=True))
+        owner = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(owner, string, d)
+        copy = d > owner[string]
+        yield pa.RecordBatch.from_arrays([pa.array(x[copy]) for x in (d, loc, n)], ["_id", "loc", "n"])
+        text, place, _ = first_owners(list(strings), owner, window)
+        place = place[np.argsort(text, kind="stable")]
+        upto = np.cumsum(np.bincount(text, minlength=len(strings)))
+        d, loc, string = d[~copy], loc[~copy], string[~copy]
+        count = np.diff(upto, prepend=0)[string]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - upto[string], count)
+        if len(nth):
+            yield _spans(np.repeat(d, count), np.repeat(loc, count) + place[nth])
 
     def sort(batches):
+        strings, held, size, n_held = {}, [], 0, 0
         for t in rp.whole_groups(batches, "anchor"):
-            d, loc = t.column("_id").to_numpy(), t.column("loc").to_numpy()
-            contents = t.column("content").to_pylist()
-            some = _viable(t.column("anchor").to_numpy(), contents, window, anchor)
-            if not len(some):
+            d, loc, content = t.column("_id").to_numpy(), t.column("loc").to_numpy(), t.column("content").combine_chunks()
+            text, start, n = _shared(content, d, window)
+            if not len(text):
                 continue
-            text, place, _ = first_owners([contents[k] for k in some], d[some], window)
-            if len(text):
-                yield _spans(d[some[text]], loc[some[text]] + place)
+            raw, first = tk.text_buffer(content)
+            data, at, before = raw.tobytes(), first[text] + start, len(strings)
+            string = np.array([strings.setdefault(data[i:j], len(strings)) for i, j in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)], np.int64)
+            held.append((d[text], loc[text] + start, n, string))
+            which, nth = np.unique(string, return_index=True)
+            size += int((n[nth] + window - 1)[which >= before].sum())
+            n_held += len(text)
+            if size >= SHARD_BYTES or n_held >= rp.BUFFER_ROWS:
+                yield from spans(strings, held)
+                strings, held, size, n_held = {}, [], 0, 0
+        if held:
+            yield from spans(strings, held)
 
     rows = contents.select("anchor", "_id", "loc", "content")
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "_id", "loc").mapInArrow(sort, "_id long, loc long, n long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "_id long, loc long, n long")
 
 
 def _by_window(contents: DataFrame, window: int) -> DataFrame:
@@ -411,16 +458,16 @@ def _by_window(contents: DataFrame, window: int) -> DataFrame:
 
     def emit(batches):
         for b in batches:
-            x = _Windows(b.column("content"), window, window)
-            at = np.flatnonzero(x.ok)
-            d, loc = b.column("_id").to_numpy()[x.no[at]], b.column("loc").to_numpy()[x.no[at]] + at - x.first[x.no[at]]
-            h = tk.as_long(x.w.span_hashes(at, at + window))
-            h2 = tk.as_long(x.w.span_hashes(at, at + window, 1))
+            w = _windowless(b.column("content"))
+            no, at = _places(w, window)
+            d, loc = b.column("_id").to_numpy()[no], b.column("loc").to_numpy()[no] + at - w.text_offsets[no]
+            h = tk.as_long(w.span_hashes(at, at + window))
+            h2 = tk.as_long(w.span_hashes(at, at + window, 1))
             order = np.lexsort((loc, d, h2, h))
             at, h, h2, d, loc = at[order], h[order], h2[order], d[order], loc[order]
             new = tk.run_starts(h, h2)
             settled = d > d[new][np.cumsum(new) - 1]
-            data = x.w.bytes
+            data = w.bytes
             spans = _spans(d[settled], loc[settled])  # settled windows travel as stretches, without their bytes
             k = spans.num_rows
             nothing = pa.array(np.zeros(k, np.int64))

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm import _tokens as tk
 from millrace.llm import jaccard, substrings, suffixes
 
 
@@ -45,6 +46,30 @@ def test_bytes_equal_brute_force(spark, monkeypatch, shard_bytes, most_run):
         assert found[i] == (d, len(b), sum(g), spans, bytes(x for x, y in zip(b, g, strict=True) if not y))
 
 
+def test_a_shard_sorts_a_shared_stretch_once(spark, monkeypatch):
+    """20 different texts have 60 bytes in common: these are sorted, not the texts."""
+    common, original = bytes(range(65, 125)), suffixes.first_owners
+
+    def counted(texts, owner, window):
+        assert sum(map(len, texts)) == len(common)
+        return original(texts, owner, window)
+
+    monkeypatch.setattr(suffixes, "first_owners", counted)
+    rows = [(5, i, 7, bytes([200 + i]) * 500 + common + bytes([220 + i]) * 500) for i in range(20)]
+    contents = spark.createDataFrame(rows, "anchor long, _id long, loc long, content binary")
+    found = suffixes._by_shard(contents, suffixes.WINDOW, suffixes.ANCHOR).collect()
+    assert sorted((r["_id"], r["loc"], r["n"]) for r in found) == [(i, 507, 11) for i in range(1, 20)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 9)), max_size=30), st.integers(1, 9))
+def test_orders_and_sliding_minima(rows, width):
+    a, b, c = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    order = tk.ordered(a, b, c)
+    assert sorted(order.tolist()) == list(range(len(rows))) and [rows[k] for k in order] == sorted(rows)
+    assert tk.sliding_min(c, width).tolist() == [min(c[k : k + width].tolist()) for k in range(len(c))]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], brute.SCHEMA)
     assert substrings.dedup_substrings(empty).count() == 0
