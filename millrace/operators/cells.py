@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace import stored
-from millrace.operators import retrieval
+from millrace.operators import products, retrieval
 
 #: Most cells; a table of n vectors gets sqrt(n).
 CELLS_MOST = 4096
@@ -49,12 +50,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The centroid of the greatest product with each row, a slice of rows at a time."""
+    step = max(1, products.PAIRS // max(1, len(centroids)))
+    return np.concatenate([np.zeros(0, np.int64), *[np.argmax(x[i : i + step] @ centroids.T, axis=1) for i in range(0, len(x), step)]])
+
+
+def _read_by(q: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """(cell, query): whether the query reads the cell, as one of the `probes` whose centroids are nearest."""
+    out = np.ones((len(centroids), len(q)), bool)
+    step = max(1, products.PAIRS // max(1, len(centroids)))
+    for i in range(0, len(q) if probes < len(centroids) else 0, step):
+        s = centroids @ q[i : i + step].T
+        out[:, i : i + step] = s >= np.partition(s, len(s) - probes, axis=0)[len(s) - probes]
+    return out
+
+
 def fit_cells(x: np.ndarray, n_cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids of spherical k-means, begun at evenly spaced rows; cells that lose all rows are dropped."""
     unit = _unit(x)
     centroids = unit[np.linspace(0, len(unit) - 1, min(n_cells, len(unit))).astype(int)]
     for _ in range(rounds):
-        nearest = np.argmax(unit @ centroids.T, axis=1)
+        nearest = _nearest(unit, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, unit)
         centroids = _unit(sums[np.bincount(nearest, minlength=len(centroids)) > 0])
@@ -65,8 +82,9 @@ def probes_for(x: np.ndarray, centroids: np.ndarray, target: float = TARGET, k:
     """The fewest cells that hold `target` of the exact neighbours of some rows of x, on average."""
     asking = x[np.linspace(0, len(x) - 1, min(CALIBRATION, len(x))).astype(int)]
     k = min(k, len(x))
-    best = np.argpartition(-(asking @ x.T), k - 1, axis=1)[:, :k]
-    cell = np.argmax(_unit(x) @ centroids.T, axis=1)
+    step = max(1, products.PAIRS // len(x))
+    best = np.concatenate([np.argpartition(-(asking[i : i + step] @ x.T), k - 1, axis=1)[:, :k] for i in range(0, len(asking), step)])
+    cell = _nearest(_unit(x), centroids)
     order = np.argsort(-(asking @ centroids.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
@@ -100,7 +118,7 @@ def write_cells(vectors: DataFrame, path: str, on: tuple[str, ...] = (), n_cells
             return
         x = _matrix(table.sort_by([("h", "ascending"), ("id", "ascending")]).column("v").combine_chunks(), dim)
         centroids = fit_cells(x, n_cells)
-        share = np.bincount(np.argmax(_unit(x) @ centroids.T, axis=1), minlength=len(centroids)) / len(x)
+        share = np.bincount(_nearest(_unit(x), centroids), minlength=len(centroids)) / len(x)
         probes = probes_for(x, centroids)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(list(centroids.astype(np.float32)), pa.list_(pa.float32())), pa.array(share), pa.array(np.full(len(centroids), probes, np.int32))], ["cell", "centroid", "share", "probes"])
 
@@ -114,7 +132,7 @@ def write_cells(vectors: DataFrame, path: str, on: tuple[str, ...] = (), n_cells
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, parts = shared.value
         for b in batches:
-            cell = np.argmax(_matrix(b.column("v"), dim) @ centroids.T, axis=1)
+            cell = _nearest(_matrix(b.column("v"), dim), centroids)
             salt = np.abs(np.asarray(b.column("h"))) % parts[cell]
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(salt), *[b.column(c) for c in ("grp", "id", "v")]], ["cell", "salt", "grp", "id", "v"])
 
@@ -141,48 +159,49 @@ def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, on:
 
     queries(query_id, vector, *on) are broadcast in blocks of a checked size; partitions of cells that
     no query of a block reads are pruned.  `probes`: cells a query reads, by default what the index
-    found for itself.  A task keeps k rows for each query, and only these move.
+    found for itself.  A task multiplies a block with all queries that read its cell (see `products`)
+    and sends on what can be among their first k.
     """
     about = spark.read.parquet(f"{path}/about").first()
     centroids = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # CELLS_MOST at most
     stored_blocks = spark.read.parquet(f"{path}/blocks") if centroids else spark.createDataFrame([], "grp string, ids array<long>, vectors array<float>, cell int")
     dim, probes = about["dim"], max(1, probes or about["probes"])
     c = np.array([r["centroid"] for r in centroids], np.float32).reshape(-1, max(1, dim))
-    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", stored_blocks.schema["ids"].dataType.elementType), StructField("score", DoubleType())])
     parts = []
     for block in retrieval.query_blocks(queries.where(F.col("vector").isNotNull())):
-        asked = [r for r in block.select("query_id", "vector", group_of(on).alias("grp")).collect() if r["grp"] is not None]
-        wanted: dict[tuple[int, str], list[int]] = {}
-        q = np.array([r["vector"] for r in asked], np.float64).reshape(-1, max(1, dim))
-        nearest = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes] if len(c) else np.zeros((len(q), 0), int)
-        for i, cells in enumerate(nearest):
-            for cell in cells.tolist():
-                wanted.setdefault((cell, asked[i]["grp"]), []).append(i)
-        shared = spark.sparkContext.broadcast((q, wanted))
+        asked = block.select("query_id", F.col("vector").cast("array<double>").alias("vector"), group_of(on).alias("grp")).where("grp is not null").toArrow().combine_chunks()
+        q = np.array(asked.column("vector").combine_chunks().flatten(), np.float64).reshape(asked.num_rows, -1) if asked.num_rows else np.zeros((0, max(1, dim)))
+        read = _read_by(q, c, probes) if len(c) else np.zeros((0, len(q)), bool)
+        cells = np.flatnonzero(read.any(axis=1)).tolist()
+        shared = spark.sparkContext.broadcast((asked, np.packbits(read, axis=1)))  # a bit for each query and cell
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q, wanted = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            asked, read = shared.value
+            if not asked.num_rows:
+                return
+            column = {n: pa.concat_arrays(asked.column(n).chunks) for n in asked.column_names}
+            number = {g: i for i, g in enumerate(dict.fromkeys(column["grp"].to_pylist()))}
+            group = np.array([number[g] for g in column["grp"].to_pylist()])
+            best = products._Class(column | {"codes": []}, np.arange(asked.num_rows), dim)
             for b in batches:
+                cells, groups = b.column("cell").to_pylist(), b.column("grp").to_pylist()
                 for i in range(b.num_rows):
-                    own = wanted.get((b.column("cell")[i].as_py(), b.column("grp")[i].as_py()))
-                    if not own:
-                        continue
+                    asking = np.flatnonzero(np.unpackbits(read[cells[i]], count=len(group)) & (group == number.get(groups[i], -1)))
                     ids = np.asarray(b.column("ids")[i].values)
                     x = np.asarray(b.column("vectors")[i].values, np.float64).reshape(len(ids), -1)
-                    for j, scores in zip(own, np.round(q[own] @ x.T, 9), strict=True):
-                        old = best.get(j, (ids[:0], scores[:0]))
-                        all_ids, all_scores = np.concatenate([old[0], ids]), np.concatenate([old[1], scores])
-                        order = np.lexsort((all_ids, -all_scores))[:k]
-                        best[j] = (all_ids[order], all_scores[order])
-            for j, (ids, scores) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), j, np.int32)), pa.array(ids), pa.array(scores)], ["q", "id", "score"])
-
-        cells = sorted({cell for cell, _ in wanted})
-        found = stored_blocks.where(F.col("cell").isin(cells)).select("cell", "grp", "ids", "vectors").mapInArrow(scan, "q int, id long, score double")
-        names = F.broadcast(spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"q int, query_id {kind}"))
-        parts.append(found.join(names, "q").select("query_id", "id", "score"))
-    return retrieval.top_per_query(retrieval._union(parts), k, F.col("id"))
+                    step = max(1, products.PAIRS // len(ids))
+                    for j in range(0, len(asking), step):
+                        own = asking[j : j + step]
+                        row, nth = best.candidates(x, k, None, own)
+                        best.add(x, ids, row, own[nth], k)
+            best.prune(k)
+            for at, ids, score in best.kept:
+                yield pa.RecordBatch.from_arrays([column["query_id"].take(pa.array(at)), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
+
+        found = stored_blocks.where(F.col("cell").isin(cells if asked.num_rows else []))
+        parts.append(found.select("cell", "grp", "ids", "vectors").mapInArrow(scan, schema))
+    return retrieval.top_per_query(retrieval._union(parts).withColumn("score", F.round("score", 9)), k, F.col("id"))
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A task multiplies a slice of its vectors with a block of queries.  Where only the first k rows of a
 query are asked for, it keeps the pairs that can be among them: the product tells which they are, with
-a margin for its order of summation and for the rounding of scores, and only these are scored term by
-term.  Of pairs of one query with equal scores the k smallest ids are kept.
+a margin for its precision, for its order of summation and for the rounding of scores, and only these
+are scored term by term, in doubles.  Of pairs of one query with equal scores the k smallest ids are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 PAIRS, PAIRS_ALL = 1 << 21, 1 << 17
 #: Scores that round to the same 9 places differ by less, and the most that orders of summation differ, for unit vectors.
 ROUNDING, SUMMATION = 2e-9, 1e-12
+#: Products are of single precision where all norms are below SINGLE_NORM; SINGLE times the terms is twice their relative error.
+SINGLE_NORM, SINGLE = 1e15, 2.0**-23
 #: Kept pairs beyond four times k a query, at which a task drops those that fell behind.
 SPARE = 100_000
 
@@ -59,6 +61,9 @@ class _Class:
 
     def __init__(self, asked: dict, rows: np.ndarray, length: int):
         self.rows, self.q = rows, _matrix(asked["vector"], rows, length)
+        with np.errstate(over="ignore"):
+            self.single = self.q.astype(np.float32)
+        self.columns = np.ascontiguousarray(self.q.T)
         self.norm, self.least = np.linalg.norm(self.q, axis=1), np.full(len(rows), -np.inf)
         self.own = _values(asked["query_id"])[rows]
         self.optional = [o[rows] for o in asked["codes"]]
@@ -77,21 +82,27 @@ class _Class:
             out = other if out is None else out & other
         return out
 
-    def candidates(self, x: np.ndarray, k: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        s = x @ self.q.T
+    def candidates(self, x: np.ndarray, k: int, allowed: np.ndarray | None, asking: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x, and queries (by their place among those `asking`), of the pairs that can be among a query's first k."""
+        norm, size = self.norm[asking], np.linalg.norm(x, axis=1).max()
+        single = norm.max(initial=0) < SINGLE_NORM and size < SINGLE_NORM  # else numbers that single precision can't hold, or NaN
+        s = x.astype(np.float32) @ self.single[asking].T if single else x @ self.q[asking].T
         if allowed is not None:
             s[~allowed] = -np.inf
-        margin = ROUNDING + SUMMATION * self.norm * np.linalg.norm(x, axis=1).max()
-        near = ~(s < self.least - margin)
-        if len(x) > k and np.count_nonzero(near) > 2 * k * len(self.q):
+        margin = ROUNDING + (SINGLE * (x.shape[1] + 4) if single else SUMMATION) * norm * size
+        with np.errstate(over="ignore"):
+            least = np.nextafter((self.least[asking] - margin).astype(s.dtype), s.dtype.type(-np.inf))
+        near = s < least
+        np.logical_not(near, out=near)
+        if len(x) > k and np.count_nonzero(near) > 2 * k * s.shape[1]:
             near &= ~(s < np.partition(s, len(x) - k, axis=0)[len(x) - k] - 2 * margin)
         if allowed is not None:
             near &= allowed
-        return np.nonzero(near)
+        return np.divmod(np.flatnonzero(near), max(1, s.shape[1]))
 
     def add(self, x: np.ndarray, ids: np.ndarray, r: np.ndarray, c: np.ndarray, k: int) -> None:
         score = np.zeros(len(r))
-        for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(self.q.T), strict=True):
+        for a, b in zip(np.ascontiguousarray(x.T), self.columns, strict=True):
             score += a[r] * b[c]
         self.kept.append(self.best(c, ids[r], score, k))
         self.n_kept += len(self.kept[-1][0])

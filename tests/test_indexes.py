@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from conftest import SF_DIR
 
 from millrace import stored
-from millrace.operators import cells, postings, retrieval
+from millrace.operators import cells, postings, products, retrieval
 from millrace.tables import dense_queries, text_chunks, text_queries, vectors
 
 
@@ -63,6 +64,35 @@ def test_recall_on_the_test_vectors(spark):
     assert cells.recall(cells.search_cells(spark, path, q, 20), retrieval.dense_top_k(q, vectors(spark, SF_DIR), 20), 20).first()["recall"] >= 0.9
 
 
+def test_a_block_is_multiplied_with_all_its_queries(spark, monkeypatch):
+    """Blocks meet slices of queries, not one query after another, and send on few rows."""
+    v = random_vectors(spark)
+    path = stored.fresh(spark, "test-cells")
+    cells.write_cells(v.where("id is not null"), path, n_cells=10)
+    asked = asking(spark, v.where("embedding is not null and id < 900"))
+    n, original = asked.count(), products._Class.candidates
+
+    def candidates(self, x, k, allowed, own):
+        assert len(own) == min(n, max(1, products.PAIRS // len(x)))
+        return original(self, x, k, allowed, own)
+
+    monkeypatch.setattr(products._Class, "candidates", candidates)
+    want = rows(retrieval.dense_top_k(asked, v.where("id is not null").withColumn("embedding", v.embedding.cast("array<float>")), 5))
+    assert n == 15 and rows(cells.search_cells(spark, path, asked, 5, probes=10)) == want
+
+
+def test_cells_that_a_query_reads(monkeypatch):
+    r = np.random.default_rng(1)
+    q, c = r.normal(size=(50, 4)), r.normal(size=(20, 4))
+    order = np.argsort(-(q @ c.T), axis=1)
+    for pairs in (1 << 21, 60):
+        monkeypatch.setattr(products, "PAIRS", pairs)
+        for probes in (1, 7, 20, 30):
+            read = cells._read_by(q, c, probes)
+            assert [set(np.flatnonzero(x)) for x in read.T] == [set(x[:probes]) for x in order]
+        assert cells._nearest(q, c).tolist() == order[:, 0].tolist()
+
+
 def test_no_vectors_no_neighbours(spark):
     v = random_vectors(spark)
     path = stored.fresh(spark, "test-cells")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,38 @@ def test_scores_equal_expressions(spark, monkeypatch, kind, on, optional, skip_o
         assert seen(got, "query_id", "id", "score", "rank") == seen(retrieval.top_per_query(want, k, F.col("id")), "query_id", "id", "score", "rank")
 
 
+def test_pairs_closer_than_single_precision(spark):
+    """300 vectors whose scores differ by 4e-8 or so, which single precision can't tell apart."""
+    r = random.Random(9)
+    chunks = spark.createDataFrame([(i, [0.5 + 1e-7 * r.random() for _ in range(4)] if i % 3 else [r.random() / 2 for _ in range(4)]) for i in range(450)], "id long, embedding array<double>").repartition(2)
+    q = chunks.where("id % 30 = 1").selectExpr("id AS query_id", "embedding AS vector")
+    for k in (1, 20):
+        want = retrieval.top_per_query(plainly(q, chunks, (), (), False), k, F.col("id"))
+        assert seen(retrieval.dense_top_k(q, chunks, k), "query_id", "id", "score", "rank") == seen(want, "query_id", "id", "score", "rank")
+
+
+def test_products_are_of_single_precision_where_it_can_hold_them():
+    asked = {"vector": pa.array([[3.0, 4.0], [1e200, 0.0]]), "query_id": pa.array([1, 2]), "codes": []}
+    x = np.array([[1.0, 0.0], [1e-9, 1.0]])
+    for rows, kind in (([0], np.float32), ([0, 1], np.float64)):
+        made = products._Class(asked, np.array(rows), 2)
+        found = []
+        made.single = made.single.view(Seen)
+        made.q = made.q.view(Seen)
+        Seen.found = found
+        made.candidates(x, 5, None)
+        assert found == [kind]
+
+
+class Seen(np.ndarray):
+    """Notes the type of the numbers that are multiplied."""
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        if ufunc is np.matmul:
+            Seen.found.append(self.dtype.type)
+        return getattr(ufunc, method)(*[np.asarray(i) for i in inputs], **kwargs)
+
+
 def test_tasks_leave_out_pairs_and_no_pair_is_a_row_of_a_join(spark):
     chunks = spark.range(20_000).selectExpr("id", "transform(sequence(1, 8), j -> sin(id * j + j)) AS embedding").coalesce(2)
     q = chunks.where("id % 100 = 0").selectExpr("id AS query_id", "embedding AS vector")
