@@ -16,7 +16,7 @@ first equal one, so many bytes at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -291,9 +291,15 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
         n_held = 0
 
         def flush():
-            run, run2, d, loc, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = tk.ordered(run, run2, d, loc)
-            run, run2, d, loc, n, a = (x[order] for x in (run, run2, d, loc, n, a))
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+            for k, x in enumerate(columns):
+                columns[k] = np.concatenate(x)
+                x.clear()
+            order = tk.ordered(*columns[:4])
+            for k, x in enumerate(columns):
+                columns[k] = x[order]
+            run, run2, d, loc, n, a = columns
             new = tk.run_starts(run, run2)
             settled = d > d[new][np.cumsum(new) - 1]
             arrays = [pa.array(x) for x in (a, run, run2, d, loc, n, settled)]
@@ -317,7 +323,6 @@ def _runs(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
                 n_held += len(start)
                 if n_held >= rp.BUFFER_ROWS:
                     yield from flush()
-                    held.clear()
                     n_held = 0
         if n_held:
             yield from flush()
@@ -346,8 +351,14 @@ def _open_runs(runs: DataFrame, window: int) -> DataFrame:
     return free.join(kinds.select("anchor", "crowd"), "anchor").select("anchor", "_id", "loc", "n", "crowd")
 
 
-def _contents(texts: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(anchor, _id, loc, crowd, content): the bytes of each run."""
+_CONTENTS = "anchor long, _id long, loc long, crowd long, content binary"
+
+
+def _contents(texts: DataFrame, runs: DataFrame, window: int, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: str = _CONTENTS) -> DataFrame:
+    """(anchor, _id, loc, crowd, content): the bytes of each run; or what `then` makes of these batches, of that schema.
+
+    `then` runs in the same Python worker: a second step on workers would keep as many again in an executor.
+    """
 
     def read(batches):
         for b in batches:
@@ -367,7 +378,7 @@ def _contents(texts: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "_id", "loc", "crowd", "content"])
 
     wanted = runs.groupBy("_id").agg(F.collect_list(F.struct("anchor", "loc", "n", "crowd")).alias("_runs"))
-    return texts.join(wanted, "_id").select("_id", "_text", "_row", "_dup", "_runs").mapInArrow(read, "anchor long, _id long, loc long, crowd long, content binary")
+    return texts.join(wanted, "_id").select("_id", "_text", "_row", "_dup", "_runs").mapInArrow(lambda batches: then(read(batches)), schema)
 
 
 def _spans(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
@@ -451,13 +462,29 @@ def _by_shard(contents: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "_id long, loc long, n long")
 
 
-def _by_window(contents: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with more bytes than a shard takes: each window is dealt by its own hash."""
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.Table]:
+    """The rows again, those at a time that have at most so many bytes in a column, or one row."""
+    held, size = [], 0
+    for b in batches:
+        _, offsets = tk.text_buffer(b.column(column))
+        for i, j in tk.slices(b.column(column), most):
+            n = int(offsets[j] - offsets[i])
+            if held and size + n > most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(b.slice(i, j - i))
+            size += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_window(texts: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """The same of runs whose anchor has more bytes than a shard takes: each window is dealt by its own hash."""
 
     names = ["hash", "hash2", "_id", "loc", "n", "settled", "content"]
 
     def emit(batches):
-        for b in batches:
+        for b in _pieces(batches, "content"):
             w = _windowless(b.column("content"))
             no, at = _places(w, window)
             d, loc = b.column("_id").to_numpy()[no], b.column("loc").to_numpy()[no] + at - w.text_offsets[no]
@@ -502,7 +529,7 @@ def _by_window(contents: DataFrame, window: int) -> DataFrame:
             if gone.any():
                 yield _spans(d[gone], loc[gone])
 
-    rows = contents.select("_id", "loc", "content").mapInArrow(emit, "hash long, hash2 long, _id long, loc long, n long, settled boolean, content binary")
+    rows = _contents(texts, runs, window, emit, "hash long, hash2 long, _id long, loc long, n long, settled boolean, content binary")
     return rows.repartition(rp.route("settled", "_id", "hash")).sortWithinPartitions("hash", "hash2", "_id", "loc").mapInArrow(sort, "_id long, loc long, n long")
 
 
@@ -515,7 +542,7 @@ def repeated_windows(rows: Rows, id_col: str, window: int = WINDOW, anchor: int
     discard(anchors)
     parts = _by_shard(_contents(texts, open_runs.where(f"crowd <= {shard_bytes}"), window), window, anchor)
     if not open_runs.where(f"crowd > {shard_bytes}").isEmpty():
-        parts = parts.union(_by_window(_contents(texts, open_runs.where(f"crowd > {shard_bytes}"), window), window))
+        parts = parts.union(_by_window(texts, open_runs.where(f"crowd > {shard_bytes}"), window))
     out = written(runs.where("settled").select("_id", "loc", "n").union(parts), "windows")
     discard(runs, open_runs)
     return out

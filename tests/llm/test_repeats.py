@@ -6,6 +6,7 @@ import hashlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,36 @@ def test_a_shard_sorts_a_shared_stretch_once(spark, monkeypatch):
     assert sorted((r["_id"], r["loc"], r["n"]) for r in found) == [(i, 507, 11) for i in range(1, 20)]
 
 
+def python_steps(plan) -> tuple[int, int]:
+    """Of a physical plan: most steps on Python workers in one task, and those in the last stage's."""
+    plan = plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    below = [python_steps(plan.children().apply(k)) for k in range(plan.children().size())]
+    here = sum(x for _, x in below) if plan.nodeName() != "Union" else max(x for _, x in below)
+    here = 0 if "Exchange" in plan.nodeName() else here + (plan.nodeName() == "MapInArrow")
+    return max([here, *(x for x, _ in below)]), here
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Workers stay in an executor's pool, where each keeps what it once took: two in a task double that."""
+    steps, original = {}, suffixes.written
+
+    def noted(df, name):
+        steps[name], _ = python_steps(df._jdf.queryExecution().executedPlan())
+        return original(df, name)
+
+    monkeypatch.setattr(suffixes, "written", noted)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1)
+    assert suffixes.dedup_bytes(brute.frame(spark, brute.messy(3, 40)), shard_bytes=1).count()
+    assert steps == {"anchors": 1, "runs": 1, "open": 0, "windows": 1}
+
+
+def test_pieces_are_bounded_in_bytes():
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(i, i + 9)), "content": pa.array([bytes([i + k]) * n for k, n in enumerate(sizes)], pa.binary())}) for i, sizes in ((0, [3] * 9), (9, [0, 1, 2, 90, 0, 4, 5, 6, 7]))]
+    pieces = list(suffixes._pieces(iter(batches), "content", 10))
+    assert [r for t in pieces for r in t.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert all(t.num_rows == 1 or sum(map(len, t["content"].to_pylist())) <= 10 for t in pieces) and len(pieces) <= 11
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 9)), max_size=30), st.integers(1, 9))
 def test_orders_and_sliding_minima(rows, width):
